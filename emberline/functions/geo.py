@@ -135,33 +135,36 @@ def ring(lat: Column, lon: Column, radius_km: float, vertices: int = 48) -> Colu
 
 # --- polygons held as ARRAY<ARRAY<STRUCT<x, y>>> ---------------------------------
 
-EDGE_TYPE = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
+# An edge keeps its start, its direction and the inverse of its squared length.
 
 
 def ring_edges(rings: Column) -> Column:
     """All edges of all rings of a polygon, holes and parts included."""
+    def edge(p):
+        a, b = p["a"], p["b"]
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        length2 = dx * dx + dy * dy
+        return F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"),
+                        b["y"].alias("y2"), dx.alias("dx"), dy.alias("dy"),
+                        F.when(length2 > 0, 1.0 / length2).otherwise(0.0).alias("inv"))
+
     def one(r):
-        pairs = F.arrays_zip(F.slice(r, F.lit(1), F.size(r) - 1).alias("a"),
-                             F.slice(r, F.lit(2), F.size(r) - 1).alias("b"))
-        return F.transform(pairs, lambda p: F.struct(
-            p["a"]["x"].alias("x1"), p["a"]["y"].alias("y1"),
-            p["b"]["x"].alias("x2"), p["b"]["y"].alias("y2")))
+        return F.transform(
+            F.arrays_zip(F.slice(r, F.lit(1), F.size(r) - 1).alias("a"),
+                         F.slice(r, F.lit(2), F.size(r) - 1).alias("b")), edge)
 
     return F.flatten(F.transform(F.filter(rings, lambda r: F.size(r) >= 2), one))
 
 
 def squared_edge_distance(e: Column, x: Column, y: Column) -> Column:
     """Squared planar distance from a point to one edge, in degrees."""
-    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-    length2 = dx * dx + dy * dy
-    along = F.when(length2 > 0, ((x - e["x1"]) * dx + (y - e["y1"]) * dy) / length2) \
-        .otherwise(F.lit(0.0))
-    t = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
-    ex, ey = x - (e["x1"] + t * dx), y - (e["y1"] + t * dy)
+    px, py = x - e["x1"], y - e["y1"]
+    t = F.least(F.greatest((px * e["dx"] + py * e["dy"]) * e["inv"], F.lit(0.0)), F.lit(1.0))
+    ex, ey = px - t * e["dx"], py - t * e["dy"]
     return ex * ex + ey * ey
 
 
-BOUNDARY_EPS2 = 1e-24
+BOUNDARY_EPS = 1e-12
 
 
 def crosses(e: Column, x: Column, y: Column) -> Column:
@@ -171,15 +174,25 @@ def crosses(e: Column, x: Column, y: Column) -> Column:
     return spans & (x < at)
 
 
+def touches(e: Column, x: Column, y: Column) -> Column:
+    """Whether the point lies on the edge; the cheap box tests come first."""
+    eps = BOUNDARY_EPS
+    return ((F.greatest(e["y1"], e["y2"]) >= y - eps) & (F.least(e["y1"], e["y2"]) <= y + eps)
+            & (F.greatest(e["x1"], e["x2"]) >= x - eps) & (F.least(e["x1"], e["x2"]) <= x + eps)
+            & (squared_edge_distance(e, x, y) <= eps * eps))
+
+
 def covers(edges: Column, x: Column, y: Column) -> Column:
     """Point in polygon by crossing parity; boundary points count as covered."""
     odd = F.size(F.filter(edges, lambda e: crosses(e, x, y))) % 2 == 1
-    return odd | F.exists(edges, lambda e: squared_edge_distance(e, x, y) <= BOUNDARY_EPS2)
+    return odd | F.exists(edges, lambda e: touches(e, x, y))
 
 
-def min_edge_distance(edges: Column, x: Column, y: Column) -> Column:
-    """Planar distance in degrees to the nearest edge."""
-    return F.sqrt(F.array_min(F.transform(edges, lambda e: squared_edge_distance(e, x, y))))
+def squared_box_distance(p: Column, x: Column, y: Column) -> Column:
+    """Squared distance to the bounding box minx..maxy of an item; 0 inside it."""
+    dx = F.greatest(p["minx"] - x, x - p["maxx"], F.lit(0.0))
+    dy = F.greatest(p["miny"] - y, y - p["maxy"], F.lit(0.0))
+    return dx * dx + dy * dy
 
 
 def interior_point(rings: Column) -> Column:

@@ -48,6 +48,16 @@ def sized(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
+def ensure_parallel(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan that yields fewer splits than the session has slots; otherwise unchanged.
+
+    A table of one small file is one task however many cores there are. On a large table the
+    scan already has more splits than slots and nothing is shuffled.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, key)
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from emberline.operators.skew import ensure_parallel
+
 EPOCH_US = 1_704_067_200_000_000          # 2024-01-01T00:00:00Z
 STRETCH = 12                              # thirty days of events become 360
 
@@ -109,6 +111,7 @@ def raw(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = raw(spark, sf_dir, "events").selectExpr(*projections(DETECTIONS))
+    df = ensure_parallel(df, "detection_id")
     return df.selectExpr(
         "*", "timestamp_micros(us) AS timestamp_utc", "to_date(timestamp_micros(us)) AS acq_date",
         "date_format(timestamp_micros(us), 'HHmm') AS acq_time",

@@ -19,6 +19,7 @@ def build_session(app: str = "emberline", cores: str = "*", **conf: str) -> Spar
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(max(shuffle, 1)))
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.python.dataFrameQueryContext.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
