@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberline import constants as C
 
@@ -54,7 +55,11 @@ def _solve(mwir, tir, bg, lam_m, lam_t):
     return np.where(usable, t, np.nan), np.where(usable, area, np.nan)
 
 
-@F.pandas_udf("t_fire_k double, area_fraction double")
+_SOLUTION = T.StructType([T.StructField("t_fire_k", T.DoubleType()),
+                          T.StructField("area_fraction", T.DoubleType())])
+
+
+@F.pandas_udf(_SOLUTION)
 def fire_temperature(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
     """Arrow batches of (mwir K, thermal K, background K, two wavelengths um)."""
     for parts in batches:

@@ -152,3 +152,115 @@ def verified_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "seq", "event_name", "lat", "lon", "radius_km", "label",
         "date_add(DATE'2024-01-01', CAST(start_day AS INT)) AS start_date",
         "date_add(DATE'2024-01-01', CAST(start_day + span_days AS INT)) AS end_date")
+
+
+# --- tables for the operators that need other shapes ------------------------------
+
+FEED = {
+    # one detection as three feeds would report it, text columns, some of them unusable
+    "latitude": "CASE WHEN event_id % 97 = 5 THEN 'n/a' ELSE CAST(8e0 + ((user_id * 7919) % 2600) "
+                "/ 1e2 AS {string}) END",
+    "longitude": "CAST(69e0 + ((user_id * 6101) % 2700) / 1e2 AS {string})",
+    "acq_date": "CAST({day} AS {string})",
+    "acq_time": "CASE WHEN event_id % 89 = 7 THEN 'x' WHEN event_id % 3 = 0 "
+                "THEN concat(CAST({clock} AS {string}), '.0') ELSE CAST({clock} AS {string}) END",
+    "satellite": "CASE WHEN event_type = 'view' THEN 'N20' ELSE 'N' END",
+    "frp": "CASE WHEN event_id % 83 = 2 THEN '-' ELSE CAST(value AS {string}) END",
+    "ingest_id": "event_id",
+}
+FEED_DAY = {"spark": "to_date(CAST(ts AS TIMESTAMP))", "duck": "CAST(ts AS DATE)"}
+FEED_CLOCK = "(hour(ts) * 100 + (minute(ts) - minute(ts) % 6))"
+
+
+def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = FEED_DAY["spark"]
+    return raw(spark, sf_dir, "events").selectExpr(*[
+        p.replace("{day}", day).replace("{clock}", FEED_CLOCK) for p in projections(FEED)])
+
+
+LAND_COVER = {
+    "cover_id": "p_partkey",
+    "lulc_class": "CASE p_size % 6 WHEN 0 THEN 'Industrial Area' WHEN 1 THEN 'Cropland' "
+                  "WHEN 2 THEN 'Mining / Quarry' WHEN 3 THEN 'Brick Kiln' WHEN 4 THEN 'Water body' "
+                  "ELSE 'Steel Works' END",
+    "site_desc": "p_name",
+    "fclass": "CASE WHEN p_size % 4 = 1 THEN 'industrial' ELSE 'residential' END",
+}
+MAP_FEATURES = {
+    "osm_id": "concat('way/', CAST(p_partkey AS {string}))",
+    "name": "p_name",
+    "landuse": "CASE WHEN p_size % 5 = 0 THEN 'industrial' WHEN p_size % 5 = 1 THEN 'forest' END",
+    "man_made": "CASE WHEN p_size % 7 = 0 THEN 'works' END",
+    "natural": "CASE WHEN p_size % 11 = 0 THEN 'wood' WHEN p_size % 11 = 1 THEN 'scrub' END",
+    "amenity": "CASE WHEN p_size % 13 = 0 THEN 'hospital' WHEN p_size % 13 = 1 THEN 'school' END",
+    "other_tags": "CASE p_size % 6 WHEN 0 THEN '\"industrial\"=>\"port\",\"ref\"=>\"7\"' "
+                  "WHEN 1 THEN '\"amenity\"=>\"fire_station\"' WHEN 2 THEN "
+                  "'\"natural\"=>\"wood\"' WHEN 3 THEN '\"amenity\"=>\"police\"' END",
+    "latitude": "8e0 + ((p_partkey * 7919) % 2600) / 1e2",
+    "longitude": "69e0 + ((p_partkey * 6101) % 2700) / 1e2",
+}
+
+
+def land_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw(spark, sf_dir, "part").selectExpr(*projections(LAND_COVER))
+
+
+def map_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw(spark, sf_dir, "part").selectExpr(*projections(MAP_FEATURES))
+
+
+# keys without the polygon join: every second source is a mapped site of its own
+KEYED = {
+    "inside_industrial": "source_key % 2 = 0",
+    "poly_id": "CASE WHEN source_key % 2 = 0 THEN source_key END",
+    "facility_name": "CASE WHEN source_key % 2 = 0 THEN concat('Site ', "
+                     "CAST(source_key AS {string})) END",
+    "facility_type": "CASE WHEN source_key % 2 = 1 THEN 'non_industrial' WHEN source_key % 14 = 0 "
+                     "THEN 'renewable_non_thermal' WHEN source_key % 4 = 0 THEN 'steel_metallurgy' "
+                     "ELSE 'brick_kiln' END",
+    "in_forest": "source_key % 5 = 3",
+}
+
+
+def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.operators.recurrence import with_keys
+
+    df = detections(spark, sf_dir)
+    return with_keys(df.selectExpr("*", *projections(KEYED)), ("poly_id",))
+
+
+ACTIONS = {
+    "seq": "o_orderkey",
+    "detection_id": "o_custkey",
+    "action": "CASE o_orderpriority WHEN '1-URGENT' THEN 'CONFIRM' WHEN '2-HIGH' THEN 'reclassify' "
+              "WHEN '3-MEDIUM' THEN 'FALSE_POSITIVE' WHEN '4-NOT SPECIFIED' THEN 'STATUS' "
+              "ELSE CASE WHEN o_orderstatus = 'F' THEN 'DISPATCH' ELSE 'NOTE' END END",
+    "new_class": "CASE o_orderpriority WHEN '2-HIGH' THEN CASE o_orderkey % 4 WHEN 0 THEN "
+                 "'ACCIDENTAL_FIRE' WHEN 1 THEN 'PERSISTENT_BASELINE' WHEN 2 THEN "
+                 "'TRANSIENT_HOTSPOT' END WHEN '4-NOT SPECIFIED' THEN CASE o_orderkey % 3 "
+                 "WHEN 0 THEN 'RESOLVED' WHEN 1 THEN 'open' ELSE 'LOST' END END",
+    "operator_notes": "CASE WHEN o_orderkey % 3 = 0 THEN concat('note ', "
+                      "CAST(o_orderkey AS {string})) ELSE '' END",
+}
+
+
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw(spark, sf_dir, "orders").selectExpr(
+        "CAST(o_orderdate AS TIMESTAMP) AS at", *projections(ACTIONS))
+
+
+SCENES = {
+    "site_id": "l_suppkey",
+    "scene_date": "{day}",
+    "nbr_mean": "CASE WHEN l_linenumber = 7 THEN NULL ELSE l_discount * 5e0 - l_tax END",
+    "sample_count": "CASE WHEN l_partkey % 37 = 0 THEN NULL ELSE 100 END",
+    "no_data_count": "CAST(l_quantity * 2 AS BIGINT)",
+}
+SCENE_DAY = {"spark": "date_add(DATE'2024-01-01', CAST((l_orderkey * 7 + l_linenumber) % 420 AS "
+                      "INT))",
+             "duck": "(DATE '2024-01-01' + CAST((l_orderkey * 7 + l_linenumber) % 420 AS INT))"}
+
+
+def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw(spark, sf_dir, "lineitem").selectExpr(
+        *[p.replace("{day}", SCENE_DAY["spark"]) for p in projections(SCENES)])
