@@ -9,6 +9,7 @@ from emberline import constants as C
 from emberline.functions import rules
 from emberline.functions.text import alert_sms, half_up, timestamp_key
 from emberline.operators import skew
+from emberline.operators.reports import exact_sum
 
 
 def detection_hash(df: DataFrame) -> Column:
@@ -28,7 +29,8 @@ def cell_baseline(df: DataFrame, cell: str = "cell", since: Column | None = None
     """Count, mean and population variance of FRP per cell, optionally since an instant."""
     rows = df if since is None else df.where(F.col("timestamp_utc") >= since)
     return rows.groupBy(cell).agg(
-        F.count("frp").alias("n"), F.avg("frp").alias("mean"), F.var_pop("frp").alias("variance"),
+        F.count("frp").alias("n"),
+        (exact_sum(F.col("frp")) / F.count("frp")).alias("mean"), F.var_pop("frp").alias("variance"),
         F.max("timestamp_utc").alias("last_updated"))
 
 

@@ -77,9 +77,12 @@ def nearest_responders(df: DataFrame, responders: DataFrame, per_kind: int = 1,
         tile_deg, item_bytes=120, per_part=POINTS_PER_PART)
     lat, lon = F.col("latitude"), F.col("longitude")
 
+    def of_kind(measured, kind):
+        return F.filter(measured, lambda m: m["kind"] == kind)
+
     def best(measured):
-        return F.flatten(F.array(*[F.slice(F.array_sort(F.filter(
-            measured, lambda m, k=k: m["kind"] == k)), 1, per_kind) for k in kinds]))
+        return F.flatten(F.array(*[
+            F.slice(F.array_sort(of_kind(measured, k)), 1, per_kind) for k in kinds]))
 
     def hit(items):
         measured = F.transform(items, lambda r: F.struct(
@@ -91,10 +94,10 @@ def nearest_responders(df: DataFrame, responders: DataFrame, per_kind: int = 1,
     found = T.lookup(df.select(id_col, "latitude", "longitude"), layer, hit, id_col,
                      merge=lambda h: F.flatten(F.collect_list(h)))
     # an empty answer still yields one row per kind
-    slots = F.flatten(F.array(*[F.transform(
-        F.sequence(F.lit(1), F.lit(per_kind)), lambda i, k=k: F.struct(
-            F.lit(k).alias("kind"), i.alias("rank"), F.get(F.filter(
-                F.col("top"), lambda m, k=k: m["kind"] == k), i - 1).alias("r"))) for k in kinds]))
+    slots = F.array(*[
+        F.struct(F.lit(k).alias("kind"), F.lit(i + 1).alias("rank"),
+                 F.get(of_kind(F.col("top"), k), i).alias("r"))
+        for k in kinds for i in range(per_kind)])
     rows = found.withColumn("top", best(F.coalesce(
         F.col("hit"), F.array().cast(found.schema["hit"].dataType)))) \
         .select(id_col, F.explode(slots).alias("s")) \

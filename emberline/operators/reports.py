@@ -12,6 +12,11 @@ from emberline.functions import grid, rules
 from emberline.functions.text import column_or, half_up, norm_bool, norm_str, number_or
 
 
+def exact_sum(value: Column) -> Column:
+    """Sum that does not depend on the order of its parts (four decimals kept)."""
+    return F.sum(value.cast("decimal(18,4)")).cast("double")
+
+
 def observed_day(df: DataFrame) -> Column:
     return F.coalesce(column_or(df, "acq_date").try_cast("date"),
                       column_or(df, "timestamp_utc").cast("date"))
@@ -49,7 +54,7 @@ def cell_report(df: DataFrame, resolution: int = 6, bbox: Sequence[float] | None
     stats = rows.groupBy("cell").agg(
         F.count(F.lit(1)).alias("detections"), F.countDistinct("day").alias("days_observed"),
         F.max("frp").alias("frp_max_mw"), F.median("frp").alias("frp_median_mw"),
-        F.sum("frp").alias("frp_total_mw"),
+        exact_sum(F.col("frp")).alias("frp_total_mw"),
         F.count_if(F.col("priority") == "P0_EMERGENCY").alias("p0"),
         F.count_if(F.col("priority") == "P1_ALERT").alias("p1"),
         F.count_if("suppressed").alias("suppressed"),
@@ -130,7 +135,7 @@ def facility_register(df: DataFrame, min_detections: int = 10,
         F.median("latitude").alias("latitude"), F.median("longitude").alias("longitude"),
         F.count(F.lit(1)).alias("detections"), F.countDistinct(day).alias("days_observed"),
         F.median(frp).alias("frp_median_mw"), F.max(frp).alias("frp_max_mw"),
-        F.sum(frp).alias("frp_total_mw"),
+        exact_sum(frp).alias("frp_total_mw"),
         F.count_if(norm_bool(column_or(rows, "suppressed"))).alias("suppressed_from_dispatch"))
     ratio = F.col("days_observed") / F.col("span_days")
     out = (stats.where(F.col("detections") >= min_detections).withColumn("span_days", span_days)

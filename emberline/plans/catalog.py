@@ -500,11 +500,18 @@ def incident_upsert(spark, sf):
     return incidents.new_rows(df, stored).select("detection_id", "frp")
 
 
+def _moments(base):
+    # totals instead of means: they have few decimals, so rounding cannot tip over
+    mean = F.col("mean")
+    return base.select(
+        "area", "n", text.half_up(F.col("n") * mean, 2).alias("total"),
+        text.half_up(F.col("n") * (F.col("variance") + mean * mean), 3).alias("squares"))
+
+
 @query
 def cell_baseline(spark, sf):
     out = incidents.cell_baseline(T.keyed(spark, sf), "area")
-    return out.select("area", "n", *[text.half_up(F.col(c), 4).alias(c)
-                                     for c in ("mean", "variance")])
+    return _moments(out)
 
 
 @query
@@ -513,8 +520,7 @@ def baseline_merge(spark, sf):
     old = incidents.cell_baseline(df.where("month(acq_date) <= 6"), "area")
     new = incidents.cell_baseline(df.where("month(acq_date) > 6"), "area")
     out = incidents.merge_baselines(old, new, "area")
-    return out.select("area", "n", *[text.half_up(F.col(c), 4).alias(c)
-                                     for c in ("mean", "variance")])
+    return _moments(out)
 
 
 @query

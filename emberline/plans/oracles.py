@@ -32,6 +32,7 @@ def parent(c: str, own: int, zoom: int) -> str:
             f"+ ({c} % {1 << 25}) // {k})")
 
 
+FRP_SUM = "CAST(sum(CAST(frp AS DECIMAL(18, 4))) AS DOUBLE)"
 DET = f"""det0 AS (SELECT {_p(T.DETECTIONS)} FROM events),
 det AS (SELECT *, make_timestamp(us) AS t, CAST(make_timestamp(us) AS DATE) AS acq_date,
   hour(make_timestamp(us)) AS hh, month(make_timestamp(us)) AS mm,
@@ -153,11 +154,17 @@ scored AS (SELECT * REPLACE ({hu('frp', 2)} AS frp), {hu('mu_raw', 2)} AS mu_frp
 ranked AS (SELECT *, CASE priority WHEN 'P0_EMERGENCY' THEN 0 WHEN 'P1_ALERT' THEN 1
   WHEN 'P2_ADVISORY' THEN 2 WHEN 'NON_ALERT' THEN 3 ELSE 4 END AS rk FROM scored)"""
 SCORED = f"WITH {HIST}, {_SCORED}"
-_GATES = """gates AS (SELECT quantile_cont(CAST(frp AS DOUBLE), 6e-1) AS persistent_gate,
+_GATES = """gates0 AS (SELECT quantile_cont(CAST(frp AS DOUBLE), 6e-1) AS persistent_gate,
   quantile_cont(CAST(frp AS DOUBLE), 35e-2) AS artifact_floor,
   quantile_cont(CAST(frp AS DOUBLE), 15e-2) AS artifact_floor_harvest,
   quantile_cont(CAST(frp AS DOUBLE), 5e-2) AS artifact_floor_forest, count(*) AS n_samples
-  FROM keyed WHERE frp > 0 AND NOT inside_industrial)"""
+  FROM keyed WHERE frp > 0 AND NOT inside_industrial),
+gates AS (SELECT CASE WHEN n_samples >= 1000 THEN persistent_gate ELSE 5e0 END AS persistent_gate,
+  CASE WHEN n_samples >= 1000 THEN artifact_floor ELSE 3e0 END AS artifact_floor,
+  CASE WHEN n_samples >= 1000 THEN artifact_floor_harvest ELSE 15e-1 END AS artifact_floor_harvest,
+  CASE WHEN n_samples >= 1000 THEN artifact_floor_forest ELSE 0e0 END AS artifact_floor_forest,
+  CASE WHEN n_samples >= 1000 THEN 'PERCENTILE_LOCAL' ELSE 'ABSOLUTE_FALLBACK' END AS basis,
+  CASE WHEN n_samples >= 1000 THEN n_samples ELSE 0 END AS n_samples FROM gates0)"""
 _DOMAIN = "(latitude BETWEEN 6 AND 37.5 AND longitude BETWEEN 68 AND 97.5)"
 
 
@@ -225,9 +232,9 @@ sv AS (SELECT *, CASE served_class WHEN 'ACCIDENTAL_FIRE' THEN CASE WHEN inside_
     THEN 'PERSISTENT_BASELINE' WHEN 'FOREST_FIRE' THEN 'FOREST_FIRE'
     ELSE 'TRANSIENT_SUSPICION' END AS served_state FROM sv1)"""
 INC = f"{LAB}, {_SERVE.format(src='lab')}"
-ACT = f"act AS (SELECT o_orderdate AS at, {_p(T.ACTIONS)} FROM orders)"
+ACT = f"act AS (SELECT o_orderdate AS ats, {_p(T.ACTIONS)} FROM orders)"
 AUD = """aud AS (SELECT seq AS audit_id, detection_id + 1 + CASE WHEN seq % 50 = 0 THEN 1 ELSE 0 END
-  AS incident_id, detection_id, upper(action) AS action, at FROM act)"""
+  AS incident_id, detection_id, upper(action) AS action, ats FROM act)"""
 SCN = f"scn AS (SELECT {_p(T.SCENES, day=T.SCENE_DAY['duck'])} FROM lineitem)"
 LOC = """loc AS (SELECT source_key AS k, CAST(min(t) AS DATE) AS event_date FROM det GROUP BY 1)"""
 _OK = ("(sample_count > 0 AND (sample_count - no_data_count) / CAST(sample_count AS DOUBLE) "
@@ -255,7 +262,7 @@ TYPED = f"""{FEED}, typed AS (SELECT ingest_id, TRY_CAST(latitude AS DOUBLE) AS
   acq_time, epoch_us(try_strptime(concat(acq_date, ' ', {_CLOCK}), '%Y-%m-%d %H%M')) AS us
   FROM feed WHERE TRY_CAST(latitude AS DOUBLE) IS NOT NULL)"""
 LC = f"lc AS (SELECT {_p(T.LAND_COVER)} FROM part)"
-_LCT = "lower(concat_ws(' ', lulc_class, site_desc))"
+_LCT = "lower(concat_ws(' ', lulc_class, site_desc, fclass))"
 COVER = f"""{LC}, cover AS (SELECT cover_id, coalesce(lulc_class, site_desc) AS site_name,
   CASE WHEN regexp_matches(tx, 'mining|quarry') THEN 'mining' WHEN contains(tx, 'kiln') THEN
   'brick_kiln' WHEN contains(tx, 'power') THEN 'power_thermal' WHEN contains(tx, 'refin') THEN
@@ -406,8 +413,7 @@ SELECT detection_id, cell, {parent('cell', 17, 13)} AS area, {parent('cell', 17,
   burst_ratio, state, priority, tag, suppressed FROM scored""",
     # labels
     "frp_thresholds": f"""WITH {KEYED}, {_GATES} SELECT persistent_gate, artifact_floor,
-  artifact_floor_harvest, artifact_floor_forest, 'PERCENTILE_LOCAL' AS basis, n_samples
-  FROM gates""",
+  artifact_floor_harvest, artifact_floor_forest, basis, n_samples FROM gates""",
     "weak_label": f"""WITH {HIST}, {_SCORED}, {NEAR}, {_GATES}
 SELECT scored.detection_id, {_label('n_30d', 'z_frp', 'onset_lag_days', 'n_24h', 'burst_ratio',
                                     'neighbours', 'artifact_floor', 'artifact_floor_harvest',
@@ -443,14 +449,14 @@ ds AS (SELECT mc, arg_max(state, n * 10 + so) AS s FROM (SELECT mc, state, count
   WHEN 'PERSISTENT_BASELINE' THEN 4 ELSE 5 END AS so FROM c GROUP BY 1, 2) GROUP BY 1)
 SELECT c.mc AS cell, count(*) AS detections, count(DISTINCT acq_date) AS days_observed,
   {hu('max(frp)', 2)} AS frp_max_mw, {hu('median(CAST(frp AS DOUBLE))', 2)} AS frp_median_mw,
-  {hu('sum(frp)', 1)} AS frp_total_mw, count(*) FILTER (rk = 0) AS p0,
+  {hu(FRP_SUM, 1)} AS frp_total_mw, count(*) FILTER (rk = 0) AS p0,
   count(*) FILTER (rk = 1) AS p1, count(*) FILTER (suppressed) AS suppressed, min(rk) AS top_rank,
   ['P0_EMERGENCY', 'P1_ALERT', 'P2_ADVISORY', 'NON_ALERT', 'SUPPRESSED'][min(rk) + 1]
     AS top_priority, any_value(p) AS dominant_priority, any_value(s) AS dominant_state
   FROM c JOIN dp ON dp.mc = c.mc JOIN ds ON ds.mc = c.mc GROUP BY 1""",
     "hex_filtered": f"""{SCORED} SELECT {parent('cell', 17, 9)} AS cell, count(*) AS detections,
   ['P0_EMERGENCY', 'P1_ALERT', 'P2_ADVISORY', 'NON_ALERT', 'SUPPRESSED'][min(rk) + 1]
-    AS top_priority, {hu('sum(frp)', 1)} AS frp_total_mw FROM ranked
+    AS top_priority, {hu(FRP_SUM, 1)} AS frp_total_mw FROM ranked
   WHERE longitude BETWEEN 70 AND 92 AND latitude BETWEEN 10 AND 31
     AND state IN ('MONITORING', 'ACCIDENTAL_FIRE') GROUP BY 1 HAVING count(*) >= 2
   ORDER BY min(rk), count(*) DESC, 1 LIMIT 50""",
@@ -472,8 +478,8 @@ SELECT register_key, arg_min(disp, us) AS facility_name, arg_min(facility_type,
   {hu('count(DISTINCT acq_date) / CAST(span_days AS DOUBLE)', 4)} AS observation_ratio,
   CASE WHEN count(DISTINCT acq_date) / CAST(span_days AS DOUBLE) >= 3e-1 THEN 'CONTINUOUS'
     ELSE 'INTERMITTENT' END AS regime, {hu('median(CAST(frp AS DOUBLE))', 2)} AS frp_median_mw,
-  {hu('max(frp)', 2)} AS frp_max_mw, {hu('sum(frp)', 1)} AS frp_total_mw,
-  {hu('sum(frp) * 12e0 * 36e-1', 1)} AS estimated_fre_gj,
+  {hu('max(frp)', 2)} AS frp_max_mw, {hu(FRP_SUM, 1)} AS frp_total_mw,
+  {hu(FRP_SUM + ' * 12e0 * 36e-1', 1)} AS estimated_fre_gj,
   count(*) FILTER (suppressed) AS suppressed_from_dispatch
   FROM r, sp GROUP BY register_key, span_days HAVING count(*) >= 5""",
     "register_summary": f"""{SCORED}, r AS (SELECT *, CASE WHEN facility_name IS NOT NULL THEN
@@ -482,7 +488,7 @@ SELECT register_key, arg_min(disp, us) AS facility_name, arg_min(facility_type,
     AND facility_type <> 'renewable_non_thermal'),
 sp AS (SELECT greatest(max(acq_date) - min(acq_date), 1) AS span_days, count(*) AS n FROM r),
 e AS (SELECT k, count(DISTINCT acq_date) / CAST(any_value(span_days) AS DOUBLE) AS ratio FROM r, sp
-  GROUP BY k HAVING count(*) >= 5 ORDER BY {hu('sum(frp)', 1)} DESC, k LIMIT 25)
+  GROUP BY k HAVING count(*) >= 5 ORDER BY {hu(FRP_SUM, 1)} DESC, k LIMIT 25)
 SELECT count(*) AS sites_listed, count(*) FILTER (ratio >= 3e-1) AS sites_continuous,
   (SELECT n FROM sp) AS routine_detections, 'OK' AS status FROM e""",
     "kpi": f"""{SCORED} SELECT count(*) AS total_detections, count(*) FILTER (rk = 0)
@@ -568,11 +574,11 @@ WHERE slot.rank = 1 OR km IS NOT NULL""",
   FROM det""",
     "incident_upsert": f"""WITH {DET}, {ACT} SELECT detection_id, frp FROM det
   WHERE detection_id NOT IN (SELECT detection_id FROM act)""",
-    "cell_baseline": f"""WITH {KEYED} SELECT area, count(*) AS n, {hu('avg(frp)', 4)} AS mean,
-  {hu('var_pop(frp)', 4)} AS variance FROM keyed GROUP BY 1""",
-    "baseline_merge": f"""WITH {KEYED} SELECT area, count(*) AS n, {hu('avg(frp)', 4)} AS mean,
-  {hu('var_pop(frp)', 4)} AS variance FROM keyed GROUP BY 1""",
-    "recurrence_evidence": f"""WITH {KEYED}, b AS (SELECT cell, count(*) AS n, avg(frp) AS m,
+    "cell_baseline": f"""WITH {KEYED} SELECT area, count(*) AS n, {hu('sum(frp)', 2)} AS total,
+  {hu('sum(frp * frp)', 3)} AS squares FROM keyed GROUP BY 1""",
+    "baseline_merge": f"""WITH {KEYED} SELECT area, count(*) AS n, {hu('sum(frp)', 2)} AS total,
+  {hu('sum(frp * frp)', 3)} AS squares FROM keyed GROUP BY 1""",
+    "recurrence_evidence": f"""WITH {KEYED}, b AS (SELECT cell, count(*) AS n, {FRP_SUM} / count(*) AS m,
   sqrt(var_pop(frp)) AS s FROM keyed WHERE mm <= 3 GROUP BY 1)
 SELECT detection_id, CASE WHEN n IS NULL THEN 'NO_BASELINE' ELSE 'OK' END AS evidence_status,
   n AS detections_30d, {hu('m', 2)} AS mean_frp_mw, CASE WHEN s > 1e-6 THEN
@@ -580,7 +586,7 @@ SELECT detection_id, CASE WHEN n IS NULL THEN 'NO_BASELINE' ELSE 'OK' END AS evi
   FROM keyed LEFT JOIN b ON b.cell = keyed.cell""",
     "audit_fold": f"""WITH RECURSIVE {INC}, {ACT},
 seqd AS (SELECT *, upper(trim(action)) AS k, row_number() OVER (PARTITION BY detection_id
-  ORDER BY at, seq) AS i FROM act),
+  ORDER BY ats, seq) AS i FROM act),
 fold AS (SELECT detection_id, CAST(0 AS BIGINT) AS i, served_priority AS p, served_state AS s,
   'OPEN' AS st, served_class AS c, CAST(NULL AS VARCHAR) AS notes FROM sv
 UNION ALL SELECT f.detection_id, a.i,
@@ -614,12 +620,12 @@ SELECT detection_id, arg_max(p, i) AS priority, arg_max(s, i) AS state, arg_max(
     "audit_remap": f"""WITH {ACT}, {AUD} SELECT audit_id, e.event_id + 1 AS incident_id FROM aud
   LEFT JOIN events e ON e.event_id = aud.detection_id""",
     "audit_copy": f"""WITH {ACT}, {AUD}, o AS (SELECT *, row_number() OVER (PARTITION BY
-  detection_id, action, at ORDER BY audit_id) AS rn FROM aud)
+  detection_id, action, ats ORDER BY audit_id) AS rn FROM aud)
 SELECT audit_id, detection_id, action FROM o WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM aud s
   WHERE s.audit_id % 2 = 0 AND s.detection_id = o.detection_id AND s.action = o.action
-  AND s.at = o.at)""",
+  AND s.ats = o.ats)""",
     "quality_checks": f"""WITH {ACT}, {AUD} SELECT 'duplicate_audit' AS check_name,
-  (SELECT count(*) FROM aud) - (SELECT count(*) FROM (SELECT DISTINCT detection_id, action, at
+  (SELECT count(*) FROM aud) - (SELECT count(*) FROM (SELECT DISTINCT detection_id, action, ats
   FROM aud)) AS n
 UNION ALL SELECT 'audit_of_other_detection', count(*) FROM aud JOIN events e
   ON e.event_id + 1 = aud.incident_id WHERE e.event_id <> aud.detection_id
@@ -627,7 +633,7 @@ UNION ALL SELECT 'no_coordinates', 0""",
     "dispatch_plan": f"""WITH {INC}, r AS (SELECT *, CASE served_priority WHEN 'P0_EMERGENCY' THEN
   ['sms', 'email', 'webhook'] WHEN 'P1_ALERT' THEN ['email', 'webhook'] WHEN 'P2_ADVISORY' THEN
   ['webhook'] ELSE ['router'] END AS ch, concat(served_priority, ' ', served_state, ' ',
-  printf('%.4f', latitude), ',', printf('%.4f', longitude), ' ', printf('%.0f', frp), 'MW ',
+  printf('%.4f', latitude), ',', printf('%.4f', longitude), ' ', CAST(round_even(frp, 0) AS BIGINT), 'MW ',
   coalesce(facility_name, 'unmapped'), ' -unverified sat detection') AS sms_body FROM sv)
 SELECT detection_id, served_priority AS priority, CASE WHEN ch[1] = 'router' THEN
   'REFUSED_PRIORITY' ELSE 'PLANNED' END AS status, CASE WHEN ch[1] = 'router' THEN
@@ -657,7 +663,7 @@ SELECT detection_id, 5 AS vertices, {hu('longitude + len * sin(br - ha)', 5)} AS
   {hu('latitude + len * 115e-2 * cos(br)', 5)} AS tip_y,
   {hu('longitude + len * sin(br + ha)', 5)} AS right_x FROM c""",
     "latest_audit": f"""WITH {ACT}, r AS (SELECT *, row_number() OVER (PARTITION BY detection_id
-  ORDER BY at DESC, seq DESC) AS rn FROM act)
+  ORDER BY ats DESC, seq DESC) AS rn FROM act)
 SELECT detection_id, count(*) AS n, string_agg(action, ',' ORDER BY rn) AS actions FROM r
   WHERE rn <= 10 GROUP BY 1""",
     # optical and thermal
@@ -713,8 +719,8 @@ SELECT b.site_id, b.day, f1, s7, samples, background_k, f1 - s7 AS saturation_ga
   THEN 'Radiative power' ELSE 'Facility type: brick kiln' END AS second_label,
   CASE WHEN m >= 25e-2 THEN 'toward' ELSE 'against' END AS second_direction FROM v""",
     "normalised_text": """SELECT c_custkey, CASE WHEN c_custkey % 5 > 1 THEN c_name END AS clean,
-  c_custkey % 3 < 2 AS flag, concat('...', right(concat('91', CAST(c_custkey * 7919 % 100000
-  AS VARCHAR)), 4)) AS masked, 7e0 AS number, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 90e0
+  c_custkey % 3 < 2 AS flag, CASE WHEN c_custkey * 7919 % 100000 < 10 THEN '...' ELSE
+  concat('...', right(concat('91', CAST(c_custkey * 7919 % 100000 AS VARCHAR)), 4)) END AS masked, 7e0 AS number, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 90e0
   ELSE 50e0 END AS confidence, concat('2024-01-02 03:04:', lpad(CAST(c_custkey % 60 AS VARCHAR), 2,
   '0'), '.000000') AS ts_key FROM customer""",
     "percentiles_by_group": f"""SELECT l_returnflag, count(*) AS n,
