@@ -56,7 +56,8 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(ok), df.where(~ok)
 
 
-def source_history(df: DataFrame, cfg: RecurrenceConfig = RecurrenceConfig()) -> DataFrame:
+def source_history(df: DataFrame, cfg: RecurrenceConfig = RecurrenceConfig(),
+                   corpus_start: Column | None = None) -> DataFrame:
     """Prior 30-day count, mean and variance, source age, onset lag and 24-hour burst.
 
     Every detection enters the running totals at its own time and leaves them one microsecond
@@ -98,7 +99,7 @@ def source_history(df: DataFrame, cfg: RecurrenceConfig = RecurrenceConfig()) ->
     persistent_at = F.when(F.col("n_prev") >= cfg.persistence_min, F.col("t"))
     seen = R.running(seen, key, order, {"persistent_us": ("min", persistent_at)}, hot,
                      include_current=True)
-    start = df.agg(F.min("us")).scalar()
+    start = df.agg(F.min("us")).scalar() if corpus_start is None else corpus_start
 
     n = F.col("n_prev")
     mean = F.col("s1").cast("double") / n / _UNIT
@@ -200,12 +201,15 @@ def with_alert_state(df: DataFrame) -> DataFrame:
 
 
 def evaluate(df: DataFrame, cfg: RecurrenceConfig = RecurrenceConfig(),
-             neighbours: bool = True) -> DataFrame:
-    """Keys, history, neighbourhood and alert state of a detection frame."""
+             neighbours: bool = True, corpus_start: Column | None = None) -> DataFrame:
+    """Keys, history, neighbourhood and alert state of a detection frame.
+
+    ``corpus_start`` overrides the first instant when the frame is part of a longer corpus.
+    """
     ids = ("osm_id", "facility_name", "poly_id") if cfg.name_before_polygon \
         else ("osm_id", "poly_id", "facility_name")
     keyed = df if "recurrence_key" in df.columns else with_keys(df, ids)
-    history = source_history(keyed, cfg)
+    history = source_history(keyed, cfg, corpus_start)
     if neighbours:
         history = neighbourhood(history, cfg, keyed)
     return with_alert_state(history)

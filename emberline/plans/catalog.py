@@ -505,7 +505,7 @@ def _moments(base):
     mean = F.col("mean")
     return base.select(
         "area", "n", text.half_up(F.col("n") * mean, 2).alias("total"),
-        text.half_up(F.col("n") * (F.col("variance") + mean * mean), 3).alias("squares"))
+        text.half_up(F.col("n") * (F.col("variance") + mean * mean), 5).alias("squares"))
 
 
 @query

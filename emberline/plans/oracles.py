@@ -575,9 +575,9 @@ WHERE slot.rank = 1 OR km IS NOT NULL""",
     "incident_upsert": f"""WITH {DET}, {ACT} SELECT detection_id, frp FROM det
   WHERE detection_id NOT IN (SELECT detection_id FROM act)""",
     "cell_baseline": f"""WITH {KEYED} SELECT area, count(*) AS n, {hu('sum(frp)', 2)} AS total,
-  {hu('sum(frp * frp)', 3)} AS squares FROM keyed GROUP BY 1""",
+  {hu('sum(frp * frp)', 5)} AS squares FROM keyed GROUP BY 1""",
     "baseline_merge": f"""WITH {KEYED} SELECT area, count(*) AS n, {hu('sum(frp)', 2)} AS total,
-  {hu('sum(frp * frp)', 3)} AS squares FROM keyed GROUP BY 1""",
+  {hu('sum(frp * frp)', 5)} AS squares FROM keyed GROUP BY 1""",
     "recurrence_evidence": f"""WITH {KEYED}, b AS (SELECT cell, count(*) AS n, {FRP_SUM} / count(*) AS m,
   sqrt(var_pop(frp)) AS s FROM keyed WHERE mm <= 3 GROUP BY 1)
 SELECT detection_id, CASE WHEN n IS NULL THEN 'NO_BASELINE' ELSE 'OK' END AS evidence_status,

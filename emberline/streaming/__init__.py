@@ -1 +1 @@
-"""Streaming of the thermal-detection engine."""
+"""Streaming form of the pipeline."""
