@@ -32,7 +32,7 @@ def typed(raw: DataFrame) -> DataFrame:
             raw = raw.withColumn(name, F.lit(None).cast("string"))
     lat, lon = F.col("latitude").try_cast("double"), F.col("longitude").try_cast("double")
     placed = lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
-    extra = [c for c in raw.columns if c not in CSV_COLUMNS]
+    extra = [c for c in raw.columns if c not in CSV_COLUMNS + ("timestamp_utc",)]
     return raw.where(placed).select(
         *[F.col(c).try_cast("double").alias(c) for c in NUMERIC],
         *[F.col(c).cast("string").alias(c) for c in TEXT],
@@ -41,16 +41,17 @@ def typed(raw: DataFrame) -> DataFrame:
         acquisition_timestamp("acq_date", "acq_time").alias("timestamp_utc"), *extra)
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(detections, rejected files) of landed CSV files.
+def read_csv(spark: SparkSession, path: str | Sequence[str],
+             columns: Sequence[str] = CSV_COLUMNS) -> tuple[DataFrame, DataFrame]:
+    """(detections, rejected files) of one feed's landed CSV files.
 
-    An error payload lands as a file without the header; its text would parse as rows of NULLs,
-    so the files whose text carries an error are listed and left out.
+    ``columns`` is the feed's own layout; columns beyond the common ones stay text. An error
+    payload has neither a header nor rows with a place, so it adds nothing; its file is listed.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    rows = (spark.read.schema(RAW_SCHEMA).option("header", True)
-            .option("enforceSchema", False).option("mode", "PERMISSIVE")
-            .csv(paths).withColumn("source_file", F.col("_metadata.file_path")))
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    rows = (spark.read.schema(schema).option("header", True).csv(paths)
+            .withColumn("source_file", F.col("_metadata.file_path")))
     bad = (spark.read.text(paths).select(F.col("_metadata.file_path").alias("source_file"), "value")
            .where(F.col("value").rlike(ERROR_TEXT))
            .groupBy("source_file").agg(F.first("value").alias("reason")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberline import constants as C
 from emberline.operators import incidents, recurrence
 from emberline.sources import sinks
-from emberline.sources.firms import DEDUPE_KEYS, RAW_SCHEMA, typed
+from emberline.sources.firms import RAW_SCHEMA, typed
 
 WATERMARK = "3 days"
 
@@ -29,7 +29,7 @@ def read_table(spark: SparkSession, path: str, schema, files_per_trigger: int =
 
 
 def drop_restated(stream: DataFrame, delay: str = WATERMARK,
-                  keys: tuple[str, ...] = tuple(DEDUPE_KEYS)) -> DataFrame:
+                  keys: tuple[str, ...] = C.DEDUPE_KEYS) -> DataFrame:
     """One row per detection however often an overlapping refresh restates it."""
     return stream.withWatermark("timestamp_utc", delay).dropDuplicatesWithinWatermark(list(keys))
 
