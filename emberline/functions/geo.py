@@ -135,67 +135,58 @@ def ring(lat: Column, lon: Column, radius_km: float, vertices: int = 48) -> Colu
 
 # --- polygons held as ARRAY<ARRAY<STRUCT<x, y>>> ---------------------------------
 
-# An edge keeps its start, its direction and the inverse of its squared length.
+# An edge keeps its ends, its direction and the inverse of its squared length. The predicates
+# below are SQL text over an edge array and two coordinate columns: nested lambdas are shorter
+# that way, and one expression costs one call into the JVM.
 
-
-def ring_edges(rings: Column) -> Column:
-    """All edges of all rings of a polygon, holes and parts included."""
-    def edge(p):
-        a, b = p["a"], p["b"]
-        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-        length2 = dx * dx + dy * dy
-        return F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"),
-                        b["y"].alias("y2"), dx.alias("dx"), dy.alias("dy"),
-                        F.when(length2 > 0, 1.0 / length2).otherwise(0.0).alias("inv"))
-
-    def one(r):
-        return F.transform(
-            F.arrays_zip(F.slice(r, F.lit(1), F.size(r) - 1).alias("a"),
-                         F.slice(r, F.lit(2), F.size(r) - 1).alias("b")), edge)
-
-    return F.flatten(F.transform(F.filter(rings, lambda r: F.size(r) >= 2), one))
+_EPS = "1e-12D"
 
 
-def squared_edge_distance(e: Column, x: Column, y: Column) -> Column:
-    """Squared planar distance from a point to one edge, in degrees."""
-    px, py = x - e["x1"], y - e["y1"]
-    t = F.least(F.greatest((px * e["dx"] + py * e["dy"]) * e["inv"], F.lit(0.0)), F.lit(1.0))
-    ex, ey = px - t * e["dx"], py - t * e["dy"]
-    return ex * ex + ey * ey
+def ring_edges(rings: str = "rings") -> Column:
+    """All edges of all rings of a polygon, holes and parts included."""
+    pairs = "arrays_zip(slice(r, 1, size(r) - 1), slice(r, 2, size(r) - 1))"
+    edge = ("named_struct('x1', q.`0`.x, 'y1', q.`0`.y, 'x2', q.`1`.x, 'y2', q.`1`.y, "
+            "'dx', q.`1`.x - q.`0`.x, 'dy', q.`1`.y - q.`0`.y, 'inv', "
+            "CASE WHEN q.`0` = q.`1` THEN 0D ELSE 1D / (pow(q.`1`.x - q.`0`.x, 2) "
+            "+ pow(q.`1`.y - q.`0`.y, 2)) END)")
+    return F.expr(f"flatten(transform(filter({rings}, r -> size(r) >= 2), "
+                  f"r -> transform({pairs}, q -> {edge})))")
 
 
-BOUNDARY_EPS = 1e-12
+def squared_edge_distance(x: str, y: str) -> str:
+    """Squared planar distance in degrees from a point to the edge ``e``."""
+    t = f"least(greatest((({x} - e.x1) * e.dx + ({y} - e.y1) * e.dy) * e.inv, 0D), 1D)"
+    ex, ey = f"({x} - e.x1 - {t} * e.dx)", f"({y} - e.y1 - {t} * e.dy)"
+    return f"({ex} * {ex} + {ey} * {ey})"
 
 
-def crosses(e: Column, x: Column, y: Column) -> Column:
-    """Whether a ray from the point towards +x crosses the edge."""
-    spans = (e["y1"] > y) != (e["y2"] > y)
-    at = (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
-    return spans & (x < at)
+def covers(edges: str, x: str, y: str) -> str:
+    """Point in polygon by crossing parity; points on an edge count as covered."""
+    crossing = (f"(e.y1 > {y}) <> (e.y2 > {y}) AND "
+                f"{x} < (e.x2 - e.x1) * ({y} - e.y1) / (e.y2 - e.y1) + e.x1")
+    touching = (f"greatest(e.y1, e.y2) >= {y} - {_EPS} AND least(e.y1, e.y2) <= {y} + {_EPS} "
+                f"AND greatest(e.x1, e.x2) >= {x} - {_EPS} AND least(e.x1, e.x2) <= {x} + {_EPS} "
+                f"AND {squared_edge_distance(x, y)} <= {_EPS} * {_EPS}")
+    return (f"(size(filter({edges}, e -> {crossing})) % 2 = 1 "
+            f"OR exists({edges}, e -> {touching}))")
 
 
-def touches(e: Column, x: Column, y: Column) -> Column:
-    """Whether the point lies on the edge; the cheap box tests come first."""
-    eps = BOUNDARY_EPS
-    return ((F.greatest(e["y1"], e["y2"]) >= y - eps) & (F.least(e["y1"], e["y2"]) <= y + eps)
-            & (F.greatest(e["x1"], e["x2"]) >= x - eps) & (F.least(e["x1"], e["x2"]) <= x + eps)
-            & (squared_edge_distance(e, x, y) <= eps * eps))
+def min_squared_distance(edges: str, x: str, y: str) -> str:
+    return f"array_min(transform({edges}, e -> {squared_edge_distance(x, y)}))"
 
 
-def covers(edges: Column, x: Column, y: Column) -> Column:
-    """Point in polygon by crossing parity; boundary points count as covered."""
-    odd = F.size(F.filter(edges, lambda e: crosses(e, x, y))) % 2 == 1
-    return odd | F.exists(edges, lambda e: touches(e, x, y))
+def squared_box_distance(p: str, x: str, y: str) -> str:
+    """Squared distance to the bounding box minx..maxy of an item; 0 inside it."""
+    return (f"(pow(greatest({p}.minx - {x}, {x} - {p}.maxx, 0D), 2) "
+            f"+ pow(greatest({p}.miny - {y}, {y} - {p}.maxy, 0D), 2))")
 
 
-def squared_box_distance(p: Column, x: Column, y: Column) -> Column:
-    """Squared distance to the bounding box minx..maxy of an item; 0 inside it."""
-    dx = F.greatest(p["minx"] - x, x - p["maxx"], F.lit(0.0))
-    dy = F.greatest(p["miny"] - y, y - p["maxy"], F.lit(0.0))
-    return dx * dx + dy * dy
+def in_box(p: str, x: str, y: str, reach: str) -> str:
+    return (f"({x} >= {p}.minx - {reach} AND {x} <= {p}.maxx + {reach} "
+            f"AND {y} >= {p}.miny - {reach} AND {y} <= {p}.maxy + {reach})")
 
 
-def interior_point(rings: Column) -> Column:
+def interior_point(rings: str = "rings") -> Column:
     """A point inside the polygon: middle of the widest run along the central latitude."""
     edges = ring_edges(rings)
     ys = F.transform(edges, lambda e: e["y1"])

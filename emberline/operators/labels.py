@@ -52,10 +52,13 @@ def fixed_gates() -> dict[str, Column]:
 
 
 def with_weak_label(df: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
-    """Add ``target_label``; thresholds come from a one-row frame as scalar subqueries."""
-    gates = fixed_gates() if thresholds is None else {
-        n: thresholds.select(n).scalar() for n in C.THRESHOLD_NAMES}
-    return df.withColumn("target_label", label_column(df, gates))
+    """Add ``target_label``; thresholds come from a one-row frame as one scalar subquery."""
+    if thresholds is None:
+        return df.withColumn("target_label", label_column(df, fixed_gates()))
+    row = thresholds.select(F.struct(*C.THRESHOLD_NAMES)).scalar()
+    gates = {n: F.col(f"_gates.{n}") for n in C.THRESHOLD_NAMES}
+    return df.withColumn("_gates", row).withColumn("target_label", label_column(df, gates)) \
+        .drop("_gates")
 
 
 def training_corpus(df: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:

@@ -80,24 +80,41 @@ def nearest_responders(df: DataFrame, responders: DataFrame, per_kind: int = 1,
     def of_kind(measured, kind):
         return F.filter(measured, lambda m: m["kind"] == kind)
 
+    def least(measured, count):
+        """The first few by (distance, id); a handful of scans beats sorting every array."""
+        if count > 3:
+            return F.slice(F.array_sort(measured), 1, count)
+        found, rest = [], measured
+        for _ in range(count):
+            found.append(F.array_min(rest))
+            rest = above(measured, found[-1])
+        return F.array_compact(F.array(*found))
+
+    def above(measured, floor):
+        return F.filter(measured, lambda m: m > floor)
+
     def best(measured):
-        return F.flatten(F.array(*[
-            F.slice(F.array_sort(of_kind(measured, k)), 1, per_kind) for k in kinds]))
+        return F.flatten(F.array(*[least(of_kind(measured, k), per_kind) for k in kinds]))
+
+    reach_lat = max_km * 1.01 / C.KM_PER_DEGREE
 
     def hit(items):
-        measured = F.transform(items, lambda r: F.struct(
+        # the cheap latitude test spares most of the trigonometry
+        close = F.filter(items, lambda r: F.abs(r["lat"] - lat) <= reach_lat)
+        measured = F.transform(close, lambda r: F.struct(
             geo.haversine_km(lat, lon, r["lat"], r["lon"]).alias("km"), r["id"].alias("id"),
             r["kind"].alias("kind"), r["name"].alias("name"), r["lat"].alias("lat"),
             r["lon"].alias("lon")))
-        return best(F.filter(measured, lambda m: m["km"] <= max_km))
+        return F.filter(measured, lambda m: m["km"] <= max_km)
 
     found = T.lookup(df.select(id_col, "latitude", "longitude"), layer, hit, id_col,
-                     merge=lambda h: F.flatten(F.collect_list(h)))
+                     merge=lambda h: F.flatten(F.collect_list(h)), refine=best)
     # an empty answer still yields one row per kind
     slots = F.array(*[
         F.struct(F.lit(k).alias("kind"), F.lit(i + 1).alias("rank"),
                  F.get(of_kind(F.col("top"), k), i).alias("r"))
         for k in kinds for i in range(per_kind)])
+    # parts of a crowded tile contribute their own best few each
     rows = found.withColumn("top", best(F.coalesce(
         F.col("hit"), F.array().cast(found.schema["hit"].dataType)))) \
         .select(id_col, F.explode(slots).alias("s")) \

@@ -37,10 +37,10 @@ def filter_map(df: DataFrame, bbox: Sequence[float] | None = None,
 def cell_report(df: DataFrame, resolution: int = 6, bbox: Sequence[float] | None = None,
                 states: Sequence[str] | None = None, min_detections: int = 1,
                 limit: int | None = C.MAX_CELLS) -> DataFrame:
-    """Detections rolled up to map cells, most urgent first.
+    """Detections rolled up to map cells, most urgent first, in a single aggregation.
 
-    Counting by (cell, priority, state, day) comes first, so the cell-level step sees a bounded
-    number of rows however many detections a cell holds.
+    Every aggregate combines map-side, and its buffer holds at most the distinct days, powers
+    (two decimals) and names of a cell, so a cell with most of the rows is no bottleneck.
     """
     zoom_res = min(max(resolution, C.MIN_MAP_RESOLUTION), C.MAX_MAP_RESOLUTION)
     stored = grid.roll_up(F.col("cell"), zoom_res) if "cell" in df.columns \
@@ -51,6 +51,7 @@ def cell_report(df: DataFrame, resolution: int = 6, bbox: Sequence[float] | None
         F.coalesce(column_or(df, "priority").cast("string"), F.lit("NON_ALERT")).alias("priority"),
         F.coalesce(column_or(df, "state").cast("string"), F.lit("UNKNOWN")).alias("state"),
         norm_bool(column_or(df, "suppressed")).alias("suppressed")).where("cell IS NOT NULL")
+    rank = rules.priority_rank(F.col("priority"))
     stats = rows.groupBy("cell").agg(
         F.count(F.lit(1)).alias("detections"), F.countDistinct("day").alias("days_observed"),
         F.max("frp").alias("frp_max_mw"), F.median("frp").alias("frp_median_mw"),
@@ -58,18 +59,12 @@ def cell_report(df: DataFrame, resolution: int = 6, bbox: Sequence[float] | None
         F.count_if(F.col("priority") == "P0_EMERGENCY").alias("p0"),
         F.count_if(F.col("priority") == "P1_ALERT").alias("p1"),
         F.count_if("suppressed").alias("suppressed"),
-        F.min(rules.priority_rank(F.col("priority"))).alias("top_rank"))
-    modes = rows.groupBy("cell", "priority", "state").agg(F.count(F.lit(1)).alias("n"))
-
-    def dominant(name, rank):
-        counts = modes.groupBy("cell", name).agg(F.sum("n").alias("n"))
-        return counts.groupBy("cell").agg(
-            F.max_by(name, F.struct("n", rank)).alias(f"dominant_{name}"))
-
-    # ties: the more urgent priority, the state whose name sorts last
+        F.min(rank).alias("top_rank"),
+        # ties: the more urgent priority, the state whose name sorts first
+        F.mode(F.concat(rank.cast("string"), F.col("priority")), True).alias("_priority"),
+        F.mode("state", True).alias("dominant_state"))
     report = (stats.where(F.col("detections") >= max(1, min_detections))
-              .join(dominant("priority", -rules.priority_rank(F.col("priority"))), "cell")
-              .join(dominant("state", F.col("state")), "cell")
+              .withColumn("dominant_priority", F.expr("substring(_priority, 2)"))
               .select("cell", F.lit(C.ZOOM_BY_RESOLUTION[zoom_res]).alias("zoom"), "detections",
                       "days_observed", half_up(F.col("frp_max_mw"), 2).alias("frp_max_mw"),
                       half_up(F.col("frp_median_mw"), 2).alias("frp_median_mw"),

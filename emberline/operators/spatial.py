@@ -31,12 +31,11 @@ class JoinConfig:
 
 def with_edges(polygons: DataFrame) -> DataFrame:
     """Edges and bounding box of the ``rings`` column; polygons without edges are dropped."""
-    edged = polygons.withColumn("edges", geo.ring_edges(F.col("rings"))).drop("rings") \
-        .where(F.size("edges") > 0)
-    xs = F.transform("edges", lambda e: e["x1"])
-    ys = F.transform("edges", lambda e: e["y1"])
-    return edged.withColumns({"minx": F.array_min(xs), "maxx": F.array_max(xs),
-                              "miny": F.array_min(ys), "maxy": F.array_max(ys)})
+    edged = polygons.withColumn("edges", geo.ring_edges("rings")).drop("rings") \
+        .where("size(edges) > 0")
+    return edged.selectExpr(
+        "*", "array_min(edges.x1) AS minx", "array_max(edges.x1) AS maxx",
+        "array_min(edges.y1) AS miny", "array_max(edges.y1) AS maxy")
 
 
 def polygon_spec(polygons: DataFrame, id_col: str, size: float, reach: float,
@@ -47,22 +46,17 @@ def polygon_spec(polygons: DataFrame, id_col: str, size: float, reach: float,
     latitude band to its right (containment) and those within reach (distance).
     """
     df = polygons if "edges" in polygons.columns else with_edges(polygons)
-    x0, y0 = F.col("_tx") * F.lit(size), F.col("_ty") * F.lit(size)
-    x1, y1 = x0 + size, y0 + size
     slack = reach + 1e-9
-
-    def matters(e):
-        low_x, high_x = F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])
-        low_y, high_y = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
-        band = (high_y >= y0 - 1e-9) & (low_y <= y1 + 1e-9) & (high_x >= x0 - 1e-9)
-        near = ((high_y >= y0 - slack) & (low_y <= y1 + slack)
-                & (high_x >= x0 - slack) & (low_x <= x1 + slack))
-        return band | near
-
-    item = F.struct(
-        F.col(id_col).alias("poly_id"), "minx", "miny", "maxx", "maxy",
-        F.filter("edges", matters).alias("edges"),
-        F.struct(F.lit(1).alias("matched"), *[F.col(a) for a in attrs]).alias("attrs"))
+    x0, y0, x1, y1 = (f"({t} * {size!r}D)" for t in ("_tx", "_ty", "(_tx + 1)", "(_ty + 1)"))
+    right = f"greatest(e.x1, e.x2) >= {x0} - "
+    band = (f"greatest(e.y1, e.y2) >= {y0} - {{0}} AND least(e.y1, e.y2) <= {y1} + {{0}} "
+            f"AND {right}{{0}}")
+    matters = (f"({band.format('1e-9D')}) OR ({band.format(f'{slack!r}D')} "
+               f"AND least(e.x1, e.x2) <= {x1} + {slack!r}D)")
+    fields = "".join(f", '{a}', {a}" for a in attrs)
+    item = F.expr(f"named_struct('poly_id', {id_col}, 'minx', minx, 'miny', miny, 'maxx', maxx, "
+                  f"'maxy', maxy, 'edges', filter(edges, e -> {matters}), "
+                  f"'attrs', named_struct('matched', 1{fields}))")
     bounds = (F.col("minx") - slack, F.col("miny") - slack,
               F.col("maxx") + slack, F.col("maxy") + slack)
     return T.LayerSpec(df, bounds, item, size, F.size("edges") * 56 + 200)
@@ -73,13 +67,11 @@ def polygon_layer(polygons: DataFrame, id_col: str, size: float, reach: float,
     return T.build_layers([polygon_spec(polygons, id_col, size, reach, attrs)], per_part)[0]
 
 
-def _near_box(p: Column, x: Column, y: Column, reach: Column | float) -> Column:
-    return ((x >= p["minx"] - reach) & (x <= p["maxx"] + reach)
-            & (y >= p["miny"] - reach) & (y <= p["maxy"] + reach))
+X, Y = "longitude", "latitude"
 
 
-def _covered_by(p: Column, x: Column, y: Column) -> Column:
-    return _near_box(p, x, y, 1e-12) & geo.covers(p["edges"], x, y)
+def _covered(p: str = "p") -> str:
+    return f"({geo.in_box(p, X, Y, '1e-12D')} AND {geo.covers(p + '.edges', X, Y)})"
 
 
 def buffer_degrees(df: DataFrame, cfg: JoinConfig) -> Column:
@@ -100,21 +92,19 @@ def polygon_match(df: DataFrame, polygons: DataFrame, cfg: JoinConfig = JoinConf
     names = [c for c in SITE_COLUMNS if c in polygons.columns] if attrs is None else list(attrs)
     max_reach = (cfg.buffer_m + (3000.0 if cfg.adaptive else 0.0)) / (C.KM_PER_DEGREE * 1000.0)
     layer = polygon_layer(polygons, "poly_id", cfg.tile_deg, max_reach, names, cfg.per_part)
-    x, y, radius = F.col("longitude"), F.col("latitude"), buffer_degrees(df, cfg)
+    near = (f"({geo.in_box('p', X, Y, '_radius')} AND exists(p.edges, e -> "
+            f"{geo.squared_edge_distance(X, Y)} <= _radius * _radius))")
 
     def hit(items):
-        exact = T.first_match(items, lambda p: _covered_by(p, x, y))
-        near = T.first_match(items, lambda p: _near_box(p, x, y, radius) & F.exists(
-            p["edges"], lambda e: geo.squared_edge_distance(e, x, y) <= radius * radius))
-
-        def answer(rank, p):
-            return F.struct(F.lit(rank).alias("rank"), p["poly_id"].alias("poly_id"),
-                            p["attrs"].alias("attrs"))
+        def answer(rank, test):
+            return (f"transform(slice(filter({items}, p -> {test}), 1, 1), p -> named_struct("
+                    f"'rank', {rank}, 'poly_id', p.poly_id, 'attrs', p.attrs))")
 
-        return F.when(exact.isNotNull(), answer(0, exact)) \
-            .when(near.isNotNull(), answer(1, near))
+        return F.expr(f"coalesce(get({answer(0, _covered())}, 0), get({answer(1, near)}, 0))")
 
-    return T.lookup(df, layer, hit, id_col, max_broadcast=cfg.max_broadcast)
+    found = T.lookup(df.withColumn("_radius", buffer_degrees(df, cfg)), layer, hit, id_col,
+                     max_broadcast=cfg.max_broadcast)
+    return found.drop("_radius")
 
 
 def nearest_km(df: DataFrame, polygons: DataFrame, cfg: JoinConfig = JoinConfig(),
@@ -124,51 +114,46 @@ def nearest_km(df: DataFrame, polygons: DataFrame, cfg: JoinConfig = JoinConfig(
 
     Each round looks a little further; an answer within a round's reach is final.
     """
-    x, y = F.col("longitude"), F.col("latitude")
     wanted = F.lit(True) if needed is None else needed
     edged = with_edges(polygons.select("poly_id", "rings"))
     layers = T.build_layers([polygon_spec(edged, "poly_id", r, r) for r in cfg.rounds],
                             cfg.per_part)
     rounds = [(r, layer) for r, layer in zip(cfg.rounds, layers) if not layer.empty]
 
-    def within(items, reach):
+    def within(items: str, reach: float) -> Column:
         # polygons whose box is no closer than the best so far are skipped
-        def closer(best, p):
-            edge = F.array_min(F.transform(
-                p["edges"], lambda e: geo.squared_edge_distance(e, x, y)))
-            box = geo.squared_box_distance(p, x, y)
-            return F.when(box > best, best) \
-                .when((box == 0.0) & geo.covers(p["edges"], x, y), F.lit(0.0)) \
-                .otherwise(F.least(best, edge))
-
-        best = F.sqrt(F.aggregate(items, F.lit(reach * reach * 1.0000001), closer))
-        return F.when(best <= reach, best)
+        box = geo.squared_box_distance("p", X, Y)
+        closest = geo.min_squared_distance("p.edges", X, Y)
+        best = (f"sqrt(aggregate({items}, {reach * reach * 1.0000001!r}D, (best, p) -> "
+                f"CASE WHEN {box} > best THEN best WHEN {_covered()} THEN 0D "
+                f"ELSE least(best, {closest}) END))")
+        return F.expr(f"transform(array({best}), d -> CASE WHEN d <= {reach!r}D THEN d END)[0]")
 
     if all(r.max_parts <= 1 and r.n_bytes <= cfg.max_broadcast for _, r in rounds):
-        out = _nearest_in_place(df, rounds, within, wanted, x, y)
+        out = _nearest_in_place(df, rounds, within, wanted)
     else:
-        out = _nearest_by_rounds(df, rounds, within, wanted, x, y, id_col, cfg)
+        out = _nearest_by_rounds(df, rounds, within, wanted, id_col, cfg)
     km = F.when(F.col("_deg").isNotNull(), half_up(F.col("_deg") * C.KM_PER_DEGREE, 2)) \
         .otherwise(F.lit(C.NO_POLYGON_KM))
     return out.withColumn(name, km).drop("_deg")
 
 
-def _nearest_in_place(df, rounds, within, wanted, x, y):
+def _nearest_in_place(df, rounds, within, wanted):
     """All rounds as broadcast lookups of one pass; coalesce stops at the first answer."""
     keys, out = {}, df
     for i, (reach, _) in enumerate(rounds):
-        keys[f"_tx{i}"], keys[f"_ty{i}"] = T.tile_of(y, x, reach)
+        keys[f"_tx{i}"], keys[f"_ty{i}"] = T.tile_of(F.col(Y), F.col(X), reach)
     out = df.withColumns(keys)
     for i, (_, layer) in enumerate(rounds):
         side = layer.tiles.select(F.col("_tx").alias(f"_tx{i}"), F.col("_ty").alias(f"_ty{i}"),
                                   F.col("items").alias(f"_items{i}"))
         out = out.join(F.broadcast(side), [f"_tx{i}", f"_ty{i}"], "left")
-    tries = [within(F.col(f"_items{i}"), float(reach)) for i, (reach, _) in enumerate(rounds)]
+    tries = [within(f"_items{i}", float(reach)) for i, (reach, _) in enumerate(rounds)]
     found = F.coalesce(*tries) if tries else F.lit(None).cast("double")
     return out.select(*df.columns, F.when(wanted, found).alias("_deg"))
 
 
-def _nearest_by_rounds(df, rounds, within, wanted, x, y, id_col, cfg):
+def _nearest_by_rounds(df, rounds, within, wanted, id_col, cfg):
     """One lookup per round for large or crowded layers.
 
     Rows already settled move to tiles of their own, so a later round neither compares nor
@@ -179,8 +164,8 @@ def _nearest_by_rounds(df, rounds, within, wanted, x, y, id_col, cfg):
     for reach, layer in rounds:
         open_row = F.col("_deg").isNull() & wanted
         parked = 1000.0 + F.pmod(F.xxhash64(F.col(id_col)), F.lit(997)) * float(reach)
-        keyed = out.withColumns({"_ly": F.when(open_row, y).otherwise(parked),
-                                 "_lx": F.when(open_row, x).otherwise(0.0)})
+        keyed = out.withColumns({"_ly": F.when(open_row, F.col(Y)).otherwise(parked),
+                                 "_lx": F.when(open_row, F.col(X)).otherwise(0.0)})
         seen = T.lookup(keyed, layer, lambda items, r=float(reach): within(items, r), id_col,
                         "_ly", "_lx", "_try", max_broadcast=cfg.max_broadcast)
         out = seen.withColumn("_deg", F.coalesce("_deg", "_try")) \
@@ -232,10 +217,9 @@ def forest_flag(df: DataFrame, forests: DataFrame | None, id_col: str = "detecti
     if forests is None:
         return df.withColumn("in_forest", F.lit(False))
     layer = polygon_layer(forests, forest_id, tile_deg, 0.0, (), per_part)
-    x, y = F.col("longitude"), F.col("latitude")
 
     def hit(items):
-        return F.when(F.exists(items, lambda p: _covered_by(p, x, y)), F.lit(True))
+        return F.expr(f"CASE WHEN exists({items}, p -> {_covered()}) THEN true END")
 
     found = T.lookup(df, layer, hit, id_col, name="in_forest", merge=F.max,
                      max_broadcast=max_broadcast)

@@ -113,37 +113,44 @@ def _attach(points: DataFrame, tiles: DataFrame, how: str, small: bool,
     return left.drop("_hot").join(right.drop("_hot"), keys + ["_salt"], how).drop("_salt")
 
 
-def lookup(points: DataFrame, layer: TileLayer, hit: Callable[[Column], Column], id_col: str,
+def lookup(points: DataFrame, layer: TileLayer, hit: Callable[[str], Column], id_col: str,
            lat: str = "latitude", lon: str = "longitude", name: str = "hit",
            merge: Callable[[Column], Column] = F.min,
+           refine: Callable[[Column], Column] | None = None,
            max_broadcast: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """Add ``name`` = ``hit(items)`` for the items of each point's tile.
+    """Add ``name`` = ``hit("items")`` for the item array of each point's tile.
 
-    ``merge`` folds the answers of a tile's parts into one (an aggregate that ignores NULL).
+    ``refine`` may reduce a part's answer in a step of its own, so that an answer it reads several
+    times is computed once. ``merge`` folds the answers of a tile's parts into one (an aggregate that ignores NULL).
     """
     tx, ty = tile_of(F.col(lat), F.col(lon), layer.size)
     columns = points.columns
+
+    def step(df):
+        return df if refine is None else df.withColumn(name, refine(F.col(name)))
+
     located = points.withColumns({"_tx": tx, "_ty": ty})
     small = layer.n_bytes <= max_broadcast
     if layer.max_parts <= 1:
         joined = _attach(located, layer.tiles.drop("part", "parts"), "left", small)
-        return joined.select(*columns, hit(F.col("items")).alias(name))
+        return step(joined.select(*columns, hit("items").alias(name)))
     # one row per tile, without the array where the tile has several parts
     dense = layer.tiles.where("parts > 1").drop("parts", "part")
     present = layer.tiles.groupBy("_tx", "_ty").agg(
         F.max("parts").alias("parts"),
         F.max(F.when(F.col("parts") == 1, F.col("items"))).alias("items"))
-    direct = _attach(located, present, "left", small) \
-        .where(F.coalesce(F.col("parts"), F.lit(1)) == 1) \
-        .select(*columns, hit(F.col("items")).alias(name))
+    direct = step(_attach(located, present, "left", small)
+                  .where(F.coalesce(F.col("parts"), F.lit(1)) == 1)
+                  .select(*columns, hit("items").alias(name)))
     row = F.struct(*[F.col(c) for c in columns])
-    folded = _attach(located, dense, "inner", small) \
-        .select(F.col(id_col).alias("_id"), row.alias("_row"), hit(F.col("items")).alias("_h")) \
+    folded = step(_attach(located, dense, "inner", small)
+                  .select(*columns, hit("items").alias(name))) \
+        .select(F.col(id_col).alias("_id"), row.alias("_row"), F.col(name).alias("_h")) \
         .groupBy("_id").agg(F.first("_row").alias("_row"), merge(F.col("_h")).alias(name)) \
         .select("_row.*", name)
     return direct.unionByName(folded)
 
 
-def first_match(items: Column, test: Callable[[Column], Column]) -> Column:
+def first_match(items: Column | str, test: Callable[[Column], Column]) -> Column:
     """The first item passing a test, NULL when none does."""
     return F.get(F.filter(items, test), 0)

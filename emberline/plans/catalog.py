@@ -13,6 +13,7 @@ from emberline.operators import (
     dossier, incidents, labels, optical, proximity, quantiles, recurrence, reports, spatial,
     thermal, verified)
 from emberline.plans import tables as T
+from emberline.session import checkpoint_root
 from emberline.sources import documents, firms, landuse, osm
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,12 @@ def scored(spark: SparkSession, sf: str, neighbours: bool = False) -> DataFrame:
     return recurrence.evaluate(T.keyed(spark, sf), neighbours=neighbours)
 
 
+def scored_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The scored corpus written once, for reports that read it more than once."""
+    checkpoint_root(spark)
+    return scored(spark, sf).checkpoint()
+
+
 def history(spark: SparkSession, sf: str) -> DataFrame:
     return recurrence.source_history(T.keyed(spark, sf))
 
@@ -158,7 +165,7 @@ def map_assembly(spark, sf):
             F.when(r == 0, "outer").otherwise("inner").alias("role"),
             (F.col("poly_id") * 10 + r).alias("ref"))).alias("members"))
     built = osm.with_tag_columns(osm.assemble(ways, nodes, relations), ("landuse",))
-    edges = geo.ring_edges(F.col("rings"))
+    edges = geo.ring_edges("rings")
     return built.select("osm_id", "landuse", "missing_nodes", F.size(edges).alias("n_edges"),
                         text.half_up(F.array_max(F.transform(edges, lambda e: e["x1"])), 6)
                         .alias("max_x"))
@@ -334,19 +341,19 @@ def hex_filtered(spark, sf):
 
 @query
 def hex_summary(spark, sf):
-    df = scored(spark, sf)
+    df = scored_table(spark, sf)
     return reports.cell_summary(df, reports.cell_report(df, 4, limit=None),
                                 reports.cell_report(df, 4, limit=40), 4)
 
 
 @query
 def register(spark, sf):
-    return reports.facility_register(scored(spark, sf), 5)
+    return reports.facility_register(scored_table(spark, sf), 5)
 
 
 @query
 def register_summary(spark, sf):
-    df = scored(spark, sf)
+    df = scored_table(spark, sf)
     return reports.register_summary(reports.facility_register(df, 5, limit=25), df)
 
 

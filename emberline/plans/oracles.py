@@ -445,8 +445,8 @@ SELECT target_label, true_share, sampled_share, true_share / sampled_share AS fa
 dp AS (SELECT mc, arg_max(priority, n * 10 - rk) AS p FROM (SELECT mc, priority, rk, count(*) AS n
   FROM c GROUP BY 1, 2, 3) GROUP BY 1),
 ds AS (SELECT mc, arg_max(state, n * 10 + so) AS s FROM (SELECT mc, state, count(*) AS n,
-  CASE state WHEN 'ACCIDENTAL_FIRE' THEN 1 WHEN 'ESCALATED_FLAREUP' THEN 2 WHEN 'MONITORING' THEN 3
-  WHEN 'PERSISTENT_BASELINE' THEN 4 ELSE 5 END AS so FROM c GROUP BY 1, 2) GROUP BY 1)
+  CASE state WHEN 'ACCIDENTAL_FIRE' THEN 5 WHEN 'ESCALATED_FLAREUP' THEN 4 WHEN 'MONITORING' THEN 3
+  WHEN 'PERSISTENT_BASELINE' THEN 2 ELSE 1 END AS so FROM c GROUP BY 1, 2) GROUP BY 1)
 SELECT c.mc AS cell, count(*) AS detections, count(DISTINCT acq_date) AS days_observed,
   {hu('max(frp)', 2)} AS frp_max_mw, {hu('median(CAST(frp AS DOUBLE))', 2)} AS frp_median_mw,
   {hu(FRP_SUM, 1)} AS frp_total_mw, count(*) FILTER (rk = 0) AS p0,

@@ -26,7 +26,7 @@ def responders(points: DataFrame, polygons: DataFrame) -> DataFrame:
         raise ValueError("both responder layers are required")
     amenity_p, tags_p = column_or(points, "amenity"), column_or(points, "other_tags")
     amenity_m, tags_m = column_or(polygons, "amenity"), column_or(polygons, "other_tags")
-    inner = geo.interior_point(F.col("rings"))
+    inner = geo.interior_point("rings")
     near = points.where(facility.responder_feature(amenity_p, tags_p, "points")).select(
         "osm_id", F.col("name").alias("responder_name"), "latitude", "longitude",
         facility.responder_kind(amenity_p, tags_p).alias("responder_kind"),

@@ -126,8 +126,8 @@ def test_interior_point_is_inside(spark):
     u_shape = [[(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (8.0, 9.0), (8.0, 1.0), (1.0, 1.0),
                 (1.0, 9.0), (0.0, 9.0), (0.0, 0.0)]]
     df = spark.createDataFrame([(u_shape,)], "rings array<array<struct<x:double,y:double>>>")
-    p = geo.interior_point(F.col("rings"))
-    assert df.select(geo.covers(geo.ring_edges(F.col("rings")), p["x"], p["y"])).first()[0]
+    shaped = df.select(geo.ring_edges("rings").alias("edges"), geo.interior_point("rings").alias("p"))
+    assert shaped.select(F.expr(geo.covers("edges", "p.x", "p.y"))).first()[0]
 
 
 def test_known_fire_is_recovered(spark):
