@@ -50,32 +50,44 @@ class LayerSpec:
     size: float
     item_bytes: Column | int = 64
 
-    def spread(self, *columns: Column | str) -> DataFrame:
+    def spans(self) -> tuple[Column, Column]:
+        """Tile columns and rows the bounds touch."""
         west, south, east, north = self.bounds
 
         def span(low, high):
             return F.sequence(F.floor(low / self.size).cast("int"),
                               F.floor(high / self.size).cast("int"))
 
-        return (self.items.withColumn("_tx", F.explode(span(west, east)))
-                .withColumn("_ty", F.explode(span(south, north)))
-                .select("_tx", "_ty", *columns))
+        return span(west, east), span(south, north)
+
+    def spread(self, *columns: Column | str) -> DataFrame:
+        across, down = self.spans()
+        return (self.items.withColumn("_tx", F.explode(across))
+                .withColumn("_ty", F.explode(down)).select("_tx", "_ty", *columns))
 
 
 def build_layers(specs: list[LayerSpec], per_part: int = ITEMS_PER_PART) -> list[TileLayer]:
-    """Index several specs; one small job measures bytes and crowding of all of them."""
-    def counts(spec, i):
+    """Index one frame of items by several specs.
+
+    One job measures bytes and crowding of every spec: an item unfolds to its tiles of all specs
+    at once, and only counts per tile are kept.
+    """
+    def reach(i, spec):
+        across, down = spec.spans()
         weight = F.lit(spec.item_bytes) if isinstance(spec.item_bytes, int) else spec.item_bytes
-        return spec.spread(weight.cast("long").alias("_b")).groupBy(
-            F.lit(i).alias("_i"), "_tx", "_ty").agg(
-            F.ceil(F.count(F.lit(1)) / F.lit(per_part)).cast("int").alias("parts"),
-            F.sum("_b").alias("_b"))
-
-    every = [counts(spec, i) for i, spec in enumerate(specs)]
-    merged = every[0]
-    for frame in every[1:]:
-        merged = merged.unionByName(frame)
-    stats = {r["_i"]: r for r in merged.groupBy("_i").agg(
+        return F.struct(F.lit(i).alias("_i"), across.alias("x"), down.alias("y"),
+                        weight.cast("long").alias("_b"))
+
+    if any(spec.items is not specs[0].items for spec in specs):
+        raise ValueError("specs must share their items")
+    counts = (specs[0].items
+              .select(F.explode(F.array(*[reach(i, s) for i, s in enumerate(specs)])).alias("r"))
+              .select("r._i", "r._b", "r.y", F.explode("r.x").alias("_tx"))
+              .select("_i", "_b", "_tx", F.explode("y").alias("_ty"))
+              .groupBy("_i", "_tx", "_ty")
+              .agg(F.ceil(F.count(F.lit(1)) / F.lit(per_part)).cast("int").alias("parts"),
+                   F.sum("_b").alias("_b")))
+    stats = {r["_i"]: r for r in counts.groupBy("_i").agg(
         F.sum("_b").alias("b"), F.max("parts").alias("p")).collect()}
     layers = []
     for i, spec in enumerate(specs):
@@ -84,7 +96,8 @@ def build_layers(specs: list[LayerSpec], per_part: int = ITEMS_PER_PART) -> list
         if parts <= 1:
             parted = located.withColumns({"parts": F.lit(1), "part": F.lit(0)})
         else:
-            parted = located.join(every[i].select("_tx", "_ty", "parts"), ["_tx", "_ty"]) \
+            parted = located.join(counts.where(F.col("_i") == i).select("_tx", "_ty", "parts"),
+                                  ["_tx", "_ty"]) \
                 .withColumn("part", F.pmod(F.xxhash64("_item"), F.col("parts")).cast("int"))
         tiles = parted.groupBy("_tx", "_ty", "part", "parts").agg(
             F.sort_array(F.collect_list("_item")).alias("items"))
@@ -106,7 +119,8 @@ def _attach(points: DataFrame, tiles: DataFrame, how: str, small: bool,
     if hot is None:
         return points.join(tiles, keys, how)
     left = skew.tag_hot(points, hot, keys).withColumn(
-        "_salt", F.when(F.col("_hot"), F.floor(F.rand(17) * salts)).otherwise(0).cast("int"))
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*points.columns), F.lit(salts)))
+        .otherwise(0).cast("int"))
     right = skew.tag_hot(tiles, hot, keys).withColumn("_salt", F.explode(
         F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
         .otherwise(F.array(F.lit(0)))))

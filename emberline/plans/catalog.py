@@ -13,6 +13,7 @@ from emberline.operators import (
     dossier, incidents, labels, optical, proximity, quantiles, recurrence, reports, spatial,
     thermal, verified)
 from emberline.plans import tables as T
+from emberline.plans import training
 from emberline.session import checkpoint_root
 from emberline.sources import documents, firms, landuse, osm
 
@@ -173,7 +174,10 @@ def map_assembly(spark, sf):
 
 @query
 def hub_boxes(spark, sf):
-    return spatial.in_boxes(T.detections(spark, sf)).select("detection_id", "hub_name")
+    places = T.raw(spark, sf, "orders").selectExpr(
+        "o_orderkey", "8e0 + ((o_orderkey * 7919) % 2600) / 1e2 AS latitude",
+        "69e0 + ((o_orderkey * 6101) % 2700) / 1e2 AS longitude")
+    return spatial.in_boxes(places).select("o_orderkey", "hub_name")
 
 
 @query
@@ -777,6 +781,37 @@ def planck_radiance(spark, sf):
         physics.planck_radiance(3.74, F.col("bright_ti4")) / 1e3, 3).alias("radiance"))
 
 
+# --- model ------------------------------------------------------------------------
+
+
+def _trained(spark, sf):
+    corpus = labels.split(_simple_labels(spark, sf))
+    train = training.feature_frame(corpus.where("split = 'train'"))
+    test = training.feature_frame(corpus.where("split = 'test'"))
+    return training.fit_forest(train, cfg=training.ModelConfig(trees=10)), train, test
+
+
+@query
+def model_metrics(spark, sf):
+    model, _, test = _trained(spark, sf)
+    return training.metrics(training.predict(model, test))
+
+
+@query
+def model_factors(spark, sf):
+    model, train, test = _trained(spark, sf)
+    alerts = test.where("inside_industrial = 1 AND frp >= 10")
+    medians = training.training_medians(train, features.FEATURES)
+    return training.occlusion_factors(model, alerts, medians).select(
+        "detection_id", "rank", "feature", "contribution")
+
+
+@query
+def block_folds(spark, sf):
+    folds = training.block_folds(T.detections(spark, sf), 5)
+    return folds.groupBy("block", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- text -------------------------------------------------------------------------
 
 

@@ -366,10 +366,11 @@ SELECT concat('way/', CAST(poly_id * 10 + r AS VARCHAR)) AS osm_id, 'industrial'
   WHERE poly_id % 3 = 0
 UNION ALL SELECT concat('relation/', CAST(poly_id AS VARCHAR)), 'industrial', 0, n,
   {hu('cx + mx', 6)} FROM site JOIN rings USING (shape) WHERE r = 0""",
-    "hub_boxes": f"""WITH {DET}, hub(hub_name, s, w, n, e) AS (VALUES {", ".join(
+    "hub_boxes": f"""WITH pl AS (SELECT o_orderkey, 8e0 + ((o_orderkey * 7919) % 2600) / 1e2 AS latitude,
+  69e0 + ((o_orderkey * 6101) % 2700) / 1e2 AS longitude FROM orders), hub(hub_name, s, w, n, e) AS (VALUES {", ".join(
         f"('{k}', {b[0]!r}::DOUBLE, {b[1]!r}::DOUBLE, {b[2]!r}::DOUBLE, {b[3]!r}::DOUBLE)"
         for k, b in C.HUB_BOXES.items())})
-SELECT detection_id, hub_name FROM det JOIN hub ON latitude BETWEEN s AND n
+SELECT o_orderkey, hub_name FROM pl JOIN hub ON latitude BETWEEN s AND n
   AND longitude BETWEEN w AND e""",
     "cited_events_check": """SELECT s_suppkey AS seq, CASE WHEN s_suppkey % 5 = 1 THEN 'no citation'
   WHEN s_suppkey % 11 = 1 THEN 'bad dates' WHEN s_suppkey % 7 = 1 THEN 'unknown label' END AS reason

@@ -48,6 +48,6 @@ def test_matches_sql(spark, duck, name):
     assert canon(tuple(r) for r in df.select(*columns).collect()) == want
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLES and n != "forest_model"])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLES])
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
