@@ -225,13 +225,19 @@ def freshness(df: DataFrame, as_of: str) -> DataFrame:
                   rules.freshness(age).alias("badge"))
 
 
-def optical_coverage(df: DataFrame, limit: int | None = None) -> DataFrame:
+def optical_coverage(df: DataFrame) -> DataFrame:
     """Counts by optical status, severity and verdict; unmeasured stays unmeasured."""
     return df.groupBy("status", "severity").agg(
         F.count(F.lit(1)).alias("n"), F.count("dnbr").alias("measured"),
         F.count_if(F.col("dnbr").isNull()).alias("unmeasured"))
 
 
+def optical_points(df: DataFrame, limit: int, key: str = "recurrence_key") -> DataFrame:
+    """The first points of a map layer, each saying whether more were left out."""
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return df.orderBy(key).limit(limit).withColumn("truncated", total > F.lit(limit))
+
+
 def corpus_span(df: DataFrame) -> DataFrame:
     """Distinct days of a corpus and whether they are enough for thirty-day thresholds."""
     days = F.countDistinct(observed_day(df))

@@ -706,6 +706,11 @@ def optical_coverage(spark, sf):
                                      F.sum("unmeasured").alias("unmeasured"))
 
 
+@query
+def optical_points(spark, sf):
+    return reports.optical_points(_scars(spark, sf).select("recurrence_key", "status"), 40)
+
+
 @query
 def dnbr_candidates(spark, sf):
     df = optical.candidates(history(spark, sf)).withColumn("recurrence_key", F.col("source_key"))

@@ -677,6 +677,8 @@ SELECT detection_id, count(*) AS n, string_agg(action, ',' ORDER BY rn) AS actio
     "optical_coverage": f"""WITH {SCAR} SELECT status, count(*) AS n,
   count(*) FILTER (status = 'OK') AS measured, count(*) FILTER (status <> 'OK') AS unmeasured
   FROM scar GROUP BY 1""",
+    "optical_points": f"""WITH {SCAR} SELECT k AS recurrence_key, status,
+  (SELECT count(*) FROM scar) > 40 AS truncated FROM scar ORDER BY k LIMIT 40""",
     "dnbr_candidates": f"""WITH {HIST}, c AS (SELECT * FROM hist WHERE (inside_industrial
   OR frp >= 10) AND n_30d < 8)
 SELECT source_key AS recurrence_key, CAST(CAST(min(t) AS DATE) AS VARCHAR) AS event_date,
