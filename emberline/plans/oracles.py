@@ -317,6 +317,9 @@ _COMPASS = "[" + ", ".join(f"'{c}'" for c in C.COMPASS) + "]"
 _PLUME = "least(greatest(2e-2 + sqrt(greatest(frp, 1e0)) * 8e-3, 3e-2), 2e-1)"
 _HAZ = hu(f"{_PLUME} * {_KM}", 1)
 
+_FLAT = 1 / 298.257223563
+_E2 = 2 * _FLAT - _FLAT * _FLAT
+
 ORACLES: dict[str, str] = {
     # ingest
     "ingest_typed": f"WITH {TYPED} SELECT ingest_id, latitude, longitude, frp, satellite, us "
@@ -657,6 +660,22 @@ UNION ALL SELECT detection_id, NULL, NULL, false FROM x WHERE k IS NULL""",
   {hu(f'longitude - 1e0 / ({_KM} * cos(radians(latitude)))', 6)} AS west,
   {hu(f'latitude + 1e0 / {_KM}', 6)} AS north,
   {_COMPASS}[CAST(floor((frp + 1125e-2) / 225e-1) AS BIGINT) % 16 + 1] AS compass FROM keyed""",
+    "projected_position": f"""WITH {DET}, z AS (SELECT detection_id, latitude,
+  CAST(floor((longitude + 180e0) / 6e0) AS BIGINT) + 1 AS zone, radians(latitude) AS phi,
+  radians(longitude) AS lam, {_E2!r}::DOUBLE AS e2, {_E2 / (1 - _E2)!r}::DOUBLE AS ep FROM det),
+u AS (SELECT *, 6378137e0 / sqrt(1e0 - e2 * pow(sin(phi), 2)) AS n, pow(tan(phi), 2) AS t,
+  ep * pow(cos(phi), 2) AS c, cos(phi) * (lam - radians(CAST(zone * 6 - 183 AS DOUBLE))) AS q,
+  6378137e0 * ((1 - e2 / 4 - 3 * pow(e2, 2) / 64 - 5 * pow(e2, 3) / 256) * phi
+    - (3 * e2 / 8 + 3 * pow(e2, 2) / 32 + 45 * pow(e2, 3) / 1024) * sin(2 * phi)
+    + (15 * pow(e2, 2) / 256 + 45 * pow(e2, 3) / 1024) * sin(4 * phi)
+    - 35 * pow(e2, 3) / 3072 * sin(6 * phi)) AS m FROM z)
+SELECT detection_id, zone AS utm_zone, 'N' AS hemisphere,
+  substr('{C.UTM_BANDS}', CAST(floor((latitude + 80e0) / 8e0) AS BIGINT) + 1, 1) AS band,
+  {hu("5e5 + 9996e-4 * n * (q + (1 - t + c) * pow(q, 3) / 6 + (5 - 18 * t + t * t + 72 * c"
+      " - 58 * ep) * pow(q, 5) / 120)", 1)} AS easting_m,
+  {hu("9996e-4 * (m + n * tan(phi) * (q * q / 2 + (5 - t + 9 * c + 4 * c * c) * pow(q, 4) / 24"
+      " + (61 - 58 * t + t * t + 600 * c - 330 * ep) * pow(q, 6) / 720))", 1)} AS northing_m
+  FROM u""",
     "smoke_cone": f"""WITH {DET}, c AS (SELECT *, {_PLUME} AS len,
   radians((frp * 7e0) % 360e0 + 180e0) AS br,
   radians(greatest(12e0, 26e0 - scan * 1e1 * 4e-1)) AS ha FROM det)
