@@ -32,6 +32,8 @@ AROUND = frozenset("nav navigation navbar menu submenu sidebar aside footer mast
                    "recommended breadcrumb breadcrumbs pagination pager subscribe subscription newsletter signup login popup "
                    "modal overlay widget form search searchbox toolbar complementary contentinfo dialog skip "
                    "hidden paywall".split())
+#: Elements that belong to a text they stand beside.
+FLOW = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 table ul ol dl figure".split())
 #: Opening one of the first closes an open one of the second, up to the third.
 CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
           "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
@@ -130,6 +132,8 @@ def parse(page: str) -> Node:
             or (tag == "article" and bool(rest) and bool(re.search(r"(?i)\b(comment|ad|promo)s?\b", rest)))
         if node.depth < DEEPEST or dropped > node.dropped:
             node = Node(tag, node, dropped)
+        elif tag not in INLINE:
+            node.children.append(None)
     return root
 
 
@@ -247,9 +251,8 @@ def main_text(page: str) -> str:
                 continue
             density = c.linked / max(c.chars, 1)
             same = c.tag == best.tag and best.tag in MAIN
-            text = c.tag in ("p", "pre", "blockquote") and c.chars > 60 and density < 0.25
-            title = c.tag in ("h1", "h2") and density < 0.5 and best.tag not in MAIN
-            if c is best or text or title or same or (c.points >= limit and density < 0.5):
+            text = c.tag in FLOW and best.tag not in MAIN and density < 0.3
+            if c is best or text or same or (c.points >= limit and density < 0.5):
                 kept.append(c)
     out: list[str] = []
     for c in kept:

@@ -125,9 +125,9 @@ def _social(m: re.Match, key: bytes) -> str | None:
 
 
 def _phone(m: re.Match, key: bytes) -> str | None:
-    code = m["code"] or ""
+    code = re.match(r"(?:\+\d{1,3})?", m[0])[0]
     digits = re.sub(r"\D", "", m[0][len(code):])
-    if not 7 <= len(re.sub(r"\D", "", code)) + len(digits) <= 15 or len(digits) < 6:
+    if not 7 <= max(0, len(code) - 1) + len(digits) <= 15 or len(digits) < 6:
         return None
     return code + refill(m[0][len(code):], spell(digits, [DIGITS] * len(digits), key, "phone"))
 
@@ -171,9 +171,9 @@ KINDS: list[tuple[str, str, Callable[[re.Match, bytes], str | None]]] = [
     ("date", r"(?<![\d./-])(?:(?P<y1>\d{4})(?P<s1>[-/.])(?P<m1>\d{2})(?P=s1)(?P<d1>\d{2})"
              r"|(?P<a>\d{2})(?P<s2>[-/.])(?P<b>\d{2})(?P=s2)(?P<y2>\d{4}))(?!\d|[./-]\d)", _day),
     ("social", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d)", _social),
-    ("card", r"(?<![\d])\d(?:[ -]?\d){12,18}(?![\d])", _card),
-    ("phone", r"(?<![\w+])(?P<code>\+\d{1,3}(?=[ .(-]))?(?:(?<=\d)[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}"
-              r"|(?<=\d[ .-])\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d]|-\d)", _phone),
+    ("card", r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)", _card),
+    ("phone", r"(?<![\w+])(?:(?:\+1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
+              r"|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ -]?\d{2,4}){1,4})(?!\d|[.-]\d)", _phone),
 ]
 COUNTS = [f"n_{name}" for name, *_ in KINDS]
 #: Signs without which a kind cannot occur; texts without digit and @ need no look.

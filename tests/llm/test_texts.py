@@ -1,0 +1,327 @@
+"""Repetition, pseudonyms, pages, tokens, packing, search and urls against plain code."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from datetime import date
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from emberline.llm import bpe, packing, pages, pseudonyms, repetition, reputation, vptree
+from emberline.llm.queries import TEST_KEY, URL_RULES, tokenizer
+
+
+def longest_plain(words, i):
+    """Longest run from i that also starts at another place."""
+    best = 0
+    for j in range(len(words)):
+        if j != i:
+            n = 0
+            while max(i, j) + n < len(words) and words[i + n] == words[j + n]:
+                n += 1
+            best = max(best, n)
+    return best
+
+
+def test_repeats_match_plain_search():
+    rng = random.Random(1)
+    for _ in range(60):
+        words = [rng.choice("abc") for _ in range(rng.randint(0, 40))]
+        got = repetition.repeat_lengths(np.array([ord(w) for w in words], np.int64), 3)
+        assert got.tolist() == [n if n >= 3 else 0 for n in (longest_plain(words, i) for i in range(len(words)))]
+
+
+def test_repetition_rule(odd_docs, no_docs):
+    def plain(text):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+        lengths = [longest_plain(words, i) if len(words) < 2000 else 0 for i in range(len(words))]
+        cover = [sum(any(n >= least and i <= k < i + n for i, n in enumerate(lengths)) for k in range(len(words)))
+                 for least in (8, 16)]
+        lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        failed = len(words) < 20 or 100 * cover[0] > 30 * len(words)
+        longest = max(lengths, default=0)
+        longest = longest if longest >= 8 else 0
+        return (len(words), len(b"".join(words).decode()), sum(map((text or "").count, "#*$%&|<>")),
+                len(lines) - len(set(lines)), cover[0], cover[1], longest, failed,
+                not failed and 100 * cover[1] <= 20 * len(words) and longest <= 50)
+
+    rows = [r for r in odd_docs.collect() if len((r.text or "").split()) < 2000]
+    judged = repetition.judge(odd_docs)
+    assert {"doc_id", "text", "t", "n", "key"} <= set(judged.columns)
+    got = judged.select("doc_id", *repetition.COLUMNS, "base_failed", "kept").collect()
+    got = Counter(map(tuple, (r for r in got if r.n_words < 2000)))
+    assert got == Counter((r.doc_id, *plain(r.text)) for r in rows)
+    assert repetition.judge(no_docs).count() == 0
+    clash = odd_docs.withColumnRenamed("n", "n_words")
+    assert repetition.judge(clash).columns.count("n_words") == 1
+
+
+def test_permutation_is_one_to_one_and_keyed():
+    for size in (1, 2, 7, 100, 999):
+        assert sorted(pseudonyms.permute(i, size, b"k" * 32, "x") for i in range(size)) == list(range(size))
+    assert [pseudonyms.permute(i, 10**6, b"k", "x") for i in range(9)] != [pseudonyms.permute(i, 10**6, b"j", "x") for i in range(9)]
+
+
+CASES = ["a.b9@mail.example.com", "4111 1111 1111 1111", "4111-1111-1111-1111", "5500005555555559", "10.1.2.3", "1987-03-12",
+         "12.03.1987", "03/25/1999", "+1 (017) 555-7713", "(443) 555-5793", "+49 30 1234567", "123-45-6789",
+         "DE89370400440532013000", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"']
+
+
+@pytest.mark.parametrize("value", CASES)
+def test_pseudonyms_keep_the_format(value):
+    mask = pseudonyms.Pseudonyms(b"k")
+    new, counts = mask(f"so {value}, then {value}.")
+    one, two = re.fullmatch(r"so (.*), then (.*)\.", new).groups()
+    assert one == two != value and sum(counts) == 2
+    shape = lambda s: re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"\d", "9", s)))
+    if "token" not in value and not value.startswith("10."):
+        assert shape(one) == shape(value)
+    if counts[6]:
+        assert pseudonyms.luhn(re.sub(r"\D", "", one)) % 10 == 0
+    if value.startswith("1987"):
+        date.fromisoformat(one)
+    if value.startswith("10."):
+        assert all(0 <= int(p) < 256 for p in one.split("."))
+
+
+def test_pseudonyms_link_and_leave_alone():
+    mask = pseudonyms.Pseudonyms(b"k")
+    spaced, plain = mask("4111 1111 1111 1111")[0], mask("4111111111111111")[0]
+    assert spaced.replace(" ", "") == plain
+    for text in ("", "no value here", "4111111111111112", "300.1.1.1", "1987-13-12", "000-12-3456", "in 2024 some 12 345",
+                 "v1.2.3.4.5", "٤١١١١١١١١١١١١١١١", "a@b", "::: = :"):
+        assert mask(text) == (text, [0] * len(pseudonyms.KINDS))
+    assert mask("4111111111111111")[0] != pseudonyms.Pseudonyms(b"other")("4111111111111111")[0]
+
+
+def test_values_side_by_side():
+    mask = pseudonyms.Pseudonyms(b"k")
+    for text, ips, cards, phones in (
+            ("4111111111111111 10.1.2.3 12", 1, 1, 0), ("+1 (443) 555-5793 97.51.17.173", 1, 0, 1),
+            ("4111 1111 1111 1111 10", 0, 1, 0), ("7536784127813051 4111111111111111", 0, 1, 0),
+            ("10.1.2.3 +1 (443) 555-5793 4111111111111111", 1, 1, 1)):
+        new, counts = mask(text)
+        assert (counts[3], counts[6], counts[7], sum(counts)) == (ips, cards, phones, ips + cards + phones)
+        assert new.endswith(" 12") == text.endswith(" 12") and new.endswith(" 10") == text.endswith(" 10")
+        assert new.startswith("7536784127813051") == text.startswith("7536784127813051")
+
+
+def test_pseudonymise_keeps_rows(odd_docs, no_docs):
+    out = pseudonyms.pseudonymise(odd_docs, TEST_KEY)
+    mask = pseudonyms.Pseudonyms(TEST_KEY.encode())
+    want = Counter((r.doc_id, None if r.text is None else mask(r.text)[0], r.t, r.n, r.key) for r in odd_docs.collect())
+    assert Counter(tuple(r) for r in out.select(*odd_docs.columns).collect()) == want
+    assert out.where("n_email = 1 and n_phone = 1 and n_card = 1 and n_ip = 1").count() == 1
+    assert pseudonyms.pseudonymise(no_docs, TEST_KEY).count() == 0
+    assert pseudonyms.pseudonymise(odd_docs.withColumnRenamed("n", "n_ip"), TEST_KEY).columns.count("n_ip") == 1
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(tokenizer())
+
+
+def test_tokens_match_the_library(library, texts):
+    rng = random.Random(3)
+    mine = bpe.load(tokenizer())
+    odd = "abcde  \n\t'’sré中文🙂١²½\x1c\x85\xa0 <|endoftext|>#%ABC019_-\x00́"
+    more = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    more += ["<|endoftext|>" * 3, "a" * 4000, " " * 99, "\n " * 50, "'ll've"]
+    for text in [t or "" for t in texts] + more:
+        ids = mine.encode(text)
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+        assert mine.decode(ids) == library.decode(ids.tolist(), skip_special_tokens=False).encode()
+
+
+def test_incomplete_bytes_decode_as_in_the_library(library):
+    mine, rng = bpe.load(tokenizer()), random.Random(4)
+    for _ in range(2000):
+        ids = [rng.randrange(256 if rng.random() < .5 else 50257) for _ in range(rng.randint(0, 8))]
+        assert mine.decode(np.array(ids, np.uint32)).decode() == library.decode(ids, skip_special_tokens=False)
+
+
+def test_token_digests(odd_docs, no_docs, library):
+    want = []
+    for r in odd_docs.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        want.append((r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+                     hashlib.sha256((r.text or "").encode()).hexdigest()))
+    assert Counter(map(tuple, bpe.digests(odd_docs, tokenizer()).collect())) == Counter(want)
+    full = bpe.encode_decode(odd_docs, tokenizer()).collect()
+    assert Counter((r.doc_id, r.decoded) for r in full) == Counter((r.doc_id, r.text or "") for r in odd_docs.collect())
+    assert bpe.digests(no_docs, tokenizer()).count() == bpe.encode_decode(no_docs, tokenizer()).count() == 0
+
+
+def check_packing(rows, docs, capacity=2048):
+    """Every id in one piece, every sequence gapless and full enough; returns padding and ids."""
+    ids = {}
+    library = Tokenizer.from_file(tokenizer())
+    for r in docs:
+        ids[r.doc_id] = np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+    pieces = defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+    count = Counter(r.doc_id for r in docs)
+    assert set(pieces) == set(ids)
+    for doc, ps in pieces.items():
+        spans = Counter((p.start, p.length) for p in ps)
+        assert set(spans.values()) == {count[doc]}
+        at = 0
+        for start, length in sorted(spans):
+            assert start == at and length > 0
+            at += length
+        assert at == len(ids[doc]) == ps[0].doc_tokens
+        for p in ps:
+            assert p.ids_crc32 == zlib.crc32(ids[doc][p.start:p.start + p.length].tobytes())
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    padding = 0
+    for ps in sequences.values():
+        at = 0
+        for offset, length in sorted(ps):
+            assert offset == at
+            at += length
+        assert at <= capacity
+        padding += 0 if at & (at - 1) == 0 else capacity - at
+    return padding, sum(len(ids[r.doc_id]) for r in docs)
+
+
+def test_packing_of_odd_documents(odd_docs, no_docs):
+    check_packing(packing.pack(odd_docs, tokenizer()).collect(), odd_docs.collect())
+    assert packing.pack(no_docs, tokenizer()).count() == 0
+
+
+def test_packing_pads_little(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(40)
+    rows = packing.pack(docs, tokenizer()).collect()
+    padding, total = check_packing(rows, docs.collect())
+    assert padding < 0.06 * total
+
+
+def test_cut_lengths():
+    for total in [*range(0, 5000, 7), 1, 2047, 2048, 2049]:
+        lengths = packing.cut_lengths(total, 2048, 24)
+        assert sum(lengths) == total and all(0 < n <= 2048 for n in lengths)
+        assert all(2048 - 2048 // n * n <= 24 or n < 64 for n in lengths)
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>
+<div id="header"><a href=/>Home</a></div><div class="cookie-notice"><p>We use cookies, and more, all of it.</p></div>
+<nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></nav>
+<div id="content"><h1>Head &amp; Title</h1><div class=post><p>First para, with <b>bold</b>text, a <a href=x>link</a>.
+<p>Second   &lt;para&gt;&nbsp;here,<br>fine.</div><div class="sidebar"><p>Side, bar, text.</p></div>
+<div class="ad">Buy, now, cheap, things, here, today.</div><table><tr><td>cell a<td>cell b</table></div>
+<div id="comments"><div class="comment"><p>Nice, post, man, really, cool, great, wow, ok, sure.</p></div></div>
+<form><p>Your name, please</p><input></form><footer>Foot &copy; 2020</footer><script>if(a<b){x("</p>")}</script></body>"""
+
+
+def test_main_text_of_pages():
+    assert pages.main_text(PAGE) == "Head & Title First para, with boldtext, a link. Second <para> here, fine. cell a cell b"
+    cases = {"": "", "plain, no tags": "plain, no tags", "<p>one<p>two": "one two", "<article><p>x &am": "x &am",
+             "<script>never ends <p>x": "", "<!-- <p>no</p> --><p>yes</p>": "yes", "<p>a &#x41;&#66; &eacute;</p>": "a AB é",
+             "<article><p>in <i>line</i></p><aside>out</aside></article><footer>f</footer>": "in line"}
+    for page, text in cases.items():
+        assert pages.main_text(page) == text
+    assert pages.main_text("<b>" * 20000 + "x" + "<div>" * 20000 + "y") == "x y"
+    for cut in range(0, len(PAGE), 11):
+        pages.main_text(PAGE[:cut])
+
+
+def test_pages_of_the_tables(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    odd = spark.createDataFrame([(-1, None, None, "x"), (-2, "u", "", "x"), (-2, "u", "", "x")],
+                                "page_id long, url string, html string, text string")
+    out = {r.page_id: r for r in pages.extract(rows).collect()}
+    for r in rows.collect():
+        inner = re.split("<footer|</article>", r.html[r.html.index("<article>") + 9:])[0]
+        want = re.sub("<[^>]*>", " ", inner)
+        import html
+        want = " ".join(html.unescape(want).split())
+        assert (out[r.page_id].text, out[r.page_id].n_chars) == (want, len(want))
+    got = [tuple(r) for r in pages.extract(odd).collect()]
+    assert Counter(got) == Counter([(-1, None, "", 0), (-2, "u", "", 0), (-2, "u", "", 0)])
+
+
+def cosine(a, b):
+    return float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)))
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)]
+    rows += [(300 + i, rows[50][1]) for i in range(40)] + [(400 + i, [2 * x for x in rows[100][1]]) for i in range(5)]
+    rows += [(500, None), (550, [0.0] * 6), (551, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (552, [float("nan")] * 6),
+             (553, [float("inf")] * 6), (554, []), (None, rows[3][1]), (600, [1.0, 2.0]), (650, [2.0, 1.0]), (50, rows[50][1])]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+
+
+def nearest_plain(rows, k=5):
+    fine = {r.vec_id: np.array(r.embedding, float) for r in rows if r.vec_id is not None and r.embedding
+            and None not in r.embedding and np.isfinite(np.array(r.embedding, float)).all() and any(r.embedding)}
+    out = {}
+    for q, v in fine.items():
+        if q % 50 == 0:
+            found = [(-round(cosine(v, w), 12), i) for i, w in fine.items() if i != q and len(w) == len(v)]
+            out[q] = sorted(found)[:k]
+    return out
+
+
+@pytest.mark.parametrize("shard_rows,query_rows,leaf", [(16_384, 16_384, 512), (60, 4, 4)])
+def test_exact_search_matches_all_pairs(vectors, shard_rows, query_rows, leaf):
+    got = defaultdict(list)
+    found = vptree.nearest(vectors, "vec_id % 50 = 0", shard_rows=shard_rows, query_rows=query_rows, leaf=leaf)
+    for r in sorted(found.collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((-round(r.score, 12), r.vec_id))
+    assert dict(got) == nearest_plain(vectors.collect())
+    assert vptree.nearest(vectors.limit(0), "vec_id % 50 = 0").count() == 0
+
+
+def test_relaxed_search_keeps_most():
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(30, 16)) * 2
+    v = centres[rng.integers(30, size=3000)] + rng.normal(size=(3000, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    exact = np.argsort(-(v[:100] @ v.T), 1)[:, :6]
+    for factor, least in ((1.0, 1.0), (0.5, 0.9)):
+        rows, _ = vptree.VpTree(v, 16).search(v[:100], 6, factor)
+        assert np.mean([len(set(a) & set(b)) / 6 for a, b in zip(rows, exact, strict=True)]) >= least
+
+
+def test_urls_and_rules(spark):
+    urls = [None, "", "no scheme", "http://Example.COM/en/x?q#f", "https://www.example.com/en/a", "http://a.www.example.com/en/",
+            "http://sub.example.com/en/", "http://example.com/fr/", "http://badexample.com/en/", "http://x.net/es/1", "http://x.net/fr",
+            "http://x.net/fr/", "http://net/es/", "http://h.org?x=/a", "http://h.org#y", "ftp://É.ORG/a", "http://com", "http://com/",
+            "a://b://c/d", "http://spam.org/1", "http://spam.org/\n/2"]
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    outcomes = spark.createDataFrame([("spam.org", 1)] * 60 + [("h.org", 0)] * 60 + [("spam.org", None), (None, 1)], "host string, bad int")
+
+    def plain(url):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = ("", "") if m is None else (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2])
+        best = None
+        for rule, verdict in URL_RULES:
+            name, rest = rule.split("/", 1)
+            if (host == name or host.endswith("." + name)) and path.startswith("/" + rest) and (best is None or len(rule) > len(best[0])):
+                best = rule, verdict
+        return host, path, best[0] if best else None, best[1] if best else "block" if host == "spam.org" else "allow"
+
+    got = {r.page_id: tuple(r)[1:] for r in reputation.judge_urls(df, outcomes, URL_RULES).collect()}
+    assert got == {i: plain(u) for i, u in enumerate(urls)}
+    none = reputation.judge_urls(df, outcomes.limit(0), URL_RULES)
+    assert {r.verdict for r in none.where("rule is null").collect()} == {"allow"}
+    assert reputation.judge_urls(df.limit(0), outcomes, URL_RULES).count() == 0
+
+
+def test_domains(spark):
+    from pyspark.sql import functions as F
+    hosts = {"a.b.example.com": ("example.com", "com"), "example.com": ("example.com", "com"), "x.y.co.uk": ("y.co.uk", "co.uk"),
+             "co.uk": ("co.uk", "co.uk"), "localhost": ("localhost", "localhost"), "com": ("com", "com")}
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    got = df.select("h", reputation.domain_of(F.col("h")), reputation.suffix_of(F.col("h"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == hosts
