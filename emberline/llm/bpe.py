@@ -18,7 +18,7 @@ from emberline.llm.common import octets, slices
 #: Fixed value: how the public tokenizer cuts a text before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces, and words, whose ids a worker keeps.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 800_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -28,6 +28,10 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Letters that every version of the character tables knows.
+ALL_LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha())
+
+
 class Bpe:
     """A vocabulary with its match automaton, merge pairs and offset table."""
 
@@ -69,8 +73,9 @@ class Bpe:
         self.blob = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.decimal = [str(i).encode() for i in range(size)]
         self.loose = regex.compile(r" (?!\S)")
-        self.known = _Kept(lambda piece: b"".join(map(self.packed.__getitem__, self.encode_piece(piece))))
-        self.words = _Kept(lambda word: b"".join(map(self.known.__getitem__, self.pattern.findall(" " + word))))
+        self.known = _Kept(self.pack_piece)
+        self.words = _Kept(self.pack_word)
+        self.break_ = self.known["\n"]
 
     def fits(self, a: int, b: int) -> bool:
         """Whether merging the bytes of a and b together would leave exactly a, b.
@@ -148,6 +153,25 @@ class Bpe:
                 return ids
             token = self.longest(letters, at)
 
+    def pack_piece(self, piece: str) -> bytes:
+        return b"".join(map(self.packed.__getitem__, self.encode_piece(piece)))
+
+    def pack_word(self, word: str) -> bytes:
+        """Ids of a word without white space inside, or with it, and the space before it."""
+        if "\n" in word:
+            first, *rest = word.split("\n")
+            # a single line break is a piece of its own, and letters after it are one
+            if first and not first[-1].isspace() and all(map(str.isalpha, rest)) and ALL_LETTERS.issuperset("".join(rest)):
+                return self.break_.join([self.words[first], *map(self.known.__getitem__, rest)])
+        return self._pack_by_pattern(word)
+
+    def _pack_by_pattern(self, word: str) -> bytes:
+        pieces = self.pattern.findall(" " + word)
+        if len(pieces) == 1:
+            return self.pack_piece(pieces[0])
+        return b"".join([self.words[p[1:]] if p[0] == " " and len(p) > 1 and p[1] not in " \n" else self.known[p]
+                         for p in pieces])
+
     def pieces(self, text: str) -> bytes:
         """Ids of a text without special tokens, packed.
 
