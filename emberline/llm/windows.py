@@ -79,7 +79,7 @@ def sketch(read: DataFrame, n: int, cells: int) -> list[tuple[int, int, bytes]]:
 
         def give() -> Iterator[pa.RecordBatch]:
             h = np.concatenate(held) if held else np.zeros(0, np.uint64)
-            for row in range(DEPTH):
+            for row in range(DEPTH) if len(h) else ():
                 c = np.sort(cells_of(h, row, cells))
                 third = np.zeros(len(c), bool)
                 third[2:] = c[2:] == c[:-2]
