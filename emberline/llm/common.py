@@ -26,12 +26,23 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+#: Lets Spark delete the shuffle files of an execution when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df as a written table in the shared folder: lineage ends here, lost executors cost nothing."""
+    """df as a written table in the shared folder: lineage ends here, lost executors cost nothing.
+
+    The shuffle files of the write go as soon as the table is there.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the finished write
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
