@@ -285,7 +285,8 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
                .mapInArrow(spell, "s binary, c1 long, c2 long, d int"))
     often_said = strings.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     dealt = strings.join(often_said, "s").select("c1", "c2", F.array(F.struct(F.col("d").alias("a"), F.col("d").alias("b"))).alias("runs"))
-    found = around.select("id0", "th", "at", *name).join(twice.unionByName(scanned).unionByName(dealt), ["c1", "c2"])
+    told = stored(twice.unionByName(scanned).unionByName(dealt))
+    found = around.select("id0", "th", "at", *name).join(told, ["c1", "c2"])
     spans = found.select("id0", "th", F.explode(F.transform("runs", lambda r: F.struct(
         (F.col("at") - r["b"]).alias("s"), (F.col("at") - r["a"]).alias("e")))).alias("span"))
     whole = (copies.join(groups.where("n > 1"), ["th", "tg"])
