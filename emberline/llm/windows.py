@@ -15,6 +15,8 @@ from emberline.llm.common import mix, octets, slices
 
 #: Rows of the sketch, cells of a slice of it, and the most cells of a row (a 64 MB bitmap of repeats).
 DEPTH, SLICE, MOST_CELLS = 2, 1 << 20, 1 << 29
+#: Most windows of a run.
+LONGEST_RUN = 256
 ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
 
@@ -130,7 +132,12 @@ def sketch(read: DataFrame, n: int, cells: int) -> list[tuple[int, int, bytes]]:
 
 def repeated_windows(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_col: str = "text",
                      cells: int | None = None) -> DataFrame:
-    """(doc, at): every window of n words whose words also start earlier, by document id, then place.
+    """(doc, at, n): runs of n windows whose words all start earlier, by document id, then place.
+
+    Flagged windows that follow each other go as one row, cut alike wherever the words are the same.
+    A run of which an equal one comes earlier is settled as a whole; of equal runs only the first is
+    taken apart into windows, which are grouped in turn. The first place of any window lies in the
+    first of its equal runs, so nothing is lost by that.
 
     cells: cells of a sketch row, a power of two; by default about four for each window, at most
     MOST_CELLS, so that what is sent to all tasks is bounded by 2 * 64 MB at any size. A fuller
@@ -158,25 +165,73 @@ def repeated_windows(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_
             for row in range(DEPTH):
                 c = cells_of(h, row, cells)
                 hit &= (seen[row, c >> 3] >> (c & 7).astype(np.uint8)) & 1 > 0
+            place = np.flatnonzero(hit)
+            if not len(place):
+                continue
             h, g, doc, at = h[hit], g[hit], doc[hit], at[hit]
-            # of a window that comes more than once here only the first place can be its first anywhere
-            by = np.lexsort((at, doc, g, h))
-            h, g, doc, at = h[by], g[by], doc[by], at[by]
-            head = np.ones(len(h), bool)
-            head[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-            run = np.cumsum(head) - 1
-            first = np.flatnonzero(head)
-            later = ~head & ~((doc == doc[first][run]) & (at == at[first][run]))
-            # those are settled: they travel under a key of their own, not to where the hot window goes
-            h = np.where(later, mix(doc.view(np.uint64) * ODD[0] + at.astype(np.uint64)), h)
+            start = chunk_starts(h, np.diff(place, prepend=-2) != 1, at == 0)
+            size = np.diff(np.append(start, len(h)))
+            inside = np.arange(len(h), dtype=np.uint64) - np.repeat(start, size).astype(np.uint64)
+            k1, k2 = (np.add.reduceat(mix(x + inside * ODD[0]), start) for x in (h, g))
+            doc, at = doc[start], at[start]
+            # of a run that comes more than once here only the first place can be its first anywhere
+            by = np.lexsort((at, doc, k2, k1))
+            head = np.ones(len(by), bool)
+            head[1:] = (k1[by][1:] != k1[by][:-1]) | (k2[by][1:] != k2[by][:-1])
+            lead = by[np.flatnonzero(head)[np.cumsum(head) - 1]]
+            later = np.zeros(len(by), bool)
+            later[by] = ~head & ~((doc[by] == doc[lead]) & (at[by] == at[lead]))
+            keep = np.zeros(len(by), bool)
+            keep[by] = head
+            both = np.stack([h, g], 1)
+            # those are settled: they travel under a key of their own, not to where the hot run goes
+            k1 = np.where(later, mix(doc.view(np.uint64) * ODD[0] + at.astype(np.uint64)), k1)
+            use = np.flatnonzero(keep | later)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int32)),
-                 pa.array(later)], names=["h", "g", "doc", "at", "later"]).filter(pa.array(head | later))
+                [pa.array(k1[use].view(np.int64)), pa.array(k2[use].view(np.int64)), pa.array(doc[use]),
+                 pa.array(at[use].astype(np.int32)), pa.array(size[use].astype(np.int32)), pa.array(later[use]),
+                 pa.array([b"" if later[i] else both[start[i]:start[i] + size[i]].tobytes() for i in use.tolist()], pa.binary())],
+                names=["k1", "k2", "doc", "at", "n", "sure", "hashes"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "g", "doc", "at", "n", "sure"]
+        for batch in batches:
+            doc, at, size = (batch.column(i).to_numpy() for i in range(3))
+            sure = batch.column(3).to_numpy(zero_copy_only=False)
+            if sure.any():
+                d, a, k = doc[sure], at[sure], size[sure]
+                spread = mix(d.view(np.uint64) * ODD[0] + a.astype(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (spread, spread, d, a, k, sure[sure])], names=names)
+            if not sure.all():
+                d, a, k = doc[~sure], at[~sure], size[~sure]
+                pairs = np.frombuffer(b"".join(batch.column(4).filter(pa.array(~sure)).to_pylist()), np.int64).reshape(-1, 2)
+                inside = np.arange(len(pairs)) - np.repeat(np.cumsum(k) - k, k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(np.repeat(d, k)),
+                     pa.array((np.repeat(a, k) + inside).astype(np.int32)), pa.array(np.ones(len(pairs), np.int32)),
+                     pa.array(np.zeros(len(pairs), bool))], names=names)
+
+    def not_first(*key: str):
+        first = F.first(F.struct("doc", "at")).over(Window.partitionBy(*key).orderBy("doc", "at"))
+        return F.col("sure") | (F.struct("doc", "at") != first)
 
-    places = read.mapInArrow(look, "h long, g long, doc long, at int, later boolean")
-    start = F.first(F.struct("doc", "at")).over(Window.partitionBy("h", "g", "later").orderBy("doc", "at"))
-    return (places.withColumn("first", start).where(F.col("later") | (F.struct("doc", "at") != F.col("first")))
-            .select("doc", "at"))
+    runs = read.mapInArrow(look, "k1 long, k2 long, doc long, at int, n int, sure boolean, hashes binary")
+    told = runs.withColumn("sure", not_first("k1", "k2", "sure"))
+    single = told.select("doc", "at", "n", "sure", "hashes").mapInArrow(
+        unpack, "h long, g long, doc long, at int, n int, sure boolean")
+    return single.withColumn("gone", not_first("h", "g", "sure")).where("gone").select("doc", "at", "n")
+
+
+def chunk_starts(h: np.ndarray, broken: np.ndarray, opening: np.ndarray) -> np.ndarray:
+    """Where runs of flagged windows are cut: at gaps, documents, and where a window's own hash says so.
+
+    The cuts depend on the words alone, so copies of a passage are cut alike.
+    """
+    starts = np.flatnonzero(broken | opening | (h & np.uint64(31) == 0))
+    size = np.diff(np.append(starts, len(h)))
+    more = -(-size // LONGEST_RUN)
+    inner = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
+    return np.repeat(starts, more) + inner * LONGEST_RUN
 
 
 def remove_repeats(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_col: str = "text",
@@ -192,7 +247,7 @@ def remove_repeats(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_co
     with a null id is neither judged nor judged by. Other columns are not read.
     """
     found = repeated_windows(docs, n, id_col, text_col, cells)
-    by_doc = found.groupBy("doc").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,8 +257,9 @@ def remove_repeats(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_co
                     words = text.split()
                     gone = np.zeros(len(words) + 1, np.int64)
                     if at:
-                        np.add.at(gone, np.array(at), 1)
-                        np.add.at(gone, np.array(at) + n, -1)
+                        first = np.array([r["at"] for r in at])
+                        np.add.at(gone, first, 1)
+                        np.add.at(gone, first + np.array([r["n"] for r in at]) + n - 1, -1)
                     stay = np.cumsum(gone)[:-1] == 0
                     kept = b" ".join([w for w, s in zip(words, stay.tolist(), strict=True) if s] if at else words)
                     counts.append(len(words))
