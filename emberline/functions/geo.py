@@ -24,7 +24,8 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column,
 def equirectangular_km(lat: Column, lon: Column, lat0: Column, lon0: Column) -> Column:
     """Planar distance with longitude shrunk at the second point's latitude."""
     dy = (lat - lat0) * C.KM_PER_DEGREE
-    dx = (lon - lon0) * C.KM_PER_DEGREE * F.cos(F.radians(lat0))
+    apart = F.abs(lon - lon0)
+    dx = F.least(apart, 360.0 - apart) * C.KM_PER_DEGREE * F.cos(F.radians(lat0))
     return F.sqrt(dx * dx + dy * dy)
 
 

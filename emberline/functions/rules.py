@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -182,7 +184,7 @@ def frp_severity(frp: Column) -> Column:
 def frp_bin(frp: Column) -> Column:
     out = F.lit(None).cast("string")
     for low, high, label in zip(C.FRP_BINS, C.FRP_BINS[1:], C.FRP_BIN_LABELS):
-        out = F.when((frp >= low) & (frp < high), label).otherwise(out)
+        out = F.when((frp >= low) & ((frp < high) if high < math.inf else F.lit(True)), label).otherwise(out)
     return out
 
 

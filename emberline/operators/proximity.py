@@ -18,9 +18,12 @@ def circle_bounds(lat: Column, lon: Column, radius_km: Column
                   ) -> tuple[Column, Column, Column, Column]:
     """Degrees box holding every point within a radius, with a little slack."""
     dlat = radius_km * 1.01 / C.KM_PER_DEGREE
-    shrink = F.cos(F.radians(F.least(F.abs(lat) + dlat, F.lit(89.0))))
+    top = F.abs(lat) + dlat
+    shrink = F.cos(F.radians(F.least(top, F.lit(89.0))))
     dlon = radius_km * 1.01 / (C.KM_PER_DEGREE * shrink)
-    return lon - dlon, lat - dlat, lon + dlon, lat + dlat
+    # a circle that holds a pole, or nearly does, reaches every longitude
+    dlon = F.when(top >= 89.0, F.lit(180.0)).otherwise(F.least(dlon, F.lit(180.0)))
+    return lon - dlon, F.greatest(lat - dlat, F.lit(-90.0)), lon + dlon, F.least(lat + dlat, F.lit(90.0))
 
 
 def within_km(df: DataFrame, lat: float, lon: float, radius_km: float,
@@ -30,8 +33,11 @@ def within_km(df: DataFrame, lat: float, lon: float, radius_km: float,
                                              F.lit(float(radius_km)))
     km = geo.haversine_km(F.lit(float(lat)), F.lit(float(lon)), F.col("latitude"),
                           F.col("longitude"), C.EARTH_KM_RADIUS_SEARCH)
+    place = F.col("longitude")
+    # the box may go on beyond 180 degrees on either side
     near = df.where((F.col("latitude") >= south) & (F.col("latitude") <= north)
-                    & (F.col("longitude") >= west) & (F.col("longitude") <= east)) \
+                    & (place.between(west, east) | place.between(west + 360.0, F.lit(180.0))
+                       | place.between(F.lit(-180.0), east - 360.0))) \
         .withColumn("distance_km", km).where(F.col("distance_km") <= radius_km)
     return near if limit is None else near.orderBy("distance_km", *order).limit(limit)
 
@@ -53,7 +59,7 @@ def radius_matches(df: DataFrame, centres: DataFrame, radius_km: float, limit: i
                 c["lat"], c["lon"], lat, lon, C.EARTH_KM_RADIUS_SEARCH).alias("km")))
         return F.filter(measured, lambda m: m["km"] <= radius_km)
 
-    found = T.lookup(df.select(id_col, "latitude", "longitude"), layer, hit, id_col,
+    found = T.lookup(df.select(id_col, "latitude", "longitude"), layer, hit,
                      merge=lambda h: F.flatten(F.collect_list(h)))
     pairs = found.select(id_col, F.explode("hit").alias("m")).select(
         F.col("m.id").alias(centre_id), id_col, F.col("m.km").alias("distance_km"))
@@ -107,7 +113,7 @@ def nearest_responders(df: DataFrame, responders: DataFrame, per_kind: int = 1,
             r["lon"].alias("lon")))
         return F.filter(measured, lambda m: m["km"] <= max_km)
 
-    found = T.lookup(df.select(id_col, "latitude", "longitude"), layer, hit, id_col,
+    found = T.lookup(df.select(id_col, "latitude", "longitude"), layer, hit,
                      merge=lambda h: F.flatten(F.collect_list(h)), refine=best)
     # an empty answer still yields one row per kind
     slots = F.array(*[

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberline import constants as C
 from emberline.functions import grid, rules
-from emberline.functions.text import half_up, norm_bool, norm_str
+from emberline.functions.text import half_up, norm_bool, norm_str, number_or
 from emberline.operators import running as R
 from emberline.operators import skew
 
@@ -66,7 +66,7 @@ def source_history(df: DataFrame, cfg: RecurrenceConfig = RecurrenceConfig(),
     window_us, burst_us = cfg.window_days * C.DAY_US, cfg.burst_hours * C.HOUR_US
     key = ["recurrence_key"]
     hot = skew.hot_keys(df, key, cfg.hot_min_rows)
-    frp = F.coalesce(F.col("frp").cast("double"), F.lit(0.0))
+    frp = number_or("frp", 0.0)
     q = F.floor(frp * _UNIT + 0.5).cast("long")
     none = F.lit(None).cast(df.select(F.struct("*").alias("r")).schema["r"].dataType)
 
@@ -105,7 +105,7 @@ def source_history(df: DataFrame, cfg: RecurrenceConfig = RecurrenceConfig(),
     mean = F.col("s1").cast("double") / n / _UNIT
     mean_sq = (F.col("s2_hi").cast("double") * _HI + F.col("s2_lo").cast("double")) \
         / n / float(_UNIT * _UNIT)
-    row_frp = F.coalesce(F.col("row.frp").cast("double"), F.lit(0.0))
+    row_frp = number_or("row.frp", 0.0)
     n24, prior_days = F.col("n24_prev") + 1, float(max(cfg.window_days - cfg.burst_hours / 24, 1))
     prior_rate = (n + 1 - n24).cast("double") / prior_days
     days = float(C.DAY_US)
@@ -187,7 +187,7 @@ def neighbourhood(df: DataFrame, cfg: RecurrenceConfig = RecurrenceConfig(),
 
 def with_alert_state(df: DataFrame) -> DataFrame:
     """Decide on unrounded history, then publish rounded figures beside the raw FRP."""
-    frp = F.coalesce(F.col("frp").cast("double"), F.lit(0.0))
+    frp = number_or("frp", 0.0)
     mu, var = F.col("mu_raw"), F.col("var_raw")
     inside = norm_bool(F.col("inside_industrial")) if "inside_industrial" in df.columns \
         else F.lit(False)

@@ -36,7 +36,7 @@ def filter_map(df: DataFrame, bbox: Sequence[float] | None = None,
 
 def cell_report(df: DataFrame, resolution: int = 6, bbox: Sequence[float] | None = None,
                 states: Sequence[str] | None = None, min_detections: int = 1,
-                limit: int | None = C.MAX_CELLS) -> DataFrame:
+                limit: int | None = None) -> DataFrame:
     """Detections rolled up to map cells, most urgent first, in a single aggregation.
 
     Every aggregate combines map-side, and its buffer holds at most the distinct days, powers
@@ -72,10 +72,8 @@ def cell_report(df: DataFrame, resolution: int = 6, bbox: Sequence[float] | None
                       "suppressed", "top_rank",
                       rules.priority_name(F.col("top_rank")).alias("top_priority"),
                       "dominant_priority", "dominant_state"))
-    if limit is None:
-        return report
-    return report.orderBy("top_rank", F.desc("detections"), "cell") \
-        .limit(min(max(limit, 1), C.MAX_CELLS))
+    ordered = report.orderBy("top_rank", F.desc("detections"), "cell")
+    return ordered if limit is None else ordered.limit(max(limit, 1))
 
 
 def cell_summary(df: DataFrame, cells: DataFrame, returned: DataFrame,
@@ -215,7 +213,7 @@ def active_incidents(df: DataFrame, priority: str | None = None, industrial_only
         df = df.where(F.col("status") == status)
     return df.orderBy(F.desc(norm_bool("inside_industrial")), F.desc("frp"),
                       F.desc("timestamp_utc"), "detection_id") \
-        .limit(min(limit, C.MAX_ACTIVE_INCIDENTS))
+        .limit(limit)
 
 
 def freshness(df: DataFrame, as_of: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Shared guards against hot keys and unbounded broadcasts.
 
 A key may hold a third of all rows. The helpers below keep every such group spread over
-many tasks: hot keys are found by a map-side combined count, listed in a table that cannot
-exceed ``max_keys`` rows, and then split by time or by hash.
+many tasks: hot keys are found by a map-side combined count, kept as a table that is joined, and
+then split by time or by hash. What counts as hot is a number of rows, the same at every size.
 """
 
 from __future__ import annotations
@@ -12,42 +12,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.session import checkpoint_root
+
 HOT_MIN_ROWS = 200_000
-HOT_MAX_KEYS = 10_000
 BROADCAST_MAX_ROWS = 200_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_MIN_ROWS,
-             max_keys: int = HOT_MAX_KEYS) -> DataFrame | None:
-    """Keys with more rows than max(min_rows, total / max_keys); None when there are none.
-
-    Fewer than ``max_keys`` keys can each hold more than total / max_keys rows, so the list is
-    small whatever the input is. The driver sees two numbers, and the list only if it exists.
-    """
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_MIN_ROWS) -> DataFrame | None:
+    """Keys with more than min_rows rows as a checkpointed table; None when there are none."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    seen = counts.agg(F.sum("_n").alias("total"), F.max("_n").alias("peak")).first()
-    cut = max(min_rows, (seen.total or 0) // max_keys)
-    if (seen.peak or 0) <= cut:
+    if (counts.agg(F.max("_n")).first()[0] or 0) <= min_rows:
         return None
-    found = counts.where(F.col("_n") > cut).select(*keys)
-    return df.sparkSession.createDataFrame(found.collect(), found.schema)
+    checkpoint_root(df.sparkSession)
+    return counts.where(F.col("_n") > min_rows).select(*keys).checkpoint()
 
 
 def tag_hot(df: DataFrame, hot: DataFrame | None, keys: Sequence[str],
             flag: str = "_hot") -> DataFrame:
-    """Add a boolean column; ``hot`` is bounded by construction, see hot_keys."""
+    """Add a boolean column; Spark broadcasts ``hot`` if it is small and else splits the hot keys."""
     if hot is None:
         return df.withColumn(flag, F.lit(False))
-    marked = F.broadcast(hot.select(*keys, F.lit(True).alias(flag)))
+    marked = hot.select(*keys, F.lit(True).alias(flag))
     return df.join(marked, list(keys), "left") \
         .withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
-def sized(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only when a bounded count proves the side small."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
-
 def ensure_parallel(df: DataFrame, key: str) -> DataFrame:
     """Spread a scan that yields fewer splits than the session has slots; otherwise unchanged.
 

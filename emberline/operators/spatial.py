@@ -102,7 +102,7 @@ def polygon_match(df: DataFrame, polygons: DataFrame, cfg: JoinConfig = JoinConf
 
         return F.expr(f"coalesce(get({answer(0, _covered())}, 0), get({answer(1, near)}, 0))")
 
-    found = T.lookup(df.withColumn("_radius", buffer_degrees(df, cfg)), layer, hit, id_col,
+    found = T.lookup(df.withColumn("_radius", buffer_degrees(df, cfg)), layer, hit,
                      max_broadcast=cfg.max_broadcast)
     return found.drop("_radius")
 
@@ -166,7 +166,7 @@ def _nearest_by_rounds(df, rounds, within, wanted, id_col, cfg):
         parked = 1000.0 + F.pmod(F.xxhash64(F.col(id_col)), F.lit(997)) * float(reach)
         keyed = out.withColumns({"_ly": F.when(open_row, F.col(Y)).otherwise(parked),
                                  "_lx": F.when(open_row, F.col(X)).otherwise(0.0)})
-        seen = T.lookup(keyed, layer, lambda items, r=float(reach): within(items, r), id_col,
+        seen = T.lookup(keyed, layer, lambda items, r=float(reach): within(items, r),
                         "_ly", "_lx", "_try", max_broadcast=cfg.max_broadcast)
         out = seen.withColumn("_deg", F.coalesce("_deg", "_try")) \
             .drop("_try", "_lx", "_ly").checkpoint()
@@ -221,7 +221,7 @@ def forest_flag(df: DataFrame, forests: DataFrame | None, id_col: str = "detecti
     def hit(items):
         return F.expr(f"CASE WHEN exists({items}, p -> {_covered()}) THEN true END")
 
-    found = T.lookup(df, layer, hit, id_col, name="in_forest", merge=F.max,
+    found = T.lookup(df, layer, hit, name="in_forest", merge=F.max,
                      max_broadcast=max_broadcast)
     return found.withColumn("in_forest", F.coalesce("in_forest", F.lit(False)))
 

@@ -51,14 +51,24 @@ class LayerSpec:
     item_bytes: Column | int = 64
 
     def spans(self) -> tuple[Column, Column]:
-        """Tile columns and rows the bounds touch."""
+        """Tile columns and rows the bounds touch; bounds beyond 180 degrees go on at the other side."""
         west, south, east, north = self.bounds
 
-        def span(low, high):
-            return F.sequence(F.floor(low / self.size).cast("int"),
-                              F.floor(high / self.size).cast("int"))
+        def column(lon):
+            return F.floor(lon / self.size).cast("int")
 
-        return span(west, east), span(south, north)
+        def wrapped(lon):
+            return lon - 360.0 * F.floor((lon + 180.0) / 360.0)
+
+        crosses = (west < -180.0) | (east > 180.0)
+        around = east - west >= 360.0
+        first, last = column(F.lit(-180.0)), column(F.lit(180.0))
+        across = F.when(~crosses, F.sequence(column(west), column(east))) \
+            .when(around, F.sequence(first, last)) \
+            .otherwise(F.array_distinct(F.concat(F.sequence(column(wrapped(west)), last),
+                                                 F.sequence(first, column(wrapped(east))))))
+        return across, F.sequence(F.floor(south / self.size).cast("int"),
+                                  F.floor(north / self.size).cast("int"))
 
     def spread(self, *columns: Column | str) -> DataFrame:
         across, down = self.spans()
@@ -127,7 +137,7 @@ def _attach(points: DataFrame, tiles: DataFrame, how: str, small: bool,
     return left.drop("_hot").join(right.drop("_hot"), keys + ["_salt"], how).drop("_salt")
 
 
-def lookup(points: DataFrame, layer: TileLayer, hit: Callable[[str], Column], id_col: str,
+def lookup(points: DataFrame, layer: TileLayer, hit: Callable[[str], Column],
            lat: str = "latitude", lon: str = "longitude", name: str = "hit",
            merge: Callable[[Column], Column] = F.min,
            refine: Callable[[Column], Column] | None = None,
@@ -135,7 +145,8 @@ def lookup(points: DataFrame, layer: TileLayer, hit: Callable[[str], Column], id
     """Add ``name`` = ``hit("items")`` for the item array of each point's tile.
 
     ``refine`` may reduce a part's answer in a step of its own, so that an answer it reads several
-    times is computed once. ``merge`` folds the answers of a tile's parts into one (an aggregate that ignores NULL).
+    times is computed once. ``merge`` folds the answers of a tile's parts into one (an aggregate that
+    ignores NULL). Every point comes back once, whatever its id and however crowded its tile.
     """
     tx, ty = tile_of(F.col(lat), F.col(lon), layer.size)
     columns = points.columns
@@ -149,18 +160,21 @@ def lookup(points: DataFrame, layer: TileLayer, hit: Callable[[str], Column], id
         joined = _attach(located, layer.tiles.drop("part", "parts"), "left", small)
         return step(joined.select(*columns, hit("items").alias(name)))
     # one row per tile, without the array where the tile has several parts
-    dense = layer.tiles.where("parts > 1").drop("parts", "part")
+    dense = layer.tiles.where("parts > 1").drop("parts")
     present = layer.tiles.groupBy("_tx", "_ty").agg(
         F.max("parts").alias("parts"),
         F.max(F.when(F.col("parts") == 1, F.col("items"))).alias("items"))
     direct = step(_attach(located, present, "left", small)
                   .where(F.coalesce(F.col("parts"), F.lit(1)) == 1)
                   .select(*columns, hit("items").alias(name)))
+    # a row is known by all its values, so equal or missing ids do not meet; equal rows are counted
     row = F.struct(*[F.col(c) for c in columns])
     folded = step(_attach(located, dense, "inner", small)
-                  .select(*columns, hit("items").alias(name))) \
-        .select(F.col(id_col).alias("_id"), row.alias("_row"), F.col(name).alias("_h")) \
-        .groupBy("_id").agg(F.first("_row").alias("_row"), merge(F.col("_h")).alias(name)) \
+                  .select(*columns, "part", hit("items").alias(name))) \
+        .select(row.alias("_row"), "part", F.col(name).alias("_h")) \
+        .groupBy("_row", "part").agg(F.any_value("_h").alias("_h"), F.count(F.lit(1)).alias("_n")) \
+        .groupBy("_row").agg(merge(F.col("_h")).alias(name), F.max("_n").alias("_n")) \
+        .withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))) \
         .select("_row.*", name)
     return direct.unionByName(folded)
 

@@ -11,8 +11,7 @@ from emberline.operators import tiles as T
 from emberline.operators.proximity import POINTS_PER_PART, circle_bounds
 
 
-def attach_events(df: DataFrame, events: DataFrame, id_col: str = "detection_id",
-                  tile_deg: float = 0.5) -> DataFrame:
+def attach_events(df: DataFrame, events: DataFrame, tile_deg: float = 0.5) -> DataFrame:
     """Tag detections inside an event's circle and dates.
 
     The smallest radius wins, a later event wins a tie. The last day counts in full and the day
@@ -32,7 +31,7 @@ def attach_events(df: DataFrame, events: DataFrame, id_col: str = "detection_id"
         return T.first_match(items, lambda e: (us >= e["start"]) & (us < e["stop"]) & (
             geo.equirectangular_km(lat, lon, e["lat"], e["lon"]) <= e["r"]))
 
-    found = T.lookup(df, layer, hit, id_col, name="_event")
+    found = T.lookup(df, layer, hit, name="_event")
     return found.select(*df.columns, F.col("_event.name").alias("event_name"),
                         F.col("_event.label").alias("event_label"),
                         (-F.col("_event.order")).alias("event_seq"))
@@ -43,8 +42,7 @@ def first_corpus(tagged: DataFrame, event_col: str = "event_name",
     """Rows of each event from the first corpus (lowest rank) that contains it."""
     best = tagged.where(F.col(event_col).isNotNull()).groupBy(event_col) \
         .agg(F.min(rank_col).alias(rank_col))
-    # one row per cited event
-    return tagged.join(F.broadcast(best), [event_col, rank_col], "left_semi")
+    return tagged.join(best, [event_col, rank_col], "left_semi")
 
 
 def event_accuracy(df: DataFrame, truth: Column, predicted: Column,

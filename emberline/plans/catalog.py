@@ -233,6 +233,15 @@ def forest_flag(spark, sf):
         .select("detection_id", "in_forest")
 
 
+@query
+def crowded_tiles(spark, sf):
+    # few items to a part, and ids that repeat or are missing: every row must come back once
+    df = T.detections(spark, sf).withColumn("k", F.when(
+        F.col("detection_id") % 5 != 0, F.col("detection_id") % 10)).drop("detection_id")
+    found = spatial.forest_flag(df, T.forests(spark, sf), "k", tile_deg=2.0, per_part=4)
+    return found.groupBy("k", "in_forest").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def cell_codes(spark, sf):
     df = T.detections(spark, sf)
@@ -286,35 +295,34 @@ def frp_thresholds(spark, sf):
 
 @query
 def weak_label(spark, sf):
-    df = scored(spark, sf, neighbours=True)
-    gates = labels.frp_thresholds(T.keyed(spark, sf), min_samples=1000)
-    return labels.with_weak_label(df, gates).select("detection_id", "target_label")
+    return labelled(spark, sf).select("detection_id", "target_label")
 
 
-def _simple_labels(spark, sf):
-    # labels by energy and season only, without history: cheap input for the sampling operators
-    return labels.with_weak_label(T.keyed(spark, sf))
+def labelled(spark, sf):
+    """The scored corpus under the full labelling rule."""
+    gates = labels.frp_thresholds(T.keyed(spark, sf), min_samples=1000)
+    return labels.with_weak_label(scored(spark, sf, neighbours=True), gates)
 
 
 @query
 def class_counts(spark, sf):
-    return labels.class_counts(_simple_labels(spark, sf))
+    return labels.class_counts(labelled(spark, sf))
 
 
 @query
 def label_shares(spark, sf):
-    return labels.label_shares(_simple_labels(spark, sf), (70.0, 10.0, 90.0, 30.0))
+    return labels.label_shares(labelled(spark, sf), (70.0, 10.0, 90.0, 30.0))
 
 
 @query
 def balance_sample(spark, sf):
-    return labels.balance(_simple_labels(spark, sf), ratio_cap=2).select(
+    return labels.balance(labelled(spark, sf), ratio_cap=2).select(
         "detection_id", "target_label")
 
 
 @query
 def prior_factors(spark, sf):
-    df = _simple_labels(spark, sf)
+    df = labelled(spark, sf)
     return labels.prior_factors(df, labels.balance(df, ratio_cap=2))
 
 
@@ -405,7 +413,7 @@ def health(spark, sf):
 
 
 def _tagged(spark, sf):
-    df = _simple_labels(spark, sf)
+    df = labelled(spark, sf)
     return verified.attach_events(df, T.verified_events(spark, sf))
 
 
@@ -471,6 +479,28 @@ def radius_search(spark, sf):
     return near.select("detection_id", text.half_up(F.col("distance_km"), 6).alias("distance_km"))
 
 
+def _by_the_date_line(df):
+    # the same places, moved east until the date line runs through them
+    moved = F.col("longitude") + 98.0
+    return df.withColumn("longitude", F.when(moved > 180.0, moved - 360.0).otherwise(moved))
+
+
+@query
+def date_line_search(spark, sf):
+    near = proximity.within_km(_by_the_date_line(T.detections(spark, sf)), 18.0, 179.9, 300.0)
+    return near.select("detection_id", text.half_up(F.col("distance_km"), 6).alias("distance_km"))
+
+
+@query
+def date_line_bulk(spark, sf):
+    df = _by_the_date_line(T.detections(spark, sf))
+    centres = spark.range(6).select(F.col("id").alias("centre_id"), (F.col("id") * 4.0 + 9.0).alias("latitude"),
+                                    F.when(F.col("id") % 2 == 0, 179.7).otherwise(-179.8).alias("longitude"))
+    out = proximity.radius_matches(df, centres, 150.0, 5)
+    return out.select("centre_id", "detection_id", "rank",
+                      text.half_up(F.col("distance_km"), 6).alias("distance_km"))
+
+
 @query
 def radius_bulk(spark, sf):
     centres = T.forests(spark, sf).select(
@@ -493,7 +523,7 @@ def nearest_responders(spark, sf):
 
 @query
 def serving_guards(spark, sf):
-    df = _simple_labels(spark, sf)
+    df = labelled(spark, sf)
     return incidents.score(df, rules.class_name(F.col("target_label")), F.lit(0.5)).select(
         "detection_id", "served_class", "guard_note", "served_priority", "served_state")
 
@@ -544,7 +574,7 @@ def recurrence_evidence(spark, sf):
 
 
 def _incident_table(spark, sf):
-    df = _simple_labels(spark, sf)
+    df = labelled(spark, sf)
     served = incidents.score(df, rules.class_name(F.col("target_label")), F.lit(0.5))
     return served.select(
         "detection_id", (F.col("detection_id") + 1).alias("incident_id"), "latitude", "longitude",
@@ -790,7 +820,7 @@ def planck_radiance(spark, sf):
 
 
 def _trained(spark, sf):
-    corpus = labels.split(_simple_labels(spark, sf))
+    corpus = labels.split(labelled(spark, sf))
     train = training.feature_frame(corpus.where("split = 'train'"))
     test = training.feature_frame(corpus.where("split = 'test'"))
     return training.fit_forest(train, cfg=training.ModelConfig(trees=10)), train, test
@@ -824,8 +854,8 @@ def block_folds(spark, sf):
 def rationale_factors(spark, sf):
     df = T.detections(spark, sf)
     rationale = F.concat(
-        F.lit("class by +"), (F.col("detection_id") % 90 / 100.0).cast("string"),
-        F.lit(" via frp (val=3.5), -0.25 via fac_brick_kiln, +0.5 via odd_name (val= x )"))
+        F.lit("frp="), (F.col("detection_id") % 90 / 100.0).cast("string"),
+        F.lit(" [3.5]; fac_brick_kiln=-0.25; odd_name = 0.5 [ x ]; no factor"))
     parsed = text.rationale_factors(rationale, 2)
     return df.select("detection_id", parsed[0]["feature"].alias("first"),
                      parsed[0]["contribution"].alias("contribution"),

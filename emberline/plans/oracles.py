@@ -182,8 +182,10 @@ def _label(n30, z, onset, n24, burst, nb, floor, floor_h, floor_f) -> str:
     WHEN mm IN (2, 3, 4, 5, 10, 11) THEN {floor_h} ELSE {floor} END THEN 3 ELSE 2 END"""
 
 
-LAB = f"""{KEYED}, lab AS (SELECT *, {_label('0', '0', '-1', '0', '0', '0', '3e0', '15e-1', '0e0')}
-  AS target_label FROM keyed)"""
+LAB = f"""{HIST}, {_SCORED}, {NEAR}, {_GATES}, lab AS (SELECT scored.*, neighbours,
+  {_label('n_30d', 'z_frp', 'onset_lag_days', 'n_24h', 'burst_ratio', 'neighbours', 'artifact_floor',
+          'artifact_floor_harvest', 'artifact_floor_forest')} AS target_label
+  FROM scored JOIN nb ON nb.detection_id = scored.detection_id, gates)"""
 CLASS = ("['PERSISTENT_BASELINE', 'ACCIDENTAL_FIRE', 'AGRICULTURAL_BURN', 'TRANSIENT_HOTSPOT']"
          "[{} + 1]")
 _BAL = """bal0 AS (SELECT *, md5(concat(CAST(detection_id AS VARCHAR), ':42')) AS hsh,
@@ -418,11 +420,7 @@ SELECT detection_id, cell, {parent('cell', 17, 13)} AS area, {parent('cell', 17,
     # labels
     "frp_thresholds": f"""WITH {KEYED}, {_GATES} SELECT persistent_gate, artifact_floor,
   artifact_floor_harvest, artifact_floor_forest, basis, n_samples FROM gates""",
-    "weak_label": f"""WITH {HIST}, {_SCORED}, {NEAR}, {_GATES}
-SELECT scored.detection_id, {_label('n_30d', 'z_frp', 'onset_lag_days', 'n_24h', 'burst_ratio',
-                                    'neighbours', 'artifact_floor', 'artifact_floor_harvest',
-                                    'artifact_floor_forest')} AS target_label
-FROM scored JOIN nb ON nb.detection_id = scored.detection_id, gates""",
+    "weak_label": f"WITH {LAB} SELECT detection_id, target_label FROM lab",
     "class_counts": f"WITH {LAB} SELECT target_label, count(*) AS n FROM lab GROUP BY 1",
     "label_shares": f"""WITH {LAB} SELECT target_label, count(*) AS n,
   count(*) FILTER (NOT inside_industrial) AS unmapped,
@@ -549,6 +547,17 @@ SELECT event_name, count(*) AS n, {hu('avg(CASE WHEN ' + CLASS.format('event_lab
   {hav('18e0', '80e0', 'latitude', 'longitude', 6371.0)} AS km FROM det)
 SELECT detection_id, {hu('km', 6)} AS distance_km FROM k WHERE km <= 300
   ORDER BY km, detection_id LIMIT 100""",
+    "date_line_search": f"""WITH {DET}, mv AS (SELECT detection_id, latitude,
+  CASE WHEN longitude + 98e0 > 180 THEN longitude + 98e0 - 360e0 ELSE longitude + 98e0 END AS lon FROM det),
+k AS (SELECT detection_id, {hav('18e0', '1799e-1::DOUBLE', 'latitude', 'lon', 6371.0)} AS km FROM mv)
+SELECT detection_id, {hu('km', 6)} AS distance_km FROM k WHERE km <= 300""",
+    "date_line_bulk": f"""WITH {DET}, mv AS (SELECT detection_id, latitude,
+  CASE WHEN longitude + 98e0 > 180 THEN longitude + 98e0 - 360e0 ELSE longitude + 98e0 END AS lon FROM det),
+c AS (SELECT i AS centre_id, i * 4e0 + 9e0 AS lat0,
+  CASE WHEN i % 2 = 0 THEN 1797e-1::DOUBLE ELSE -1798e-1::DOUBLE END AS lon0 FROM range(6) t(i)),
+k AS (SELECT centre_id, detection_id, {hav('lat0', 'lon0', 'latitude', 'lon', 6371.0)} AS km FROM c, mv),
+r AS (SELECT *, row_number() OVER (PARTITION BY centre_id ORDER BY km, detection_id) AS rank FROM k WHERE km <= 150)
+SELECT centre_id, detection_id, rank, {hu('km', 6)} AS distance_km FROM r WHERE rank <= 5""",
     "radius_bulk": f"""WITH {DET}, fo AS (SELECT {_p(T.FORESTS)} FROM supplier),
 k AS (SELECT forest_id AS centre_id, detection_id, {hav(
         f'(cy + {T.FOREST_RING[0][1]!r}::DOUBLE)', f'(cx + {T.FOREST_RING[0][0]!r}::DOUBLE)',
@@ -737,8 +746,8 @@ SELECT b.site_id, b.day, f1, s7, samples, background_k, f1 - s7 AS saturation_ga
     # text
     "rationale_factors": f"""WITH {DET}, v AS (SELECT detection_id, (detection_id % 90) / 1e2 AS m
   FROM det) SELECT detection_id, CASE WHEN m >= 5e-1 THEN 'frp' ELSE 'odd_name' END AS "first",
-  greatest(m, 5e-1) AS contribution, CASE WHEN m >= 5e-1 THEN 'odd name' WHEN m >= 25e-2
-  THEN 'Radiative power' ELSE 'Facility type: brick kiln' END AS second_label,
+  greatest(m, 5e-1) AS contribution, CASE WHEN m >= 5e-1 THEN 'Odd Name' WHEN m >= 25e-2
+  THEN 'Frp' ELSE 'Fac Brick Kiln' END AS second_label,
   CASE WHEN m >= 25e-2 THEN 'toward' ELSE 'against' END AS second_direction FROM v""",
     "normalised_text": """SELECT c_custkey, CASE WHEN c_custkey % 5 > 1 THEN c_name END AS clean,
   c_custkey % 3 < 2 AS flag, CASE WHEN c_custkey * 7919 % 100000 < 10 THEN '...' ELSE
@@ -750,3 +759,5 @@ SELECT b.site_id, b.day, f1, s7, samples, background_k, f1 - s7 AS saturation_ga
   {hu('quantile_cont(l_extendedprice, 5e-1)', 4)} AS p50,
   {hu('quantile_cont(l_extendedprice, 9e-1)', 4)} AS p90 FROM lineitem GROUP BY 1""",
 }
+ORACLES["crowded_tiles"] = f"""SELECT CASE WHEN detection_id % 5 <> 0 THEN detection_id % 10 END AS k, in_forest,
+  count(*) AS n FROM ({ORACLES["forest_flag"]}) GROUP BY 1, 2"""

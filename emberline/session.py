@@ -31,11 +31,13 @@ def build_session(app: str = "emberline", cores: str = "*", **conf: str) -> Spar
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for cut lineage; a private one only where none is configured."""
+    """Shared folder for cut lineage; a private one only in local mode, where none is configured."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         root = spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
     elif spark.sparkContext.getCheckpointDir() is None:

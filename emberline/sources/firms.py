@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberline import constants as C
-from emberline.functions.text import acquisition_timestamp
+from emberline.functions.text import acquisition_timestamp, clock_digits, number
 from emberline.operators import skew
 
 NUMERIC = ("latitude", "longitude", "bright_ti4", "scan", "track", "bright_ti5", "frp")
+#: Numeric columns that only some feeds have.
+MORE_NUMERIC = ("brightness", "bright_t31")
 TEXT = ("satellite", "instrument", "confidence", "version", "daynight")
 CSV_COLUMNS = ("latitude", "longitude", "bright_ti4", "scan", "track", "acq_date", "acq_time",
                "satellite", "instrument", "confidence", "version", "bright_ti5", "frp", "daynight")
@@ -32,12 +34,13 @@ def typed(raw: DataFrame) -> DataFrame:
             raw = raw.withColumn(name, F.lit(None).cast("string"))
     lat, lon = F.col("latitude").try_cast("double"), F.col("longitude").try_cast("double")
     placed = lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
-    extra = [c for c in raw.columns if c not in CSV_COLUMNS + ("timestamp_utc",)]
+    extra = [number(F.col(c)).alias(c) if c in MORE_NUMERIC else F.col(c)
+             for c in raw.columns if c not in CSV_COLUMNS + ("timestamp_utc",)]
     return raw.where(placed).select(
-        *[F.col(c).try_cast("double").alias(c) for c in NUMERIC],
+        *[number(F.col(c)).alias(c) for c in NUMERIC],
         *[F.col(c).cast("string").alias(c) for c in TEXT],
         F.trim("acq_date").try_cast("date").alias("acq_date"),
-        F.trim("acq_time").alias("acq_time"),
+        clock_digits("acq_time").alias("acq_time"),
         acquisition_timestamp("acq_date", "acq_time").alias("timestamp_utc"), *extra)
 
 
@@ -89,8 +92,7 @@ def request_plan(sensors: DataFrame, available: DataFrame, page_days: int = C.PA
         F.struct(F.lit(0).alias("pref"), F.col("sensor").alias("data_id")),
         F.struct(F.lit(1).alias("pref"), counterpart(F.col("sensor")).alias("data_id"))))) \
         .select("sensor", "window_start", "window_end", "v.*")
-    # availability: one row per feed
-    covered = variants.join(F.broadcast(available), "data_id", "left").withColumn(
+    covered = variants.join(available, "data_id", "left").withColumn(
         "ok", F.coalesce(F.col("window_start").between(F.col("min_date"), F.col("max_date")),
                          F.lit(False)))
     return covered.groupBy("sensor", "window_start", "window_end").agg(

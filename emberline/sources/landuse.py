@@ -17,11 +17,14 @@ def industrial_landuse(df: DataFrame) -> DataFrame:
 
 
 def land_cover(df: DataFrame, source: str = "LULC") -> DataFrame:
-    """Rows whose description-like columns mention industry or mining, with derived columns."""
-    described = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"
-                 and any(h in f.name.lower() for h in C.LAND_USE_COLUMN_HINTS)]
+    """Rows whose description-like columns mention industry or mining, with derived columns.
+
+    Where no column is named like a description, all text columns are read.
+    """
+    words = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    described = [c for c in words if any(h in c.lower() for h in C.LAND_USE_COLUMN_HINTS)] or words
     if not described:
-        return df.where(F.lit(False))
+        raise ValueError("a land-cover layer needs a text column")
     text = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in described]
     keep = reduce(lambda a, b: a | b, [t.rlike(C.LAND_USE_REGEX) for t in text])
     joined = F.concat_ws(" ", *text)

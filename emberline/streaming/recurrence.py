@@ -1,4 +1,4 @@
-"""Detections as a stream: dedupe, exact history per micro-batch, progress and late rows."""
+"""Detections as a stream: exact history per micro-batch, restated and late rows, progress."""
 
 from __future__ import annotations
 
@@ -8,12 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline import constants as C
-from emberline.operators import incidents, recurrence
+from emberline.operators import incidents, recurrence, skew
 from emberline.sources import sinks
 from emberline.sources.firms import RAW_SCHEMA, typed
 
-WATERMARK = "3 days"
-
 
 def read_landing(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """New CSV files of a landing folder as typed rows."""
@@ -28,12 +26,6 @@ def read_table(spark: SparkSession, path: str, schema, files_per_trigger: int =
         "maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def drop_restated(stream: DataFrame, delay: str = WATERMARK,
-                  keys: tuple[str, ...] = C.DEDUPE_KEYS) -> DataFrame:
-    """One row per detection however often an overlapping refresh restates it."""
-    return stream.withWatermark("timestamp_utc", delay).dropDuplicatesWithinWatermark(list(keys))
-
-
 @dataclass
 class RecurrenceSink:
     """foreachBatch target that keeps history, scored rows, late rows and progress as tables.
@@ -41,12 +33,16 @@ class RecurrenceSink:
     Each batch rescores exactly the rows that its arrivals can change: those of the touched
     sources and areas from the batch's earliest instant on. The history of the sources involved
     is read back for that, because first sight and persistence outlive the thirty-day window.
+    A late row is listed as such and scored like any other, with all that it changes. With ``keys``
+    (place, acquisition and satellite) a detection that an overlapping refresh restates is taken
+    once, however late; no watermark drops rows before they are seen.
     Every table is partitioned by batch id and written with overwrite, so replaying a batch
     after a lost executor or driver leaves the same result.
     """
 
     root: str
     late_after_days: int = 3
+    keys: tuple[str, ...] = ()
     cfg: recurrence.RecurrenceConfig = field(default_factory=recurrence.RecurrenceConfig)
 
     def _path(self, name: str) -> str:
@@ -75,10 +71,16 @@ class RecurrenceSink:
         span = batch.agg(F.min("us").alias("low"), F.count(F.lit(1)).alias("n")).first()
         newest = None if known is None else known.agg(F.max("us")).first()[0]
         cut = None if newest is None else newest - self.late_after_days * C.DAY_US
-        late = batch.where(F.lit(False) if cut is None else F.col("us") < cut)
-        fresh = batch if cut is None else batch.where(F.col("us") >= cut)
+        fresh = batch
+        if self.keys:
+            fresh = skew.first_per_key(fresh, self.keys, [F.col("detection_id")])
+            if known is not None:
+                old = known.select(*[F.col(k).alias(f"_old_{k}") for k in self.keys])
+                same = [F.col(k).eqNullSafe(F.col(f"_old_{k}")) for k in self.keys]
+                fresh = fresh.join(old, same, "left_anti")
         if known is not None:
             fresh = incidents.new_rows(fresh, known)
+        late = fresh.where(F.lit(False) if cut is None else F.col("us") < cut)
         self._write(late, "late", batch_id)
         self._write(fresh, "history", batch_id)
         if span.n:

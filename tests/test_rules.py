@@ -93,9 +93,9 @@ def test_sms_is_one_segment(spark, name, limit):
 
 def test_factors_are_read_back(spark):
     got = one(spark, f=text.rationale_factors(F.lit(
-        "+0.42 via frp (val=12), -0.9 via fac_brick_kiln, +0.1 via month"), 2)).f
-    assert [(f.label, f.contribution, f.direction) for f in got] == [
-        ("Facility type: brick kiln", -0.9, "against"), ("Radiative power", 0.42, "toward")]
+        "frp=0.42 [12]; fac_brick_kiln = -0.9;month=0.1; odd; =3; x=y"), 2)).f
+    assert [(f.label, f.contribution, f.value, f.direction) for f in got] == [
+        ("Fac Brick Kiln", -0.9, None, "against"), ("Frp", 0.42, "12", "toward")]
     assert one(spark, f=text.rationale_factors(F.lit("no model"))).f == []
 
 
@@ -156,3 +156,14 @@ def test_feature_list():
     kept = [f for f in features.FEATURES if not f.startswith(C.RULE_INPUT_PREFIXES)]
     assert len(features.FEATURES) - len(kept) == 14
     assert not {"latitude", "longitude"} & set(features.FEATURES)
+
+
+def test_missing_numbers_and_clocks(spark):
+    assert one(spark, c=text.confidence_percent(F.lit("nan"))).c == 60.0
+    keys = [one(spark, k=text.timestamp_key(F.lit(v).cast(kind))).k for v, kind in (
+        ("2024-01-02T12:00:00.5", "string"), ("2024-01-02 12:00:00.500000", "string"),
+        ("2024-01-02 12:00:00.5", "timestamp_ntz"))]
+    assert set(keys) == {"2024-01-02 12:00:00.500000"}
+    assert one(spark, k=text.timestamp_key(F.lit("2024-01-02 12:00:00"))).k == "2024-01-02 12:00:00.000000"
+    assert [one(spark, b=rules.frp_bin(F.lit(v))).b for v in (0.0, 249.9, 250.0, 120000.0, -1.0)] == [
+        "0-10 MW", "100-250 MW", "250+ MW", "250+ MW", None]

@@ -130,3 +130,28 @@ def test_missing_responder_kind_is_reported(spark):
     got = {r.responder_kind: r for r in proximity.nearest_responders(df, resp).collect()}
     assert got["FIRE"].responder_name == "Unnamed fire" and not got["FIRE"].travel.is_routed
     assert got["POLICE"].none_within_range and got["HOSPITAL"].responder_id is None
+
+
+def test_crowded_tiles_keep_every_row(spark):
+    """Repeated, missing and equal rows in tiles of many parts come back as often as given."""
+    forests = spark.createDataFrame([(i, [box(i / 100, 1 + i / 100, 0, 1)]) for i in range(40)],
+                                    f"forest_id long, rings {RINGS}")
+    rows = [(1, 0.5, 0.5), (1, 5.5, 0.5), (None, 0.5, 0.7), (None, 0.5, 0.7), (None, 0.5, 7.0), (2, 0.5, 0.5)]
+    df = spark.createDataFrame(rows, "detection_id long, latitude double, longitude double")
+    for per_part in (4, 64):
+        got = spatial.forest_flag(df, forests, tile_deg=1.0, per_part=per_part)
+        assert sorted((r.detection_id or 0, r.latitude, r.longitude, r.in_forest) for r in got.collect()) == sorted(
+            (i or 0, la, lo, la < 1 and lo < 1.4) for i, la, lo in rows)
+
+
+def test_search_across_the_date_line_and_a_pole(spark):
+    df = spark.createDataFrame([(1, 10.0, -179.95), (2, 10.0, 179.95), (3, 10.0, 178.0), (4, 89.9, 0.0), (5, 89.9, 120.0)],
+                               "detection_id long, latitude double, longitude double")
+    near = lambda *a: sorted(r.detection_id for r in proximity.within_km(df, *a).collect())
+    assert near(10.0, 179.99, 50.0) == near(10.0, -179.99, 50.0) == [1, 2]
+    assert near(89.95, -90.0, 50.0) == [4, 5]
+    places = spark.createDataFrame([("a", "FIRE", "A", 10.0, -179.9)],
+                                   "responder_id string, responder_kind string, responder_name string, latitude double, longitude double")
+    got = proximity.nearest_responders(df.where("detection_id < 4"), places, 1, 75.0)
+    assert {r.detection_id: r.none_within_range for r in got.where("responder_kind = 'FIRE'").collect()} == {
+        1: False, 2: False, 3: True}
