@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.common import mix, octets, slices
+from emberline.llm.common import mix, octets, slices, stored
 
 #: Rows of the sketch, cells of a slice of it, and the most cells of a row (a 64 MB bitmap of repeats).
 DEPTH, SLICE, MOST_CELLS = 2, 1 << 20, 1 << 29
@@ -65,16 +65,16 @@ def ungaps(data: bytes) -> np.ndarray:
 
 def _rows_of(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list, list[list[bytes]], list[tuple]]]:
     for batch in batches:
-        for part in slices(batch, 1):
+        for part in slices(batch, 1, 1 << 22):
             words = [t.split() for t in part.column(1).to_pylist()]
             yield part.column(0).to_pylist(), words, [window_hashes(word_hashes(w), n) for w in words]
 
 
-def sketch(read: DataFrame, n: int, cells: int) -> list[tuple[int, int, bytes]]:
-    """(row, slice, bitmap) of the cells that some window may have met twice.
+def sketch(read: DataFrame, n: int, cells: int) -> np.ndarray:
+    """By row of the sketch, a bitmap of the cells that windows may have met twice.
 
     Each task sketches its own windows (a cell counts to two) and hands out its cells by slice; a
-    slice is summed over all tasks. The bitmaps together are DEPTH * cells bits.
+    slice is summed over all tasks. The driver gets DEPTH * cells bits, slice by slice.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -97,7 +97,7 @@ def sketch(read: DataFrame, n: int, cells: int) -> list[tuple[int, int, bytes]]:
         for _, _, hashes in _rows_of(batches, n):
             held += [h for h, _ in hashes]
             size += sum(len(h) for h, _ in hashes)
-            if size > 4_000_000:
+            if size > 2_500_000:
                 yield from give()
                 held, size = [], 0
         yield from give()
@@ -127,7 +127,10 @@ def sketch(read: DataFrame, n: int, cells: int) -> list[tuple[int, int, bytes]]:
     schema = "row int, slice int, cells binary"
     merged = (read.mapInArrow(count, schema).repartition("row", "slice").sortWithinPartitions("row", "slice")
               .mapInArrow(merge, schema))
-    return [tuple(r) for r in merged.collect()]
+    table = np.zeros((DEPTH, cells // 8), np.uint8)
+    for row, piece, bits in stored(merged).toLocalIterator():
+        table[row, piece * (SLICE // 8):][:len(bits)] = np.frombuffer(bits, np.uint8)
+    return table
 
 
 def repeated_windows(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_col: str = "text",
@@ -148,10 +151,7 @@ def repeated_windows(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_
     if cells is None:
         size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
         cells = min(MOST_CELLS, max(SLICE, 1 << (int(size) * 4 // 6).bit_length()))
-    table = np.zeros((DEPTH, cells // 8), np.uint8)
-    for row, piece, bits in sketch(read, n, cells):
-        table[row, piece * (SLICE // 8):][:len(bits)] = np.frombuffer(bits, np.uint8)
-    sent = spark.sparkContext.broadcast(table)
+    sent = spark.sparkContext.broadcast(sketch(read, n, cells))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = sent.value
@@ -219,7 +219,7 @@ def repeated_windows(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_
     told = runs.withColumn("sure", not_first("k1", "k2", "sure"))
     single = told.select("doc", "at", "n", "sure", "hashes").mapInArrow(
         unpack, "h long, g long, doc long, at int, n int, sure boolean")
-    return single.withColumn("gone", not_first("h", "g", "sure")).where("gone").select("doc", "at", "n")
+    return stored(single.withColumn("gone", not_first("h", "g", "sure")).where("gone").select("doc", "at", "n"))
 
 
 def chunk_starts(h: np.ndarray, broken: np.ndarray, opening: np.ndarray) -> np.ndarray:
@@ -227,7 +227,7 @@ def chunk_starts(h: np.ndarray, broken: np.ndarray, opening: np.ndarray) -> np.n
 
     The cuts depend on the words alone, so copies of a passage are cut alike.
     """
-    starts = np.flatnonzero(broken | opening | (h & np.uint64(31) == 0))
+    starts = np.flatnonzero(broken | opening | (h & np.uint64(7) == 0))
     size = np.diff(np.append(starts, len(h)))
     more = -(-size // LONGEST_RUN)
     inner = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)

@@ -206,9 +206,7 @@ def test_sketch_never_underestimates(odd_docs):
     from emberline.llm.common import octets
     cells = 1 << 12
     read = odd_docs.select(F.col("doc_id").alias("id"), octets("text").alias("t"))
-    table = np.zeros((windows.DEPTH, cells // 8), np.uint8)
-    for row, piece, bits in windows.sketch(read, 20, cells):
-        table[row, piece * (windows.SLICE // 8):][:len(bits)] = np.frombuffer(bits, np.uint8)
+    table = windows.sketch(read, 20, cells)
     seen = Counter()
     for r in odd_docs.collect():
         seen.update(windows.window_hashes(windows.word_hashes((r.text or "").encode().split()), 20)[0].tolist())
