@@ -210,7 +210,8 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
 
     chosen = read.where(F.octet_length("t") >= length).mapInArrow(
         choose, "key long, id0 long, th long, at int, lo int, hi int")
-    often = chosen.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # counts by key are read from tables, so that Spark can split a hot key in the joins on it
+    often = stored(chosen.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     wanted = (chosen.join(often, "key").groupBy("id0", "th")
               .agg(F.collect_set(F.struct("at", "lo", "hi", "key")).alias("places")))
     stand = groups.select(F.col("least").alias("id0"), "th").distinct()
@@ -231,9 +232,10 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
                     .mapInArrow(cut, "id0 long, th long, at int, lo int, hi int, key long, context binary"))
     name = [F.xxhash64("context", "lo", "hi").alias("c1"), F.xxhash64("hi", "lo", "context").alias("c2")]
     folded = around.groupBy("key", "lo", "hi", "context").agg(F.count(F.lit(1)).alias("n"))
-    by_key = folded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"))
+    by_key = stored(folded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"))
+                    .where("m > 1 and least = 1"))
     twice = folded.where("n > 1").select(*name, F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))).alias("runs"))
-    open_ = folded.join(by_key.where("m > 1 and least = 1"), "key").select("key", "lo", "hi", "context", "n", "m")
+    open_ = folded.join(by_key, "key").select("key", "lo", "hi", "context", "n", "m")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, names, single, last = Family(length), [], [], None
