@@ -108,12 +108,30 @@ def balance(df: DataFrame, ratio_cap: int = 50, seed: int = 42,
 
 
 def split(df: DataFrame, id_col: str = "detection_id", seed: int = 42,
-          weights: tuple[float, float, float] = (0.70, 0.15, 0.15)) -> DataFrame:
-    """Add ``split`` (train / validation / test) from a hash of the id: stratified in
-    expectation for every label, without a shuffle."""
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
-    return df.withColumn("split", F.when(u < weights[0], "train").when(
-        u < weights[0] + weights[1], "validation").otherwise("test"))
+          weights: tuple[float, float, float] = (0.70, 0.15, 0.15),
+          label: str = "target_label") -> DataFrame:
+    """Add ``split`` (train / validation / test) with the same shares in every label.
+
+    Rows of a label are ranked by md5(id, seed); as in ``balance`` a rank is the rank inside a
+    3-digit hash prefix plus the rows of smaller prefixes, so a large label is no bottleneck.
+    """
+    digest = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}:split")))
+    drawn = df.withColumn("_h", digest).withColumn("_p", F.substring("_h", 1, 3))
+    cells = drawn.groupBy(label, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    of_label = Window.partitionBy(label)
+    plan = cells.select(
+        F.col(label).alias("_l"), F.col("_p").alias("_q"),
+        F.coalesce(F.sum("_c").over(of_label.orderBy("_p").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_c").over(of_label).alias("_size"))
+    order = Window.partitionBy(label, "_p").orderBy("_h", id_col)
+    rank = F.col("_before") + F.col("_r")
+    first, second = (F.floor(F.col("_size") * w + 0.5) for w in (weights[0], weights[0] + weights[1]))
+    # plan: at most labels x 4096 prefixes
+    return (drawn.withColumn("_r", F.row_number().over(order))
+            .join(F.broadcast(plan), F.col(label).eqNullSafe(F.col("_l")) & (F.col("_p") == F.col("_q")))
+            .select(*df.columns, F.when(rank <= first, "train").when(rank <= second, "validation")
+                    .otherwise("test").alias("split")))
 
 
 def prior_factors(full: DataFrame, sampled: DataFrame, label: str = "target_label") -> DataFrame:

@@ -54,6 +54,23 @@ def event_accuracy(df: DataFrame, truth: Column, predicted: Column,
         .withColumn("support", F.when(F.col("n") < C.LOW_SUPPORT, "LOW_SUPPORT").otherwise("OK"))
 
 
+def register(df: DataFrame, events: DataFrame, truth: Column, served: Column, model: Column,
+             event_col: str = "event_name") -> DataFrame:
+    """One row per cited event, served and model accuracy side by side, best served first.
+
+    Events without any scored row stay, with no accuracy.
+    """
+    seen = df.where(F.col(event_col).isNotNull()).groupBy(event_col).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg((truth == served).cast("double")).alias("served_accuracy"),
+        F.avg((truth == model).cast("double")).alias("model_accuracy"))
+    return (events.select(event_col).distinct().join(seen, event_col, "left")
+            .withColumn("n", F.coalesce("n", F.lit(0)))
+            .withColumn("support", F.when(F.col("n") == 0, "NOT_SCORED")
+                        .when(F.col("n") < C.LOW_SUPPORT, "LOW_SUPPORT").otherwise("OK"))
+            .orderBy(F.desc_nulls_last("served_accuracy"), F.desc("n"), event_col))
+
+
 def confusion(df: DataFrame, truth: Column, predicted: Column,
               slices: list[Column] | None = None) -> DataFrame:
     return df.groupBy(*(slices or []), truth.cast("string").alias("truth"),

@@ -320,6 +320,12 @@ def balance_sample(spark, sf):
         "detection_id", "target_label")
 
 
+@query
+def stratified_split(spark, sf):
+    parts = labels.split(labelled(spark, sf))
+    return parts.select("detection_id", "target_label", "split")
+
+
 @query
 def prior_factors(spark, sf):
     df = labelled(spark, sf)
@@ -429,6 +435,16 @@ def event_accuracy(spark, sf):
     return out.withColumn("accuracy", text.half_up(F.col("accuracy"), 6))
 
 
+@query
+def event_register(spark, sf):
+    df = _tagged(spark, sf).where("event_name IS NOT NULL")
+    served = incidents.score(df, rules.class_name(F.col("target_label")), F.lit(0.9))
+    out = verified.register(served, T.verified_events(spark, sf),
+                            rules.class_name(F.col("event_label").cast("int")),
+                            F.col("served_class"), rules.class_name(F.col("target_label")))
+    return out.withColumns({c: text.half_up(F.col(c), 6) for c in ("served_accuracy", "model_accuracy")})
+
+
 @query
 def event_confusion(spark, sf):
     df = _tagged(spark, sf).where("event_name IS NOT NULL")

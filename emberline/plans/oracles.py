@@ -427,6 +427,11 @@ SELECT detection_id, cell, {parent('cell', 17, 13)} AS area, {parent('cell', 17,
   count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM lab
   WHERE longitude BETWEEN 70 AND 90 AND latitude BETWEEN 10 AND 30 GROUP BY 1""",
     "balance_sample": f"WITH {LAB}, {_BAL} SELECT detection_id, target_label FROM bal",
+    "stratified_split": f"""WITH {LAB}, r AS (SELECT detection_id, target_label,
+  row_number() OVER (PARTITION BY target_label ORDER BY md5(concat(CAST(detection_id AS VARCHAR), ':42:split')),
+    detection_id) AS r, count(*) OVER (PARTITION BY target_label) AS n FROM lab)
+SELECT detection_id, target_label, CASE WHEN r <= floor(n * 7e-1::DOUBLE + 5e-1) THEN 'train'
+  WHEN r <= floor(n * 85e-2::DOUBLE + 5e-1) THEN 'validation' ELSE 'test' END AS split FROM r""",
     "prior_factors": f"""WITH {LAB}, {_BAL}, a AS (SELECT target_label, count(*) /
   CAST((SELECT count(*) FROM lab) AS DOUBLE) AS true_share FROM lab GROUP BY 1),
 b AS (SELECT target_label, count(*) / CAST((SELECT count(*) FROM bal) AS DOUBLE) AS sampled_share
@@ -523,6 +528,14 @@ UNION ALL SELECT 'polygons', count(*) FROM poly UNION ALL SELECT 'responders', c
   {hu('avg(CASE WHEN event_label = target_label THEN 1e0 ELSE 0e0 END)', 6)} AS accuracy,
   CASE WHEN count(*) < 20 THEN 'LOW_SUPPORT' ELSE 'OK' END AS support FROM tag
   WHERE event_name IS NOT NULL GROUP BY 1""",
+    "event_register": f"""WITH {TAG}, {_SERVE.format(src='tag')},
+a AS (SELECT event_name, count(*) AS n,
+  {hu('avg(CASE WHEN ' + CLASS.format('event_label') + ' = served_class THEN 1e0 ELSE 0e0 END)', 6)} AS served_accuracy,
+  {hu('avg(CASE WHEN event_label = target_label THEN 1e0 ELSE 0e0 END)', 6)} AS model_accuracy
+  FROM sv WHERE event_name IS NOT NULL GROUP BY 1)
+SELECT event_name, coalesce(n, 0) AS n, served_accuracy, model_accuracy, CASE WHEN n IS NULL THEN 'NOT_SCORED'
+  WHEN n < 20 THEN 'LOW_SUPPORT' ELSE 'OK' END AS support
+  FROM (SELECT DISTINCT event_name FROM ev) LEFT JOIN a USING (event_name)""",
     "event_confusion": f"""WITH {TAG} SELECT CAST(event_label AS VARCHAR) AS truth,
   CAST(target_label AS VARCHAR) AS predicted, count(*) AS n FROM tag
   WHERE event_name IS NOT NULL GROUP BY 1, 2""",
