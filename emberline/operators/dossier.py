@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberline.functions import geo, rules
 from emberline.functions.text import half_up
 from emberline.operators import skew
+from emberline.operators.incidents import recurrence_evidence
 
 
 def hourly_value(values: Column, hour: Column) -> Column:
@@ -42,9 +43,9 @@ def latest_audit(audit: DataFrame, k: int = 10) -> DataFrame:
         lambda a: F.struct(a["at"].alias("at"), a["action"].alias("action"))).alias("audit"))
 
 
-def dossier(incidents: DataFrame, weather: DataFrame, audit: DataFrame) -> DataFrame:
-    """Everything a duty officer reads about an incident that carries recurrence evidence."""
-    rows = attach_weather(incidents, weather)
+def dossier(incidents: DataFrame, weather: DataFrame, audit: DataFrame, baselines: DataFrame) -> DataFrame:
+    """Everything a duty officer reads about an incident, with what its cell normally does."""
+    rows = attach_weather(recurrence_evidence(incidents, baselines), weather)
     notes = latest_audit(audit)
     frp = F.col("frp")
     grid_ref = geo.utm(F.col("latitude"), F.col("longitude"))

@@ -594,7 +594,7 @@ def _incident_table(spark, sf):
     served = incidents.score(df, rules.class_name(F.col("target_label")), F.lit(0.5))
     return served.select(
         "detection_id", (F.col("detection_id") + 1).alias("incident_id"), "latitude", "longitude",
-        "acq_date", "frp", "facility_name", "facility_type", "inside_industrial", "us",
+        "cell", "acq_date", "frp", "facility_name", "facility_type", "inside_industrial", "us",
         "timestamp_utc", F.col("served_priority").alias("priority"),
         F.col("served_state").alias("state"), F.col("served_class").alias("predicted_class"),
         F.lit("OPEN").alias("status"))
@@ -713,10 +713,11 @@ def latest_audit(spark, sf):
 
 @query
 def incident_dossier(spark, sf):
-    df = _incident_table(spark, sf)
-    return dossier.dossier(df, _weather(spark, sf), T.actions(spark, sf)).select(
-        "detection_id", "frp_severity", "hazard_km", "audit_rows", "weather_is_measured",
-        F.col("utm.utm_zone").alias("utm_zone"))
+    baselines = incidents.cell_baseline(T.keyed(spark, sf).where("month(acq_date) <= 3"))
+    out = dossier.dossier(_incident_table(spark, sf), _weather(spark, sf), T.actions(spark, sf), baselines)
+    return out.select("detection_id", "frp_severity", "hazard_km", "audit_rows", "weather_is_measured",
+                      F.col("utm.utm_zone").alias("utm_zone"), "evidence_status", "detections_30d",
+                      "mean_frp_mw")
 
 
 # --- optical and thermal ----------------------------------------------------------

@@ -665,6 +665,18 @@ SELECT detection_id, served_priority AS priority, CASE WHEN ch[1] = 'router' THE
   'REFUSED_PRIORITY' ELSE 'PLANNED' END AS status, CASE WHEN ch[1] = 'router' THEN
   'suppressed by design' END AS reason, unnest(ch) AS channel, sms_body FROM r""",
     # dossier
+    "incident_dossier": f"""WITH {INC}, {ACT}, wk AS (SELECT {hu('latitude', 3)} AS a, {hu('longitude', 3)} AS b,
+  acq_date AS d FROM det WHERE source_key % 3 <> 1 GROUP BY 1, 2, 3),
+bl AS (SELECT cell, count(*) AS n, {FRP_SUM} / count(*) AS m FROM keyed WHERE mm <= 3 GROUP BY 1),
+au AS (SELECT detection_id, least(10, count(*)) AS na FROM act GROUP BY 1)
+SELECT sv.detection_id, CASE WHEN frp >= 200 THEN 'CRITICAL' WHEN frp >= 75 THEN 'HIGH'
+  WHEN frp >= 25 THEN 'MODERATE' ELSE 'LOW' END AS frp_severity, {_HAZ} AS hazard_km,
+  coalesce(na, 0) AS audit_rows, wk.d IS NOT NULL AS weather_is_measured,
+  CAST(floor((longitude + 180e0) / 6e0) AS BIGINT) + 1 AS utm_zone,
+  CASE WHEN bl.n IS NULL THEN 'NO_BASELINE' ELSE 'OK' END AS evidence_status, bl.n AS detections_30d,
+  {hu('bl.m', 2)} AS mean_frp_mw
+  FROM sv LEFT JOIN bl ON bl.cell = sv.cell LEFT JOIN au ON au.detection_id = sv.detection_id
+  LEFT JOIN wk ON wk.a = {hu('latitude', 3)} AND wk.b = {hu('longitude', 3)} AND wk.d = sv.acq_date""",
     "weather_hour": f"""WITH {DET}, k AS (SELECT {hu('latitude', 3)} AS a, {hu('longitude', 3)} AS b,
   acq_date, min(detection_id) AS k FROM det WHERE source_key % 3 <> 1 GROUP BY 1, 2, 3),
 x AS (SELECT detection_id, k, least(hh, CASE WHEN k % 2 = 0 THEN 23 ELSE 11 END) AS i FROM det
