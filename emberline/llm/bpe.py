@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -13,12 +12,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from emberline.llm.common import octets, slices
+from emberline.llm.common import kept, octets, slices
 
 #: Fixed value: how the public tokenizer cuts a text before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces, and words, whose ids a worker keeps.
-KEPT_PIECES = 800_000
+#: Pieces, words and pairs that a worker keeps.
+KEPT_PIECES = 500_000
+KEPT_PAIRS = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -85,7 +85,7 @@ class Bpe:
         """
         found = self.compatible.get((a, b))
         if found is None:
-            if len(self.compatible) > 2_000_000:
+            if len(self.compatible) > KEPT_PAIRS:
                 self.compatible.clear()
             found = self.compatible[a, b] = self._fits(a, b)
         return found
@@ -230,10 +230,9 @@ class _Kept(dict):
         return ids
 
 
-@cache
 def load(path: str) -> Bpe:
-    """One per worker and file."""
-    return Bpe(path)
+    """One per worker and file, as long as the worker runs no other operator."""
+    return kept(("bpe", path), lambda: Bpe(path))
 
 
 def text_of(value: bytes) -> str:

@@ -26,6 +26,24 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+#: What an operator keeps in a Python worker from task to task.
+_KEPT: dict = {}
+
+
+def kept(name, make):
+    """The object of that name in this worker, made once; those of other operators are let go."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def let_go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task whose operator keeps nothing; what others kept here is freed."""
+    _KEPT.clear()
+    yield from batches
+
+
 #: Lets Spark delete the shuffle files of an execution when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

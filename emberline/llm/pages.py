@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from emberline.llm.common import octets, slices
+from emberline.llm.common import let_go, octets, slices
 
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -267,7 +267,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     is read as far as it goes. Repeated rows come back as often as given.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in let_go(batches):
             for part in slices(batch, 2):
                 texts = [main_text(p.decode("utf-8", "replace")) for p in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays(

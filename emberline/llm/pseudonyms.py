@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import slices
+from emberline.llm.common import let_go, slices
 
 ROUNDS = 8
 DIGITS = "0123456789"
@@ -224,7 +224,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = Pseudonyms(key.encode())
-        for batch in batches:
+        for batch in let_go(batches):
             for part in slices(batch, part_at):
                 texts, counts = [], []
                 for t in part.column(part_at).to_pylist():

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import octets, slices
+from emberline.llm.common import let_go, octets, slices
 
 #: Signs that count as symbols; white space and the later bytes of a character.
 SYMBOLS = b"#*$%&|<>"
@@ -123,7 +123,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     fail the base. Input columns named like an output are replaced; the other columns are kept.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in let_go(batches):
             at = batch.num_columns - 1
             for part in slices(batch, at, 1 << 21):
                 out = measure(part.column(at).to_pylist(), window, span)

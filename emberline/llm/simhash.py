@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import octets, signed, stored
+from emberline.llm.common import let_go, octets, signed, stored
 from emberline.llm.components import components
 
 #: Bits of a fingerprint in each block; the first two hold the perfect binary
@@ -44,7 +44,7 @@ def _fingerprint(text: bytes, words: int) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """(id_col, fp long) for every row of docs, from its whole text; a null text has fp 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in let_go(batches):
             fps = np.fromiter((_fingerprint(t, words) for t in batch.column(1).to_pylist()),
                               np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), signed(fps)], names=[id_col, "fp"])
@@ -182,7 +182,7 @@ def links(fps: DataFrame, threshold: int = 4, block_rows: int = 20_000) -> DataF
     fingerprints is dealt out as pairs of blocks, so no task holds more than two blocks of it.
     """
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in let_go(batches):
             for at in range(0, batch.num_rows, 4096):
                 f = batch.column(0).slice(at, 4096).to_numpy().view(np.uint64)
                 rows, keys = anchors(f, threshold)
@@ -190,7 +190,7 @@ def links(fps: DataFrame, threshold: int = 4, block_rows: int = 20_000) -> DataF
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k, held_f = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in let_go(batches):
             if not batch.num_rows:
                 continue
             k = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import mix, octets, slices, stored
+from emberline.llm.common import let_go, mix, octets, slices, stored
 
 #: Bytes of the gram that an anchor is chosen by; the odd base of the rolling hash; bytes hashed at once.
 GRAM, BASE, BLOCK = 64, 0x9E3779B97F4A7C15 | 1, 1 << 18
@@ -198,7 +198,7 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
     groups = copies.groupBy("th", "tg").agg(F.count(F.lit(1)).alias("n"), F.min("id0").alias("least"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in let_go(batches):
             for part in slices(batch, 1):
                 found = [anchors(t, length) for t in part.column(1).to_pylist()]
                 row = np.repeat(np.arange(part.num_rows), [len(f[0]) for f in found])
@@ -217,7 +217,7 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
     stand = groups.select(F.col("least").alias("id0"), "th").distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in let_go(batches):
             for part in slices(batch, 2, 1 << 21):
                 rows = [(i, th, p["at"], p["lo"], p["hi"], p["key"], t[p["at"] - p["hi"]:p["at"] - p["lo"] + length])
                         for i, th, t, places in zip(*(c.to_pylist() for c in part.columns), strict=True)
@@ -247,7 +247,7 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
                  pa.array(_runs(family.flags[keep]), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))],
                 names=["c1", "c2", "runs"])
 
-        for batch in batches:
+        for batch in let_go(batches):
             for start in range(0, batch.num_rows, BATCH):
                 part = batch.slice(start, BATCH)
                 key = part.column(0).to_numpy()
@@ -274,7 +274,7 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
     scanned = sorted_.mapInArrow(scan, runs)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in let_go(batches):
             for start in range(0, batch.num_rows, 256):
                 rows = []
                 for lo, hi, context, c1, c2 in zip(*(c.to_pylist() for c in batch.slice(start, 256).columns), strict=True):
@@ -328,7 +328,7 @@ def measure_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
     is long enough; null ids are kept and judged like any other. Other columns are not read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in let_go(batches):
             rows = []
             for text, spans in zip(batch.column(1), batch.column(2), strict=True):
                 text = text.as_py()
@@ -355,7 +355,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in let_go(batches):
             for part in slices(batch, len(names)):
                 texts = []
                 for text, was, spans in zip(part.column(len(names)).to_pylist(), part.column(at), part.column(len(names) + 1).to_pylist(), strict=True):

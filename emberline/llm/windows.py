@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.common import mix, octets, slices, stored
+from emberline.llm.common import let_go, mix, octets, slices, stored
 
 #: Rows of the sketch, cells of a slice of it, and the most cells of a row (a 64 MB bitmap of repeats).
 DEPTH, SLICE, MOST_CELLS = 2, 1 << 20, 1 << 29
@@ -94,7 +94,7 @@ def sketch(read: DataFrame, n: int, cells: int) -> np.ndarray:
                      pa.array([gaps(c[a:b] - piece[a] * SLICE) for a, b in zip(at, ends, strict=True)], pa.binary())],
                     names=["row", "slice", "cells"])
 
-        for _, _, hashes in _rows_of(batches, n):
+        for _, _, hashes in _rows_of(let_go(batches), n):
             held += [h for h, _ in hashes]
             size += sum(len(h) for h, _ in hashes)
             if size > 2_500_000:
@@ -110,7 +110,7 @@ def sketch(read: DataFrame, n: int, cells: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()),
                                                pa.array([bits], pa.binary())], names=["row", "slice", "cells"])
 
-        for batch in batches:
+        for batch in let_go(batches):
             for row, piece, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (row, piece) != now:
                     if now is not None:
@@ -155,7 +155,7 @@ def repeated_windows(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = sent.value
-        for ids, _, hashes in _rows_of(batches, n):
+        for ids, _, hashes in _rows_of(let_go(batches), n):
             h = np.concatenate([a for a, _ in hashes])
             g = np.concatenate([b for _, b in hashes])
             sizes = [len(a) for a, _ in hashes]
@@ -195,7 +195,7 @@ def repeated_windows(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "g", "doc", "at", "n", "sure"]
-        for batch in batches:
+        for batch in let_go(batches):
             doc, at, size = (batch.column(i).to_numpy() for i in range(3))
             sure = batch.column(3).to_numpy(zero_copy_only=False)
             if sure.any():
@@ -250,7 +250,7 @@ def remove_repeats(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_co
     by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in let_go(batches):
             for part in slices(batch, 1):
                 counts, removed, digest, left = [], [], [], []
                 for text, at in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
