@@ -172,7 +172,8 @@ def repeated_windows(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_
             start = chunk_starts(h, np.diff(place, prepend=-2) != 1, at == 0)
             size = np.diff(np.append(start, len(h)))
             inside = np.arange(len(h), dtype=np.uint64) - np.repeat(start, size).astype(np.uint64)
-            k1, k2 = (np.add.reduceat(mix(x + inside * ODD[0]), start) for x in (h, g))
+            # a single window is its own key and carries nothing else
+            k1, k2 = (np.where(size == 1, x[start], np.add.reduceat(mix(x + inside * ODD[0]), start)) for x in (h, g))
             doc, at = doc[start], at[start]
             # of a run that comes more than once here only the first place can be its first anywhere
             by = np.lexsort((at, doc, k2, k1))
@@ -190,22 +191,25 @@ def repeated_windows(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays(
                 [pa.array(k1[use].view(np.int64)), pa.array(k2[use].view(np.int64)), pa.array(doc[use]),
                  pa.array(at[use].astype(np.int32)), pa.array(size[use].astype(np.int32)), pa.array(later[use]),
-                 pa.array([b"" if later[i] else both[start[i]:start[i] + size[i]].tobytes() for i in use.tolist()], pa.binary())],
+                 pa.array([b"" if later[i] or size[i] == 1 else both[start[i]:start[i] + size[i]].tobytes() for i in use.tolist()], pa.binary())],
                 names=["k1", "k2", "doc", "at", "n", "sure", "hashes"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "g", "doc", "at", "n", "sure"]
         for batch in let_go(batches):
-            doc, at, size = (batch.column(i).to_numpy() for i in range(3))
-            sure = batch.column(3).to_numpy(zero_copy_only=False)
+            doc, at, size, k1, k2 = (batch.column(i).to_numpy() for i in range(5))
+            sure = batch.column(5).to_numpy(zero_copy_only=False)
             if sure.any():
                 d, a, k = doc[sure], at[sure], size[sure]
                 spread = mix(d.view(np.uint64) * ODD[0] + a.astype(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (spread, spread, d, a, k, sure[sure])], names=names)
             if not sure.all():
                 d, a, k = doc[~sure], at[~sure], size[~sure]
-                pairs = np.frombuffer(b"".join(batch.column(4).filter(pa.array(~sure)).to_pylist()), np.int64).reshape(-1, 2)
-                inside = np.arange(len(pairs)) - np.repeat(np.cumsum(k) - k, k)
+                inside = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+                pairs = np.empty((len(inside), 2), np.int64)
+                one = np.repeat(k == 1, k)
+                pairs[one] = np.stack([k1, k2], 1)[~sure][k == 1]
+                pairs[~one] = np.frombuffer(b"".join(batch.column(6).filter(pa.array(~sure)).to_pylist()), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(np.repeat(d, k)),
                      pa.array((np.repeat(a, k) + inside).astype(np.int32)), pa.array(np.ones(len(pairs), np.int32)),
@@ -217,7 +221,7 @@ def repeated_windows(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_
 
     runs = read.mapInArrow(look, "k1 long, k2 long, doc long, at int, n int, sure boolean, hashes binary")
     told = runs.withColumn("sure", not_first("k1", "k2", "sure"))
-    single = told.select("doc", "at", "n", "sure", "hashes").mapInArrow(
+    single = told.select("doc", "at", "n", "k1", "k2", "sure", "hashes").mapInArrow(
         unpack, "h long, g long, doc long, at int, n int, sure boolean")
     return stored(single.withColumn("gone", not_first("h", "g", "sure")).where("gone").select("doc", "at", "n"))
 
