@@ -18,6 +18,8 @@ DIGITS = "0123456789"
 HEX = DIGITS + "abcdef"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 UPPER = LOWER.upper()
+#: Most signs permuted as one number: half of their bits fit a hash of 64 bytes.
+PIECE = 200
 #: Dates are permuted among these days.
 FIRST_DAY, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
@@ -40,7 +42,9 @@ def permute(value: int, size: int, key: bytes, tweak: str) -> int:
 
 
 def spell(text: str, alphabets: list[str], key: bytes, tweak: str) -> str:
-    """Permutes a text whose i-th sign lies in alphabets[i], among all such texts."""
+    """Permutes a text whose i-th sign lies in alphabets[i], among all such texts; long ones piece by piece."""
+    if len(text) > PIECE:
+        return "".join(spell(text[i:i + PIECE], alphabets[i:i + PIECE], key, f"{tweak}/{i}" if i else tweak) for i in range(0, len(text), PIECE))
     value, size = 0, 1
     for c, letters in zip(text, alphabets, strict=True):
         value = value * len(letters) + letters.index(c)
@@ -76,8 +80,8 @@ def luhn(digits: str) -> int:
 
 
 def _email(m: re.Match, key: bytes) -> str:
-    name = m[1].lower()
-    return spell(name, classes(name), key, "email") + m[2]
+    name = m[2].lower()
+    return m[1] + spell(name, classes(name), key, "email") + m[3]
 
 
 def _card(m: re.Match, key: bytes) -> str | None:
@@ -153,9 +157,11 @@ def _day(m: re.Match, key: bytes) -> str | None:
         if year_first or sep != "/" or (month_first == (found.day > 12)):
             break
     if year_first:
-        return f"{found.year:04d}{sep}{found.month:02d}{sep}{found.day:02d}"
+        wide = 2 if len(m["m1"]) == len(m["d1"]) == 2 else 1
+        return f"{found.year:04d}{sep}{found.month:0{wide}d}{sep}{found.day:0{wide}d}"
     first, second = (found.month, found.day) if month_first else (found.day, found.month)
-    return f"{first:02d}{sep}{second:02d}{sep}{found.year:04d}"
+    wide = 2 if len(m["a"]) == len(m["b"]) == 2 else 1
+    return f"{first:0{wide}d}{sep}{second:0{wide}d}{sep}{found.year:04d}"
 
 
 def _secret(m: re.Match, key: bytes) -> str:
@@ -164,22 +170,41 @@ def _secret(m: re.Match, key: bytes) -> str:
 
 #: Name, pattern and pseudonym of each kind; where two begin at one place the earlier named is taken.
 KINDS: list[tuple[str, str, Callable[[re.Match, bytes], str | None]]] = [
-    ("email", r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9][A-Za-z0-9._%+-]{0,63})(@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})", _email),
-    ("secret", r"""((?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?[ ]{0,3}[:=][ ]{0,3}["']?)([A-Za-z0-9+/_-]{16,512})""", _secret),
+    ("email", r"(?<![A-Za-z0-9._%+-])([._%+-]*)([A-Za-z0-9][A-Za-z0-9._%+-]*)(@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})", _email),
+    ("secret", r"""((?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?[ ]{0,3}[:=][ ]{0,3}["']?)([A-Za-z0-9+/_.-]{15,}[A-Za-z0-9+/_-])""", _secret),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
     ("ip", r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)", _address),
-    ("date", r"(?<![\d./-])(?:(?P<y1>\d{4})(?P<s1>[-/.])(?P<m1>\d{2})(?P=s1)(?P<d1>\d{2})"
-             r"|(?P<a>\d{2})(?P<s2>[-/.])(?P<b>\d{2})(?P=s2)(?P<y2>\d{4}))(?!\d|[./-]\d)", _day),
+    ("date", r"(?<![\d./-])(?:(?P<y1>\d{4})(?P<s1>[-/.])(?P<m1>\d{1,2})(?P=s1)(?P<d1>\d{1,2})"
+             r"|(?P<a>\d{1,2})(?P<s2>[-/.])(?P<b>\d{1,2})(?P=s2)(?P<y2>\d{4}))(?!\d|[./-]\d)", _day),
     ("social", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d)", _social),
     ("card", r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)", _card),
-    ("phone", r"(?<![\w+])(?:(?:\+1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
+    ("phone", r"(?<![\w+])(?:(?:\+1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}"
               r"|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ -]?\d{2,4}){1,4})(?!\d|[.-]\d)", _phone),
 ]
+#: What ends a group of a value.
+GAP = re.compile(r"[^A-Za-z0-9]")
 COUNTS = [f"n_{name}" for name, *_ in KINDS]
 #: Signs without which a kind cannot occur; texts without digit and @ need no look.
 PLAIN = re.compile(r"[0-9@:=]")
 
 
+def _values(text: str, pattern: re.Pattern, make: Callable[[re.Match, bytes], str | None], key: bytes) -> Iterator[tuple[int, int, str]]:
+    """(start, end, pseudonym) of the values of a kind. What fails its check is tried without its last
+    groups; then the search goes on at its second group, as a value may begin inside it."""
+    at = 0
+    while m := pattern.search(text, at):
+        tried = m
+        while tried and (new := make(tried, key)) is None:
+            gaps = [g.start() for g in GAP.finditer(tried[0], 1)]
+            tried = pattern.match(text, m.start(), m.start() + gaps[-1]) if gaps else None
+        if tried:
+            yield tried.start(), tried.end(), new
+            at = tried.end()
+        else:
+            gap = GAP.search(m[0], 1)
+            at = m.start() + gap.start() if gap else m.end()
+
+
 class Pseudonyms:
     """Replaces private values in texts under one key."""
 
@@ -194,9 +219,7 @@ class Pseudonyms:
             return text, counts
         found = []
         for k, (pattern, make) in enumerate(self.kinds):
-            for m in pattern.finditer(text):
-                if (new := make(m, self.key)) is not None:
-                    found.append((m.start(), k, m.end(), new))
+            found += [(start, k, end, new) for start, end, new in _values(text, pattern, make, self.key)]
         out, at = [], 0
         for start, k, end, new in sorted(found):
             if start < at:
@@ -210,9 +233,10 @@ class Pseudonyms:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with private values of text_col replaced, and a count of each kind (COUNTS).
 
-    Emails (name part), secrets given as token = "..", IBANs and card numbers with a right check
-    digit (it is made right again), IPv4 addresses, calendar dates, US social numbers and phone
-    numbers (country code kept). Numbers that fail their check are left alone. One key turns one
+    Emails (name part), secrets of 16 or more signs given as token = "..", IBANs and card numbers
+    with a right check digit (it is made right again), IPv4 addresses, calendar dates in digits with
+    a year of four, US social numbers and phone numbers (country code kept; without one only US
+    numbers in three groups). Numbers that fail their check are left alone. One key turns one
     value into the same pseudonym in every document, whatever separators it is written with. A null
     text stays null, all other rows and columns are kept as they are, row by row, without a shuffle;
     an input column named like a count is replaced.
