@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from emberline.llm.common import stored
 
-#: Added to every pruning bound, so that rounding never cuts an exact search.
-ROUNDING = 1e-9
-#: Points kept beyond k in a tree: the query itself and what ties within rounding.
+#: Added to every pruning bound, so that rounding never cuts an exact search: dots are off by less than
+#: TIE, chords near zero by less than the root of twice that.
+ROUNDING, TIE = 2e-6, 1e-12
+#: Points kept beyond k in a tree: the query itself and a few that tie; more are found by a second look.
 SPARE = 9
 
 
@@ -102,8 +103,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Each by its largest part: exact multiples become equal."""
+    return v / np.abs(v).max(1, keepdims=True)
+
+
 def _units(v: np.ndarray) -> np.ndarray:
-    scaled = v / np.abs(v).max(1, keepdims=True)
+    scaled = _scaled(v)
     return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
 
 
@@ -113,21 +119,39 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(-1) / (np.sqrt((a * a).sum(-1)) * np.sqrt((b * b).sum(-1)))
 
 
+def _cosine_of(q: np.ndarray, points: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosine of q[i] and points[j], in slices of bounded memory."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), 65_536):
+        out[at:at + 65_536] = _cosine(q[i[at:at + 65_536]], points[j[at:at + 65_536]])
+    return out
+
+
+def _least(i: np.ndarray, j: np.ndarray, score: np.ndarray, held: np.ndarray, who: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each query i the k + 1 points j that come first by score, then by their least id other than its own."""
+    first = np.where(held[j, 0] == who[i], held[j, 1], held[j, 0])
+    by = np.lexsort((np.where(first < 0, np.iinfo(np.int64).max, first), -score, i))
+    i, j = i[by], j[by]
+    nth = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[nth <= k], j[nth <= k]
+
+
 def nearest(vectors: DataFrame, is_query: str, k: int = 5, factor: float = 1.0, id_col: str = "vec_id",
             vector_col: str = "embedding", shard_rows: int = 16_384, query_rows: int = 16_384,
             leaf: int = 512) -> DataFrame:
     """(query_id, rank, id_col, score): for each row that meets is_query its k nearest others by cosine.
 
     Rows are dealt to shards of about shard_rows by hash; a shard builds one tree, kept as a row of a
-    table, and every block of about query_rows queries meets every tree. Equal vectors of a shard
-    are one point of its tree with as many of its least ids as can be asked for, so a vector that
-    fills a third of the rows costs no more than another. Per query and shard only k rows leave the
-    task, and Spark keeps the best k before it shuffles again.
+    table, and every block of about query_rows queries meets every tree. Vectors of a shard that are
+    exact multiples of each other are one point of its tree with as many of its least ids as can be
+    asked for, so a direction that fills a third of the rows costs no more than another. Where the
+    points kept do not reach past what ties with the k-th, the query looks at all points of the shard.
+    Per query and shard only k rows leave the task, and Spark keeps the best k before it shuffles again.
 
     Null, zero and non-finite vectors, empty ones and those with a null part take no part, nor do
     rows with a null id; vectors of different lengths do not meet. A query's own id is never its
     neighbour. Ties go to the smaller id; fewer candidates give fewer rows; of rows with one id and
-    vector one is used. The score is computed on the vectors as given, in double precision.
+    direction one is used. The score is computed on the vectors as given, in double precision.
     """
     parts = F.col(vector_col)
     fine = F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(parts, lambda x: x != 0)
@@ -138,7 +162,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 5, factor: float = 1.0,
     shards, groups = max(1, -(-sizes["n"] // shard_rows)), max(1, -(-sizes["nq"] // query_rows))
 
     def build(table: pa.Table) -> pa.Table:
-        v, ids = _matrix(table["v"].combine_chunks()), table["id"].to_numpy()
+        v, ids = _scaled(_matrix(table["v"].combine_chunks())), table["id"].to_numpy()
         order = np.lexsort((ids, *v.T[::-1]))
         v, ids = v[order], ids[order]
         head = np.ones(len(ids), bool)
@@ -164,10 +188,20 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 5, factor: float = 1.0,
         for at in range(0, asked.num_rows, 1024):
             part = asked.slice(at, 1024)
             q, who = _matrix(part["v"].combine_chunks()), part["id"].to_numpy()
-            rows, _ = found.search(_units(q), k + SPARE, factor)
-            i, j = np.nonzero(rows >= 0)
-            score = _cosine(q[i], points[rows[i, j]])
-            ids = held[rows[i, j]]
+            rows, dots = found.search(_units(q), k + SPARE, factor)
+            last = dots[:, k] - TIE
+            more = np.flatnonzero(dots[:, -1] >= last) if len(points) > k + SPARE else np.zeros(0, np.int64)
+            few = np.ones(len(q), bool)
+            few[more] = False
+            i, j = np.nonzero((rows >= 0) & few[:, None])
+            at_point = rows[i, j]
+            for some in np.array_split(more, -(-len(more) // 64)) if len(more) else ():
+                a, b = np.nonzero(_units(q[some]) @ found.vectors.T >= last[some, None])
+                a = some[a]
+                a, b = _least(a, b, _cosine_of(q, points, a, b), held, who, k)
+                i, at_point = np.concatenate((i, a)), np.concatenate((at_point, b))
+            score = _cosine_of(q, points, i, at_point)
+            ids = held[at_point]
             query, ids, score = np.repeat(who[i], k + 1), ids.ravel(), np.repeat(score, k + 1)
             use = (ids >= 0) & (ids != query)
             query, ids, score = query[use], ids[use], score[use]

@@ -300,6 +300,33 @@ def test_exact_search_matches_all_pairs(vectors, shard_rows, query_rows, leaf):
     assert vptree.nearest(vectors.limit(0), "vec_id % 50 = 0").count() == 0
 
 
+@pytest.mark.parametrize("shard_rows,leaf", [(16_384, 512), (150, 4)])
+def test_more_ties_than_spare_points(spark, shard_rows, leaf):
+    rng = np.random.default_rng(4)
+    rows = [(1000 - i, [float(i * x) for x in (1, -2, 3, 4, 0, 5)]) for i in range(1, 101)]
+    rows += [(2000 - i, [float(x) for x in rng.choice([-1, 1], 6)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in sorted(vptree.nearest(df, "vec_id % 50 = 0", shard_rows=shard_rows, leaf=leaf).collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((-round(r.score, 12), r.vec_id))
+    assert dict(got) == nearest_plain(df.collect())
+
+
+def test_ties_of_many_directions(spark):
+    signs = np.array(np.meshgrid(*[[-1.0, 1.0]] * 7)).reshape(7, -1).T
+    rows = [(5000 - i, v.tolist()) for i, v in enumerate(signs)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in sorted(vptree.nearest(df, "vec_id % 50 = 0", leaf=4).collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((-round(r.score, 12), r.vec_id))
+    assert dict(got) == nearest_plain(df.collect())
+    found = vptree.nearest(df, "vec_id % 50 = 0", k=15, leaf=4).groupBy("query_id").count().collect()
+    assert {r["count"] for r in found} == {15}
+    got = {(r.query_id, r.rank): r.vec_id for r in vptree.nearest(df, "vec_id % 50 = 0", k=10, leaf=4).collect()}
+    plain = nearest_plain(df.collect(), 10)
+    assert got == {(q, n + 1): i for q, found in plain.items() for n, (_, i) in enumerate(found)}
+
+
 def test_relaxed_search_keeps_most():
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(30, 16)) * 2
