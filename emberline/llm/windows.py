@@ -134,9 +134,11 @@ def sketch(read: DataFrame, n: int, cells: int) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_col: str = "text",
-                     cells: int | None = None) -> DataFrame:
+                     cells: int | None = None, every: bool = False) -> DataFrame:
     """(doc, at, n): runs of n windows whose words all start earlier, by document id, then place.
 
+    every: also those that start only later; each row counts, so a row given twice is its own copy.
+
     Flagged windows that follow each other go as one row, cut alike wherever the words are the same.
     A run of which an equal one comes earlier is settled as a whole; of equal runs only the first is
     taken apart into windows, which are grouped in turn. The first place of any window lies in the
@@ -181,7 +183,10 @@ def repeated_windows(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_
             head[1:] = (k1[by][1:] != k1[by][:-1]) | (k2[by][1:] != k2[by][:-1])
             lead = by[np.flatnonzero(head)[np.cumsum(head) - 1]]
             later = np.zeros(len(by), bool)
-            later[by] = ~head & ~((doc[by] == doc[lead]) & (at[by] == at[lead]))
+            later[by] = ~head if every else ~head & ~((doc[by] == doc[lead]) & (at[by] == at[lead]))
+            # a run known to come again is told by a number of windows below zero
+            sign = np.ones(len(by), np.int32)
+            sign[lead[~head]] = -1 if every else 1
             keep = np.zeros(len(by), bool)
             keep[by] = head
             both = np.stack([h, g], 1)
@@ -190,7 +195,7 @@ def repeated_windows(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_
             use = np.flatnonzero(keep | later)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(k1[use].view(np.int64)), pa.array(k2[use].view(np.int64)), pa.array(doc[use]),
-                 pa.array(at[use].astype(np.int32)), pa.array(size[use].astype(np.int32)), pa.array(later[use]),
+                 pa.array(at[use].astype(np.int32)), pa.array(np.where(later, 1, sign)[use] * size[use].astype(np.int32)), pa.array(later[use]),
                  pa.array([b"" if later[i] or size[i] == 1 else both[start[i]:start[i] + size[i]].tobytes() for i in use.tolist()], pa.binary())],
                 names=["k1", "k2", "doc", "at", "n", "sure", "hashes"])
 
@@ -204,7 +209,7 @@ def repeated_windows(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_
                 spread = mix(d.view(np.uint64) * ODD[0] + a.astype(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (spread, spread, d, a, k, sure[sure])], names=names)
             if not sure.all():
-                d, a, k = doc[~sure], at[~sure], size[~sure]
+                d, a, k, sign = doc[~sure], at[~sure], np.abs(size[~sure]), np.sign(size[~sure])
                 inside = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
                 pairs = np.empty((len(inside), 2), np.int64)
                 one = np.repeat(k == 1, k)
@@ -212,17 +217,28 @@ def repeated_windows(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_
                 pairs[~one] = np.frombuffer(b"".join(batch.column(6).filter(pa.array(~sure)).to_pylist()), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(np.repeat(d, k)),
-                     pa.array((np.repeat(a, k) + inside).astype(np.int32)), pa.array(np.ones(len(pairs), np.int32)),
+                     pa.array((np.repeat(a, k) + inside).astype(np.int32)), pa.array(np.repeat(sign, k)),
                      pa.array(np.zeros(len(pairs), bool))], names=names)
 
     def not_first(*key: str):
-        first = F.first(F.struct("doc", "at")).over(Window.partitionBy(*key).orderBy("doc", "at"))
-        return F.col("sure") | (F.struct("doc", "at") != first)
+        by = Window.partitionBy(*key).orderBy("doc", "at")
+        if every:
+            return F.col("sure") | (F.row_number().over(by) > 1)
+        return F.col("sure") | (F.struct("doc", "at") != F.first(F.struct("doc", "at")).over(by))
+
+    def not_last(*key: str):
+        return F.lead("at").over(Window.partitionBy(*key).orderBy("doc", "at")).isNotNull()
 
     runs = read.mapInArrow(look, "k1 long, k2 long, doc long, at int, n int, sure boolean, hashes binary")
-    told = runs.withColumn("sure", not_first("k1", "k2", "sure"))
+    told = runs.withColumns({"sure": not_first("k1", "k2", "sure")} | ({"several": not_last("k1", "k2", "sure")} if every else {}))
+    if every:
+        # the first of several is settled too, but still meets what else holds its windows
+        told = told.withColumn("n", F.when(F.col("sure"), F.abs("n")).when(F.col("several"), -F.abs("n")).otherwise(F.col("n")))
     single = told.select("doc", "at", "n", "k1", "k2", "sure", "hashes").mapInArrow(
         unpack, "h long, g long, doc long, at int, n int, sure boolean")
+    if every:
+        gone = (F.col("n") < 0) | not_first("h", "g", "sure") | not_last("h", "g", "sure")
+        return stored(single.withColumn("gone", gone).where("gone").select("doc", "at", F.abs("n").alias("n")))
     return stored(single.withColumn("gone", not_first("h", "g", "sure")).where("gone").select("doc", "at", "n"))
 
 
