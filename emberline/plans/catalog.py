@@ -840,7 +840,7 @@ def _trained(spark, sf):
     corpus = labels.split(labelled(spark, sf))
     train = training.feature_frame(corpus.where("split = 'train'"))
     test = training.feature_frame(corpus.where("split = 'test'"))
-    return training.fit_forest(train, cfg=training.ModelConfig(trees=10)), train, test
+    return training.fit_forest(train), train, test
 
 
 @query

@@ -278,3 +278,10 @@ def test_feed_with_nan_and_two_clocks(spark):
 def test_land_cover_without_a_hinted_column(spark):
     df = spark.createDataFrame([(1, "steel works"), (2, "meadow")], "id int, text_a string")
     assert [r.id for r in landuse.land_cover(df).collect()] == [1]
+
+
+def test_model_queries_fit_the_production_forest(spark):
+    from emberline.plans import catalog
+
+    model, _, _ = catalog._trained(spark, SF)
+    assert model.stages[-1].getNumTrees == training.ModelConfig().trees == 250
