@@ -218,6 +218,14 @@ def links(fps: DataFrame, threshold: int = 4, block_rows: int = 20_000) -> DataF
     return parts.mapInArrow(compare, "a long, b long")
 
 
+def _placed(known: DataFrame, threshold: int) -> DataFrame:
+    """(fp, root) for every fingerprint in known."""
+    distinct = known.select("fp").distinct()
+    roots = components(links(distinct, threshold), "a", "b")
+    return (distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+            .select("fp", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
                     threshold: int = 4) -> DataFrame:
     """(id_col, fingerprint, component_id) for every row of docs.
@@ -228,12 +236,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component has no other. Columns other than the two are not read.
     """
     known = stored(fingerprints(docs, id_col, text_col, words))
+    placed = _placed(known, threshold)
     distinct = known.groupBy("fp").agg(F.min(id_col).alias("least"))
-    roots = components(links(distinct, threshold), "a", "b")
-    placed = (distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-              .withColumn("root", F.coalesce("root", "fp")))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = placed.select("fp", "root").join(named, "root").select("fp", "component_id")
+    named = distinct.join(placed, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp = placed.join(named, "root").select("fp", "component_id")
     return (known.join(by_fp, "fp")
             .select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
@@ -242,12 +248,17 @@ def first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    threshold: int = 4) -> DataFrame:
     """docs with one row of each group of near duplicates: the one with the smallest id.
 
-    Of equal rows with that id one stays; rows with a null id stay only as a group of their own.
-    All columns are kept.
+    A null id comes after all others; of different texts with the smallest id the one of least hash
+    stays, of equal rows any one. All columns are kept.
     """
-    groups = near_duplicates(docs, id_col, text_col, words, threshold)
-    chosen = (groups.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-              .groupBy(F.col(id_col).alias("_chosen")).agg(F.count(F.lit(1)).alias("_rows")))
-    kept = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("_chosen"))).drop("_chosen")
-    once = kept.where("_rows = 1").drop("_rows")
-    return once.unionByName(kept.where("_rows > 1").drop("_rows").dropDuplicates([id_col, text_col]))
+    th = F.xxhash64(octets(text_col))
+    known = stored(fingerprints(docs.select(F.struct(F.col(id_col).alias("id"), th.alias("th")).alias("_key"), F.col(text_col)),
+                                "_key", text_col, words))
+    rows = known.join(_placed(known, threshold), "fp").groupBy("root", "_key").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(
+        F.col("_key.id").isNull().alias("none"), F.col("_key.id").alias("id"), F.col("_key.th").alias("th"), "n")).alias("c"))
+    chosen = first.select(F.col("c.id").alias("_chosen"), F.col("c.th").alias("_hash"), F.col("c.n").alias("_rows"))
+    kept = (docs.withColumn("_th", th)
+            .join(chosen, F.col(id_col).eqNullSafe(F.col("_chosen")) & (F.col("_th") == F.col("_hash"))).drop("_chosen", "_hash"))
+    once = kept.where("_rows = 1").drop("_rows", "_th")
+    return once.unionByName(kept.where("_rows > 1").dropDuplicates([id_col, "_th"]).drop("_rows", "_th"))

@@ -101,6 +101,20 @@ def test_one_of_each_group_stays(odd_docs, no_docs):
     assert simhash.first_of_group(no_docs).count() == simhash.near_duplicates(no_docs).count() == 0
 
 
+def test_one_row_stays_whatever_its_id(spark, words):
+    rng = random.Random(31)
+    said = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(4)]
+    # other space does not change a fingerprint, so these are different texts of one group
+    rows = [(None, said[0]), (None, said[0].replace(" ", "\n")), (None, said[0]), (None, said[1]), (7, said[1]), (None, said[1].replace(" ", "\n")),
+            (3, said[2]), (3, said[2].replace(" ", "\n")), (3, said[3]), (4, None), (4, "")]
+    fps = [simhash_plain(t) for _, t in rows]
+    groups = {frozenset(g) for g in groups_plain(fps, 4).values()}
+    assert len(groups) == 5
+    kept = simhash.first_of_group(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 3), (False, 3), (False, 4), (False, 7), (True, 0)]
+    assert Counter(next(i for i, g in enumerate(groups) if simhash_plain(r.text) in g) for r in kept) == Counter(range(5))
+
+
 def test_components_of_a_long_chain(spark):
     links = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)] + [(900, x) for x in range(901, 960)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "x long, y long"), "x", "y").collect()}
