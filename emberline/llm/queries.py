@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import bpe, packing, pages, pseudonyms, repetition, reputation, simhash, suffixes, vptree, windows
+from emberline.llm import (bpe, fmindex, packing, pages, periodic, pseudonyms, repetition, reputation, shallot, simhash, suffixes,
+                           vptree, windows)
 
 #: Key of the pseudonyms in queries; a deployment passes its own.
 TEST_KEY = "key for tests"
@@ -75,9 +76,37 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), words=4, threshold=4)
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where the texts of a tenth of the ids go on with copies of some words, from one word on."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size("words")
+    chosen = (docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), g.alias("g"))
+              .withColumn("n", n.cast("long")).withColumn("a", F.when(n > 0, F.col("g") % F.col("n")))
+              .withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))))
+    again = F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - F.col("a") - 1) / F.col("p"))),
+                                  lambda _: F.slice("words", F.col("a") + 1, F.col("p"))))
+    said = F.concat(F.slice("words", 1, F.col("a")), F.slice(again, 1, F.col("n") - F.col("a")))
+    return chosen.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(said, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find_runs(planted(_read(spark, sf_dir, "documents")))).drop("n_words")
+
+
+def op12_shallot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shallot.cluster(_read(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64.0, seed=1)
+    return found.withColumn("centroid_sha256", F.sha2(F.concat_ws(",", F.col("centroid").cast("array<string>")), 256)).drop("centroid")
+
+
+def op13_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = fmindex.build(_read(spark, sf_dir, "documents"))
+    return fmindex.digests(fmindex.search(index, _read(spark, sf_dir, "benchmark"), n=10))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_vptree, op2_suffix_dedup, op3_pseudonyms, op4_host_reputation, op5_repetition, op6_packing,
-                            op7_windows, op8_main_text, op9_bpe, op10_simhash)}
+                            op7_windows, op8_main_text, op9_bpe, op10_simhash, op11_periodic_runs, op12_shallot, op13_fm_index)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -154,3 +183,68 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN k USING (doc_id)""",
 }
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES["op11_periodic_runs"] = rf"""
+    WITH d0 AS (SELECT doc_id, {WORDS} AS w0, xor(list_reduce(list_prepend(4294967295::BIGINT,
+                  list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b:
+                  list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))),
+                  4294967295::BIGINT) AS h FROM documents),
+    d1 AS (SELECT *, h // 10 AS g, len(w0) AS n FROM d0),
+    d2 AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM d1),
+    d3 AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM d2),
+    d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+            THEN list_transform(range(n), lambda i: w0[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w0 END AS w FROM d3),
+    words AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM d),
+    same AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM words AS x JOIN words AS y ON x.doc_id = y.doc_id AND x.word = y.word
+             WHERE y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+    isle AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM same),
+    lags AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM isle GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+    runs AS (SELECT doc_id, s, len, min(q) AS q FROM lags GROUP BY doc_id, s, len),
+    best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len / q DESC, s, q) AS k FROM runs),
+    told AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY doc_id),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS said FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, len::BIGINT AS length, q::BIGINT AS period,
+           (1000 * len // q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(said, '')) AS collapsed_sha256
+    FROM d LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT * FROM best WHERE k = 1) USING (doc_id)"""
+
+
+def _rounds(rounds: int) -> str:
+    """Assignments a0, a1 .. and centroids c1, c2 .. as SQL, from vectors v of kept and centroids c0."""
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"""a{r} AS (SELECT vec_id, v, min(d) % 16 AS c, min(d) // 16 AS distance FROM (
+            SELECT vec_id, kept.v, 16 * list_sum(list_transform(range(1, 65), lambda i: (kept.v[i] - c{r}.v[i]) * (kept.v[i] - c{r}.v[i])))::BIGINT
+                   + c AS d FROM kept, c{r}) GROUP BY vec_id, v)""")
+        if r < rounds:
+            out.append(f"""s{r} AS (SELECT c, place, sum(x)::BIGINT AS s, count(*) AS n FROM (
+                SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM a{r}) GROUP BY c, place),
+              m{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY place) AS v FROM s{r} GROUP BY c),
+              c{r + 1} AS (SELECT c, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (c))""")
+    return ",\n".join(out)
+
+
+ORACLES["op12_shallot"] = f"""
+    WITH kept AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+    c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v FROM kept QUALIFY c < 16),
+    {_rounds(3)}
+    SELECT vec_id, a3.c::INTEGER AS cluster, distance::BIGINT AS distance, (sum(distance) OVER (PARTITION BY a3.c))::BIGINT AS cluster_inertia,
+           (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256 FROM a3 JOIN c3 ON a3.c = c3.c"""
+
+ORACLES["op13_fm_index"] = rf"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    cut AS (SELECT item_id, w, least(len(w), 10) AS k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+    win AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM cut),
+    pos AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win)),
+    hit AS (SELECT doc_id, i, x.k, item_id FROM (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM pos) AS x
+            JOIN win ON x.k = win.k AND x.s = win.s),
+    n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM hit) GROUP BY doc_id),
+    t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)"""
