@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberline import constants as C
 from emberline.functions import facility, features, geo, grid, physics, rules, text
 from emberline.operators import (
-    dossier, incidents, labels, optical, proximity, quantiles, recurrence, reports, spatial,
+    dossier, incidents, labels, optical, proximity, quantiles, recurrence, reports, skew, spatial,
     thermal, verified)
 from emberline.plans import tables as T
 from emberline.plans import training
@@ -134,7 +134,7 @@ def map_feature_filters(spark, sf):
 @query
 def responder_layer(spark, sf):
     points = T.map_features(spark, sf)
-    polygons = T.sites(spark, sf).where("poly_id < 1000000").select(
+    polygons = T.sites(spark, sf).select(
         F.concat(F.lit("poly/"), "poly_id").alias("osm_id"), "name", "rings",
         F.lit("hospital").alias("amenity"), F.lit(None).cast("string").alias("other_tags"))
     return osm.responders(points, polygons).select(
@@ -146,25 +146,36 @@ def responder_layer(spark, sf):
 @query
 def map_assembly(spark, sf):
     # the site polygons taken apart into nodes, ways and relations, then rebuilt
-    polys = T.sites(spark, sf).where("poly_id < 1000000")
+    polys = T.sites(spark, sf)
     rings = polys.select("poly_id", F.posexplode("rings").alias("r", "ring"))
-    vertex = F.transform(F.sequence(F.lit(0), F.size("ring") - 1), lambda i: (
-        F.col("poly_id") * 1000 + F.col("r") * 100 + F.pmod(i, F.size("ring") - 1)))
-    ways = rings.select((F.col("poly_id") * 10 + F.col("r")).alias("way_id"),
-                        vertex.alias("node_ids"), F.when(
-                            F.col("poly_id") % 3 == 0, F.create_map(F.lit("landuse"),
-                                                                    F.lit("industrial")))
+
+    def tag(name, value):
+        return F.create_map(F.lit(name), F.lit(value))
+
+    def number(*parts):
+        return F.concat_ws("/", *[p.cast("string") for p in parts])
+
+    vertex = F.transform(F.sequence(F.lit(0), F.size("ring") - 1), lambda i: number(
+        F.col("poly_id"), F.col("r"), F.pmod(i, F.size("ring") - 1)))
+    ways = rings.select(number(F.col("poly_id"), F.col("r")).alias("way_id"),
+                        vertex.alias("node_ids"), F.when(F.col("poly_id") % 3 == 0, tag("landuse", "industrial"))
                         .otherwise(F.create_map().cast("map<string,string>")).alias("tags"))
-    nodes = rings.select("poly_id", "r", F.posexplode("ring").alias("i", "v")) \
-        .where("i + 1 < 100").select((F.col("poly_id") * 1000 + F.col("r") * 100 + F.col("i"))
-                                     .alias("node_id"), "v.x", "v.y") \
-        .select("node_id", F.col("x").alias("lon"), F.col("y").alias("lat"))
+    nodes = rings.select("poly_id", "r", F.size("ring").alias("n"), F.posexplode("ring").alias("i", "v")) \
+        .where("i < n - 1").select(number(F.col("poly_id"), F.col("r"), F.col("i")).alias("node_id"),
+                                   F.col("v.x").alias("lon"), F.col("v.y").alias("lat"))
+    # every fourth relation is a route, and every fourth says what it is by its type alone
+    kind = F.col("poly_id") % 4
     relations = polys.select(
         F.col("poly_id").alias("relation_id"),
-        F.create_map(F.lit("landuse"), F.lit("industrial")).alias("tags"),
-        F.transform(F.sequence(F.lit(0), F.size("rings") - 1), lambda r: F.struct(
-            F.when(r == 0, "outer").otherwise("inner").alias("role"),
-            (F.col("poly_id") * 10 + r).alias("ref"))).alias("members"))
+        F.when(kind == 0, tag("type", "route")).when(kind == 1, tag("type", "multipolygon"))
+        .otherwise(tag("landuse", "industrial")).alias("tags"),
+        F.concat(
+            F.transform(F.sequence(F.lit(0), F.size("rings") - 1), lambda r: F.struct(
+                F.lit("way").alias("type"), F.when(r == 0, "outer").otherwise("inner").alias("role"),
+                number(F.col("poly_id"), r).alias("ref"))),
+            # a node that has a way's number is not that way
+            F.array(F.struct(F.lit("node").alias("type"), F.lit("").alias("role"),
+                             number(F.col("poly_id"), F.lit(0)).alias("ref")))).alias("members"))
     built = osm.with_tag_columns(osm.assemble(ways, nodes, relations), ("landuse",))
     edges = geo.ring_edges("rings")
     return built.select("osm_id", "landuse", "missing_nodes", F.size(edges).alias("n_edges"),
@@ -770,7 +781,7 @@ def dnbr_candidates(spark, sf):
 @query
 def scene_documents(spark, sf):
     # scene rows packed as the nested JSON a statistics service answers with, then read back
-    rows = T.scenes(spark, sf).where("sample_count IS NOT NULL")
+    rows = T.scenes(spark, sf)
     stats = F.struct(F.struct(
         F.col("nbr_mean").alias("mean"), F.col("sample_count").alias("sampleCount"),
         F.col("no_data_count").alias("noDataCount"),
@@ -786,7 +797,8 @@ def scene_documents(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum("sample_count").alias("samples"),
         F.sum("no_data_count").alias("no_data"),
         F.max("scene_date").cast("string").alias("last_scene"),
-        F.max("nbr_mean").alias("max_mean"), F.min("p25").alias("min_p25"))
+        F.max("nbr_mean").alias("max_mean"), F.min("p25").alias("min_p25"),
+        F.count_if(F.col("sample_count").isNull()).alias("without_statistics"))
 
 
 @query
@@ -801,11 +813,11 @@ def burn_ratio(spark, sf):
 
 @query
 def site_acquisitions(spark, sf):
-    sites = T.sites(spark, sf).where("poly_id < 1000000").select(
+    sites = T.sites(spark, sf).select(
         F.col("poly_id").alias("site_id"), F.col("rings")[0][0]["y"].alias("latitude"),
         F.col("rings")[0][0]["x"].alias("longitude"))
-    pixels = T.raw(spark, sf, "lineitem").join(F.broadcast(sites), F.col("l_suppkey")
-                                               == F.col("site_id")).select(
+    pixels = skew.lookup_join(T.raw(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "site_id"), sites,
+                              ["site_id"], "inner", spread=F.col("l_orderkey")).select(
         "site_id", (F.col("l_orderkey") % 30).alias("day"),
         (F.col("latitude") + (F.col("l_partkey") % 9) * 0.01).alias("latitude"), "longitude",
         (F.col("l_quantity") * 4 + 290.0).alias("f1"),

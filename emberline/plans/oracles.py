@@ -258,10 +258,11 @@ scar AS (SELECT loc.k, nbr_pre, nbr_post, CASE
     WHEN b1 = 0 THEN 'PARSE_MISMATCH' ELSE 'NO_CLEAR_SCENE' END ELSE 'OK' END AS status
   FROM loc LEFT JOIN leg ON leg.k = loc.k)"""
 FEED = f"feed AS (SELECT {_p(T.FEED, day=T.FEED_DAY['duck'], clock=T.FEED_CLOCK)} FROM events)"
-_CLOCK = "lpad(replace(acq_time, '.0', ''), 4, '0')"
+_CLOCK = ("(CASE WHEN regexp_full_match(replace(acq_time, '.0', ''), '[0-9]{1,4}') "
+          "THEN lpad(replace(acq_time, '.0', ''), 4, '0') ELSE replace(acq_time, '.0', '') END)")
 TYPED = f"""{FEED}, typed AS (SELECT ingest_id, TRY_CAST(latitude AS DOUBLE) AS latitude,
   TRY_CAST(longitude AS DOUBLE) AS longitude, TRY_CAST(frp AS DOUBLE) AS frp, satellite, acq_date,
-  acq_time, epoch_us(try_strptime(concat(acq_date, ' ', {_CLOCK}), '%Y-%m-%d %H%M')) AS us
+  {_CLOCK} AS acq_time, epoch_us(try_strptime(concat(acq_date, ' ', {_CLOCK}), '%Y-%m-%d %H%M')) AS us
   FROM feed WHERE TRY_CAST(latitude AS DOUBLE) IS NOT NULL)"""
 LC = f"lc AS (SELECT {_p(T.LAND_COVER)} FROM part)"
 _LCT = "lower(concat_ws(' ', lulc_class, site_desc, fclass))"
@@ -366,11 +367,30 @@ UNION ALL SELECT NULL, site_desc, NULL, NULL, 'shapefile' FROM lc WHERE fclass =
 rings(shape, r, n, mx) AS (VALUES {", ".join(
         f"({s}, {i}, {len(r) - 1}, {max(p[0] for p in r[:-1])!r}::DOUBLE)"
         for s, rs in T.SHAPES.items() for i, r in enumerate(rs))})
-SELECT concat('way/', CAST(poly_id * 10 + r AS VARCHAR)) AS osm_id, 'industrial' AS landuse,
-  0 AS missing_nodes, n AS n_edges, {hu('cx + mx', 6)} AS max_x FROM site JOIN rings USING (shape)
+SELECT concat('way/', CAST(poly_id AS VARCHAR), '/', CAST(r AS VARCHAR)) AS osm_id, 'industrial' AS landuse,
+  0 AS missing_nodes, n AS n_edges, {hu('cx + mx', 6)} AS max_x FROM poly JOIN rings USING (shape)
   WHERE poly_id % 3 = 0
-UNION ALL SELECT concat('relation/', CAST(poly_id AS VARCHAR)), 'industrial', 0, n,
-  {hu('cx + mx', 6)} FROM site JOIN rings USING (shape) WHERE r = 0""",
+UNION ALL SELECT concat('relation/', CAST(poly_id AS VARCHAR)), CASE WHEN poly_id % 4 > 1 THEN 'industrial' END, 0, n,
+  {hu('cx + mx', 6)} FROM poly JOIN rings USING (shape) WHERE r = 0 AND poly_id % 4 > 0""",
+    "responder_layer": f"""WITH {SITE}, {MF}, {PAIRS.split('pt AS')[0].rstrip().rstrip(',')},
+mid AS (SELECT poly_id, (min(y1) + max(y1)) / 2e0 AS y FROM edge GROUP BY 1),
+hit AS (SELECT poly_id, y, (x2 - x1) * (y - y1) / (y2 - y1) + x1 AS x FROM edge JOIN mid USING (poly_id)
+  WHERE (y1 > y) <> (y2 > y)),
+run AS (SELECT poly_id, y, x, row_number() OVER w AS i, lead(x) OVER w - x AS wide FROM hit
+  WINDOW w AS (PARTITION BY poly_id ORDER BY x)),
+best AS (SELECT poly_id, x + wide / 2e0 AS x, y FROM run WHERE i % 2 = 1
+  QUALIFY row_number() OVER (PARTITION BY poly_id ORDER BY wide DESC, x DESC) = 1),
+pnt AS (SELECT osm_id, latitude, longitude, CASE amenity WHEN 'fire_station' THEN 'FIRE'
+  WHEN 'hospital' THEN 'HOSPITAL' WHEN 'police' THEN 'POLICE'
+  ELSE CASE WHEN contains(coalesce(other_tags, ''), '"fire_station"') THEN 'FIRE'
+   WHEN contains(coalesce(other_tags, ''), '"hospital"') THEN 'HOSPITAL'
+   WHEN contains(coalesce(other_tags, ''), '"police"') THEN 'POLICE' END END AS kind FROM mf
+  WHERE {_tag('amenity', 'fire_station')} OR {_tag('emergency', 'fire_station')}
+   OR {_tag('amenity', 'hospital')} OR {_tag('amenity', 'police')})
+SELECT osm_id, kind AS responder_kind, 'points' AS source_layer, {hu('latitude', 6)} AS latitude,
+  {hu('longitude', 6)} AS longitude FROM pnt WHERE kind IS NOT NULL
+UNION ALL SELECT concat('poly/', CAST(poly_id AS VARCHAR)), 'HOSPITAL', 'multipolygons', {hu('y', 6)}, {hu('x', 6)}
+  FROM best""",
     "hub_boxes": f"""WITH pl AS (SELECT o_orderkey, 8e0 + ((o_orderkey * 7919) % 2600) / 1e2 AS latitude,
   69e0 + ((o_orderkey * 6101) % 2700) / 1e2 AS longitude FROM orders), hub(hub_name, s, w, n, e) AS (VALUES {", ".join(
         f"('{k}', {b[0]!r}::DOUBLE, {b[1]!r}::DOUBLE, {b[2]!r}::DOUBLE, {b[3]!r}::DOUBLE)"
@@ -740,7 +760,8 @@ SELECT source_key AS recurrence_key, CAST(CAST(min(t) AS DATE) AS VARCHAR) AS ev
     "scene_documents": f"""WITH {SCN} SELECT site_id, count(*) AS n,
   CAST(sum(sample_count) AS BIGINT) AS samples, CAST(sum(no_data_count) AS BIGINT) AS no_data,
   CAST(max(scene_date) AS VARCHAR) AS last_scene, max(nbr_mean) AS max_mean,
-  min(nbr_mean) AS min_p25 FROM scn WHERE sample_count IS NOT NULL GROUP BY 1""",
+  min(nbr_mean) AS min_p25, count(*) FILTER (sample_count IS NULL) AS without_statistics
+  FROM scn GROUP BY 1""",
     "burn_ratio": """WITH v AS (SELECT *, CASE WHEN l_linenumber + 3 NOT IN (0, 1, 3, 8, 9, 10, 11)
   THEN CASE WHEN l_quantity + l_discount * 1e2 = 0 THEN 0e0 ELSE (l_quantity - l_discount * 1e2)
   / (l_quantity + l_discount * 1e2) END END AS nbr FROM lineitem)

@@ -62,13 +62,24 @@ def way_rings(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def assemble(ways: DataFrame, nodes: DataFrame, relations: DataFrame) -> DataFrame:
-    """Polygons from closed tagged ways and from the outer members of relations."""
+    """Polygons from closed tagged ways and from the outer ways of area relations.
+
+    A relation is an area if its type says multipolygon or it is tagged as land use or industry;
+    of its members (type, role, ref; without a type all are ways) only ways count.
+    """
     rings = way_rings(ways, nodes).where("closed")
     tagged = ways.where(F.size("tags") > 0).select("way_id", "tags").join(rings, "way_id").select(
         F.concat(F.lit("way/"), F.col("way_id")).alias("osm_id"), "tags",
         F.array("ring").alias("rings"), "missing_nodes")
-    members = relations.select("relation_id", "tags", F.posexplode("members").alias("pos", "m")) \
-        .where(F.coalesce("m.role", F.lit("")).isin("outer", ""))
+    def tagged_as(name):
+        return F.try_element_at("tags", F.lit(name))
+
+    area = F.coalesce(tagged_as("type") == "multipolygon", F.lit(False)) \
+        | F.map_contains_key("tags", "landuse") | F.map_contains_key("tags", "industrial")
+    members = relations.where(area).select("relation_id", "tags", F.posexplode("members").alias("pos", "m"))
+    if "type" in members.schema["m"].dataType.names:
+        members = members.where("m.type = 'way'")
+    members = members.where(F.coalesce("m.role", F.lit("")).isin("outer", ""))
     parts = members.select("relation_id", "tags", "pos", F.col("m.ref").alias("way_id")) \
         .join(rings, "way_id")
     # a relation lists its members itself, which bounds the gathered rings

@@ -91,6 +91,27 @@ def test_sms_is_one_segment(spark, name, limit):
     assert "22.3300,69.8612" in body and "72MW" in body
 
 
+def test_every_sms_sign_is_one_of_the_alphabet(spark):
+    basic = [0x40, 0xA3, 0x24, 0xA5, 0xE8, 0xE9, 0xF9, 0xEC, 0xF2, 0xC7, 10, 0xD8, 0xF8, 13, 0xC5, 0xE5, 0x394, 0x5F, 0x3A6,
+             0x393, 0x39B, 0x3A9, 0x3A0, 0x3A8, 0x3A3, 0x398, 0x39E, 0xC6, 0xE6, 0xDF, 0xC9, 0xA4, 0xA1, 0xC4, 0xD6, 0xD1,
+             0xDC, 0xA7, 0xBF, 0xE4, 0xF6, 0xF1, 0xFC, 0xE0, *range(0x20, 0x24), *range(0x25, 0x40), *range(0x41, 0x5B),
+             *range(0x61, 0x7B)]
+    extension = [ord(c) for c in "^{}[~]|"] + [0x5C, 0x20AC]
+    assert len(set(basic)) == 127 and len(C.GSM7_ALPHABET) == 136
+    assert {ord(c) for c in C.GSM7_ALPHABET} == {*basic, *extension}
+    df = spark.createDataFrame([(c, chr(c)) for c in [*basic, *extension, 0x727, 0x2026, 0x60, 0xE7]], "c int, s string")
+    bad = {r.c for r in df.where(~text.is_gsm7(F.col("s"))).collect()}
+    assert bad == {0x727, 0x2026, 0x60, 0xE7}
+    body = one(spark, b=text.alert_sms(F.lit("P0_EMERGENCY"), F.lit("FIRE"), F.lit(22.33), F.lit(69.8612), F.lit(72.5),
+                                       F.lit("M\u00dcLLER \u00a7 " * 20))).b
+    assert len(body) == 160
+
+
+def test_unreadable_clocks_stay(spark):
+    clocks = [one(spark, k=text.clock_digits(F.lit(v))).k for v in ("x", "7", "130.0", "0130", "12:30", "")]
+    assert clocks == ["x", "0007", "0130", "0130", "12:30", ""]
+
+
 def test_factors_are_read_back(spark):
     got = one(spark, f=text.rationale_factors(F.lit(
         "frp=0.42 [12]; fac_brick_kiln = -0.9;month=0.1; odd; =3; x=y"), 2)).f
