@@ -34,7 +34,7 @@ def test_every_number_has_one_query():
 
 
 def test_pipeline_stages(spark):
-    from test_duplicates import covered_plain, groups_plain, simhash_plain
+    from test_duplicates import groups_plain, passages_plain, simhash_plain
     from test_texts import check_packing
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -55,9 +55,8 @@ def test_pipeline_stages(spark):
 
     cut = stages["repeated_passages"](spark, single, SF)
     before = sorted(single.collect())
-    plain = covered_plain([r.text.encode() for r in before], 400)
-    want = {r.doc_id: bytes(c for c, x in zip(r.text.encode(), g, strict=True) if not x).decode("utf-8", "ignore")
-            for r, g in zip(before, plain, strict=True)}
+    plain = passages_plain([r.text.encode() for r in before], 50, 400)
+    want = {r.doc_id: t for r, t in zip(before, plain, strict=True)}
     after = cut.collect()
     assert cut.columns == columns and {r.doc_id: r.text for r in after} == want
     assert all(r.n_chars == len(r.text) for r in after)
