@@ -12,8 +12,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.bpe import load, text_of
+from emberline.llm.bpe import text_of
 from emberline.llm.common import octets, slices, stored
+from emberline.llm.merges import load
 
 COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -99,10 +100,11 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         bpe, bins, id_type = load(path), Bins(capacity, TaskContext.get().partitionId() << 36), None
         for batch in batches:
             id_type = batch.column(0).type
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 1 << 22):
                 rows = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = np.append(bpe.encode(text_of(text)), np.uint32(end_id)).astype("<u4")
+                coded = bpe.encode_all([text_of(t) for t in part.column(1).to_pylist()])
+                for doc, ids in zip(part.column(0).to_pylist(), coded, strict=True):
+                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     at = 0
                     for n in cut_lengths(len(ids), capacity, slack):
                         crc = zlib.crc32(ids[at:at + n].tobytes())

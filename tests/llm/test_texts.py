@@ -370,3 +370,15 @@ def test_domains(spark):
     df = spark.createDataFrame([(h,) for h in hosts], "h string")
     got = df.select("h", reputation.domain_of(F.col("h")), reputation.suffix_of(F.col("h"))).collect()
     assert {r[0]: (r[1], r[2]) for r in got} == hosts
+
+
+def test_merging_by_rows_matches_the_library():
+    from emberline.llm.merges import Merges
+
+    rng = random.Random(12)
+    signs = [*"ab c  \n\t'streé中🙂1290.,!́\r\x85Āʰª²x\x00　", "<|endoftext|>", "'s", "'ll", " the", " and", "  \n"]
+    odd = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    odd += ["", "x" * 5000, "ab" * 900, "the" * 40, "a " * 500, " ", "\n", "<|endoftext|>", "<|endoftext|><|endoftext|>"]
+    want = Tokenizer.from_file(tokenizer()).encode_batch(odd, add_special_tokens=False)
+    assert [x.tolist() for x in Merges(tokenizer()).encode_all(odd)] == [x.ids for x in want]
+    assert Merges(tokenizer()).encode_all([]) == []
