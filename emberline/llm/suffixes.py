@@ -293,7 +293,7 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
         (F.col("at") - r["b"]).alias("s"), (F.col("at") - r["a"]).alias("e")))).alias("span"))
     whole = (copies.join(groups.where("n > 1"), ["th", "tg"])
              .select("id0", "th", F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e")).alias("span")))
-    return spans.unionByName(whole).groupBy("id0", "th").agg(F.collect_list("span").alias("spans"))
+    return spans.unionByName(whole).groupBy("id0", "th").agg(F.collect_set("span").alias("spans"))
 
 
 def gone(n: int, spans: list[dict] | None, length: int) -> np.ndarray:

@@ -238,8 +238,11 @@ def repeated_windows(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_
         unpack, "h long, g long, doc long, at int, n int, sure boolean")
     if every:
         gone = (F.col("n") < 0) | not_first("h", "g", "sure") | not_last("h", "g", "sure")
-        return stored(single.withColumn("gone", gone).where("gone").select("doc", "at", F.abs("n").alias("n")))
-    return stored(single.withColumn("gone", not_first("h", "g", "sure")).where("gone").select("doc", "at", "n"))
+        found = stored(single.withColumn("gone", gone).where("gone").select("doc", "at", F.abs("n").alias("n")))
+    else:
+        found = stored(single.withColumn("gone", not_first("h", "g", "sure")).where("gone").select("doc", "at", "n"))
+    sent.unpersist()
+    return found
 
 
 def chunk_starts(h: np.ndarray, broken: np.ndarray, opening: np.ndarray) -> np.ndarray:

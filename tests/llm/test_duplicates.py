@@ -274,3 +274,13 @@ def test_sketch_never_underestimates(odd_docs):
         for row in range(windows.DEPTH):
             c = int(windows.cells_of(np.array([h]), row, cells)[0])
             assert table[row, c >> 3] >> (c & 7) & 1
+
+
+def test_many_copies_without_an_id_have_one_set_of_spans(spark):
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(700))
+    df = spark.createDataFrame([(None, text + " end")] * 5000 + [(1, "start " + text[:3000])], "doc_id long, text string")
+    spans = suffixes.repeats(df).collect()
+    assert len(spans) == 2 and max(len(r.spans) for r in spans) < 60
+    out = suffixes.measure_repeats(df).groupBy("doc_id", "n_removed").count().collect()
+    assert sorted((r.doc_id or 0, r.n_removed, r["count"]) for r in out) == [(0, len(text) + 4, 5000), (1, 3000, 1)]
