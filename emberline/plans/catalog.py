@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from emberline.plans import tables as T
 from emberline.plans import training
 from emberline.session import checkpoint_root
 from emberline.sources import documents, firms, landuse, osm
+from emberline.streaming import keyed, refreshed
+from emberline.streaming.recurrence import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -915,3 +918,59 @@ def percentiles_by_group(spark, sf):
                                       1000.0)
     return out.select("l_returnflag", "n", *[text.half_up(F.col(c), 4).alias(c)
                                              for c in ("p10", "p50", "p90")])
+
+
+# --- refreshed state and tables ---------------------------------------------------------
+
+
+def _arrivals(spark, sf, batches):
+    """Keyed detections and the batch each arrives with: in order but for up to two days of delay."""
+    df = T.keyed(spark, sf)
+    arrival = F.col("us") + (F.col("detection_id") % 5) * (13 * C.HOUR_US)
+    seen = df.agg(F.min(arrival).alias("low"), F.max(arrival).alias("high")).first()
+    if seen.low is None:
+        return df.withColumn("_batch", F.lit(0))
+    return df.withColumn("_batch", F.floor((arrival - seen.low) * batches / (seen.high - seen.low + 1)).cast("int"))
+
+
+def _replayed(spark, sf, operator, batches=3):
+    """The newest rows of a keyed stream over detections that land batch by batch."""
+    root = f"{checkpoint_root(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    df = _arrivals(spark, sf, batches)
+    for b in range(batches):
+        df.where(F.col("_batch") == b).drop("_batch").write.mode("append").parquet(f"{root}/landing")
+        stream = read_table(spark, f"{root}/landing", df.drop("_batch").schema)
+        keyed.run_batch(operator(stream), root)
+    return keyed.newest(spark, root)
+
+
+@query
+def stream_alert_state(spark, sf):
+    return keyed.alert_rows(_replayed(spark, sf, keyed.history_stream)).select(
+        "detection_id", "frp", "mu_frp", "var_frp", "z_frp", "frp_ratio", "burst_ratio", "state",
+        "priority", "tag", "suppressed")
+
+
+@query
+def stream_neighbourhood(spark, sf):
+    return _replayed(spark, sf, keyed.activity_stream).select("detection_id", "neighbourhood_active_keys")
+
+
+def _refreshed(spark, sf, batches=3):
+    """Incident and baseline tables after as many refreshes, each of which restates part of the one before."""
+    root = f"{checkpoint_root(spark).rstrip('/')}/refresh-{uuid.uuid4().hex}"
+    df = _arrivals(spark, sf, batches).select("detection_id", "frp", "area", "timestamp_utc", "_batch")
+    sink = refreshed.Refresh(root, buckets=16)
+    for b in [*range(batches), 0]:                        # the first one comes once more at the end
+        sink(df.where((F.col("_batch") == b) | (F.col("_batch") == b - 1) & (F.col("detection_id") % 4 == 0)).drop("_batch"), b)
+    return sink
+
+
+@query
+def refresh_incidents(spark, sf):
+    return _refreshed(spark, sf).incidents_table.read(spark).select("detection_id", "frp")
+
+
+@query
+def refresh_baselines(spark, sf):
+    return _moments(_refreshed(spark, sf).baselines_table.read(spark))

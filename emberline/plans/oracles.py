@@ -807,3 +807,7 @@ SELECT b.site_id, b.day, f1, s7, samples, background_k, f1 - s7 AS saturation_ga
 }
 ORACLES["crowded_tiles"] = f"""SELECT CASE WHEN detection_id % 5 <> 0 THEN detection_id % 10 END AS k, in_forest,
   count(*) AS n FROM ({ORACLES["forest_flag"]}) GROUP BY 1, 2"""
+ORACLES["stream_alert_state"] = ORACLES["alert_state"]
+ORACLES["stream_neighbourhood"] = ORACLES["neighbourhood"]
+ORACLES["refresh_incidents"] = f"WITH {DET} SELECT detection_id, frp FROM det"
+ORACLES["refresh_baselines"] = ORACLES["baseline_merge"]
