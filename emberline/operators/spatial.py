@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from emberline import constants as C
 from emberline.functions import facility, geo
 from emberline.functions.text import half_up, number_or
+from emberline.operators import skew
 from emberline.operators import tiles as T
 from emberline.session import checkpoint_root
 
@@ -103,7 +105,7 @@ def polygon_match(df: DataFrame, polygons: DataFrame, cfg: JoinConfig = JoinConf
         return F.expr(f"coalesce(get({answer(0, _covered())}, 0), get({answer(1, near)}, 0))")
 
     found = T.lookup(df.withColumn("_radius", buffer_degrees(df, cfg)), layer, hit,
-                     max_broadcast=cfg.max_broadcast)
+                     max_broadcast=cfg.max_broadcast, inputs=(Y, X, "_radius"))
     return found.drop("_radius")
 
 
@@ -132,7 +134,7 @@ def nearest_km(df: DataFrame, polygons: DataFrame, cfg: JoinConfig = JoinConfig(
     if all(r.max_parts <= 1 and r.n_bytes <= cfg.max_broadcast for _, r in rounds):
         out = _nearest_in_place(df, rounds, within, wanted)
     else:
-        out = _nearest_by_rounds(df, rounds, within, wanted, id_col, cfg)
+        out = _nearest_by_rounds(df, rounds, within, wanted, cfg)
     km = F.when(F.col("_deg").isNotNull(), half_up(F.col("_deg") * C.KM_PER_DEGREE, 2)) \
         .otherwise(F.lit(C.NO_POLYGON_KM))
     return out.withColumn(name, km).drop("_deg")
@@ -153,24 +155,26 @@ def _nearest_in_place(df, rounds, within, wanted):
     return out.select(*df.columns, F.when(wanted, found).alias("_deg"))
 
 
-def _nearest_by_rounds(df, rounds, within, wanted, id_col, cfg):
-    """One lookup per round for large or crowded layers.
+def _nearest_by_rounds(df, rounds, within, wanted, cfg):
+    """One lookup per round for large or crowded layers, over the different places alone.
 
-    Rows already settled move to tiles of their own, so a later round neither compares nor
-    skews them; each round is checkpointed because the next one reads it twice.
+    A distance depends on the place only, so what travels and is kept from round to round is (x, y),
+    once for each place that is still open; the rows themselves meet the distances once, at the end.
     """
     checkpoint_root(df.sparkSession)
-    out = df.withColumn("_deg", F.lit(None).cast("double"))
+    open_ = df.where(F.coalesce(wanted, F.lit(False))).select(X, Y).where(
+        F.col(X).isNotNull() & F.col(Y).isNotNull()).distinct()
+    settled = []
     for reach, layer in rounds:
-        open_row = F.col("_deg").isNull() & wanted
-        parked = 1000.0 + F.pmod(F.xxhash64(F.col(id_col)), F.lit(997)) * float(reach)
-        keyed = out.withColumns({"_ly": F.when(open_row, F.col(Y)).otherwise(parked),
-                                 "_lx": F.when(open_row, F.col(X)).otherwise(0.0)})
-        seen = T.lookup(keyed, layer, lambda items, r=float(reach): within(items, r),
-                        "_ly", "_lx", "_try", max_broadcast=cfg.max_broadcast)
-        out = seen.withColumn("_deg", F.coalesce("_deg", "_try")) \
-            .drop("_try", "_lx", "_ly").checkpoint()
-    return out
+        seen = T.lookup(open_, layer, lambda items, r=float(reach): within(items, r), name="_deg",
+                        max_broadcast=cfg.max_broadcast, inputs=(Y, X)).checkpoint()
+        settled.append(seen.where("_deg IS NOT NULL"))
+        open_ = seen.where("_deg IS NULL").drop("_deg")
+    if not settled:
+        return df.withColumn("_deg", F.lit(None).cast("double"))
+    places = functools.reduce(DataFrame.unionByName, settled).withColumnsRenamed({X: "_px", Y: "_py"})
+    out = skew.match_join(df, places, [X, Y], ["_px", "_py"])
+    return out.select(*df.columns, F.when(wanted, F.col("_deg")).alias("_deg"))
 
 
 def join_industrial(df: DataFrame, polygons: DataFrame, cfg: JoinConfig = JoinConfig(),
@@ -222,7 +226,7 @@ def forest_flag(df: DataFrame, forests: DataFrame | None, id_col: str = "detecti
         return F.expr(f"CASE WHEN exists({items}, p -> {_covered()}) THEN true END")
 
     found = T.lookup(df, layer, hit, name="in_forest", merge=F.max,
-                     max_broadcast=max_broadcast)
+                     max_broadcast=max_broadcast, inputs=(Y, X))
     return found.withColumn("in_forest", F.coalesce("in_forest", F.lit(False)))
 
 

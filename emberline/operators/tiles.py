@@ -8,7 +8,7 @@ than one array holds are split into parts; only detections in such tiles are fol
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -141,12 +141,14 @@ def lookup(points: DataFrame, layer: TileLayer, hit: Callable[[str], Column],
            lat: str = "latitude", lon: str = "longitude", name: str = "hit",
            merge: Callable[[Column], Column] = F.min,
            refine: Callable[[Column], Column] | None = None,
-           max_broadcast: int = BROADCAST_MAX_BYTES) -> DataFrame:
+           max_broadcast: int = BROADCAST_MAX_BYTES, inputs: Sequence[str] | None = None) -> DataFrame:
     """Add ``name`` = ``hit("items")`` for the item array of each point's tile.
 
     ``refine`` may reduce a part's answer in a step of its own, so that an answer it reads several
     times is computed once. ``merge`` folds the answers of a tile's parts into one (an aggregate that
-    ignores NULL). Every point comes back once, whatever its id and however crowded its tile.
+    ignores NULL). ``inputs`` are the columns an answer depends on, all by default: in crowded tiles
+    each different set of them is asked once and only that travels to the parts; the rows meet the
+    folded answers afterwards. Every point comes back once, whatever its id and however crowded its tile.
     """
     tx, ty = tile_of(F.col(lat), F.col(lon), layer.size)
     columns = points.columns
@@ -164,18 +166,16 @@ def lookup(points: DataFrame, layer: TileLayer, hit: Callable[[str], Column],
     present = layer.tiles.groupBy("_tx", "_ty").agg(
         F.max("parts").alias("parts"),
         F.max(F.when(F.col("parts") == 1, F.col("items"))).alias("items"))
-    direct = step(_attach(located, present, "left", small)
-                  .where(F.coalesce(F.col("parts"), F.lit(1)) == 1)
-                  .select(*columns, hit("items").alias(name)))
-    # a row is known by all its values, so equal or missing ids do not meet; equal rows are counted
-    row = F.struct(*[F.col(c) for c in columns])
-    folded = step(_attach(located, dense, "inner", small)
-                  .select(*columns, "part", hit("items").alias(name))) \
-        .select(row.alias("_row"), "part", F.col(name).alias("_h")) \
-        .groupBy("_row", "part").agg(F.any_value("_h").alias("_h"), F.count(F.lit(1)).alias("_n")) \
-        .groupBy("_row").agg(merge(F.col("_h")).alias(name), F.max("_n").alias("_n")) \
-        .withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))) \
-        .select("_row.*", name)
+    found = _attach(located, present, "left", small)
+    crowded = F.coalesce(F.col("parts"), F.lit(1)) > 1
+    direct = step(found.where(~crowded).select(*columns, hit("items").alias(name)))
+    asked = list(columns if inputs is None else inputs)
+    keys = [f"_k{i}" for i in range(len(asked))]
+    waiting = found.where(crowded).select("_tx", "_ty", *columns)
+    each = waiting.select("_tx", "_ty", *asked).distinct()
+    answers = step(_attach(each, dense, "inner", small).select(*asked, hit("items").alias(name))) \
+        .groupBy(*asked).agg(merge(F.col(name)).alias(name)).withColumnsRenamed(dict(zip(asked, keys, strict=True)))
+    folded = skew.match_join(waiting, answers, asked, keys).select(*columns, name)
     return direct.unionByName(folded)
 
 

@@ -155,3 +155,28 @@ def test_search_across_the_date_line_and_a_pole(spark):
     got = proximity.nearest_responders(df.where("detection_id < 4"), places, 1, 75.0)
     assert {r.detection_id: r.none_within_range for r in got.where("responder_kind = 'FIRE'").collect()} == {
         1: False, 2: False, 3: True}
+
+
+def test_nearest_asks_each_place_once(spark):
+    """Copies, missing places and map columns pass the rounds; only places travel between them."""
+    polys = spark.createDataFrame([(i, [box(i * 0.3, i * 0.3 + 0.05, 0, 0.05)]) for i in range(20)], f"poly_id long, rings {RINGS}")
+    places = [(0.1, 0.2), (0.1, 0.2), (None, 0.2), (0.1, None), (0.02, 0.31), (30.0, 30.0), (-0.0, 0.2)]
+    df = spark.createDataFrame([(i % 4, la, lo, {"a": i}) for i, (la, lo) in enumerate(places * 3)],
+                               "detection_id long, latitude double, longitude double, m map<string,int>")
+    plain = spatial.nearest_km(df, polys)
+    rounds = spatial.nearest_km(df, polys, spatial.JoinConfig(per_part=1, max_broadcast=-1))
+
+    def rows(out):
+        return sorted((r.detection_id, str(r.latitude), str(r.longitude), r.m["a"], r.nearest_km) for r in out.collect())
+
+    assert rows(plain) == rows(rounds) and len(rows(plain)) == 21
+
+
+def test_salted_match_join(spark):
+    from emberline.operators import skew
+    left = spark.createDataFrame([(1, i) for i in range(300)] + [(None, i) for i in range(50)] + [(2, 0), (3, 0)], "k int, v int")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (9, "c")], "rk int, w string")
+    out = skew.match_join(left, right, ["k"], ["rk"], salts=4, min_hot=100)
+    assert out.columns == ["k", "v", "w"] and out.count() == 352
+    assert {(r.k, r.w): r["count"] for r in out.groupBy("k", "w").count().collect()} == {
+        (1, "a"): 300, (None, None): 50, (2, "b"): 1, (3, None): 1}
