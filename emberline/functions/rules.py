@@ -188,8 +188,10 @@ def frp_bin(frp: Column) -> Column:
     return out
 
 
-def freshness(age_hours: Column) -> Column:
-    return F.when(age_hours < 6, "LIVE").when(age_hours <= 48, "RECENT").otherwise("STALE")
+def freshness(age_hours: Column, replay: Column | bool = False) -> Column:
+    """How old the newest detection is; REPLAY where ingestion is held back on purpose."""
+    held = replay if isinstance(replay, Column) else F.lit(replay)
+    return F.when(held, "REPLAY").when(age_hours < 6, "LIVE").when(age_hours <= 48, "RECENT").otherwise("STALE")
 
 
 def dnbr_candidate(inside: Column, frp: Column, n30: Column) -> Column:

@@ -205,3 +205,27 @@ def dispatch_plan(alerts: DataFrame, planned: DataFrame | None = None) -> DataFr
         reason.alias("reason"), F.explode(channels).alias("channel"),
         alert_sms(priority, F.col("state"), F.col("latitude"), F.col("longitude"),
                   F.col("frp"), F.col("facility_name")).alias("sms_body"))
+
+
+def dispatch_audit(plan: DataFrame, incidents: DataFrame) -> DataFrame:
+    """One audit row per dispatched or refused alert: channels with their status, class as it was.
+
+    A plan delivers nothing, so the incident's status stays what it is.
+    """
+    lines = plan.groupBy("incident_id", "detection_id").agg(F.array_join(F.array_sort(F.collect_set(
+        F.concat_ws("=", "channel", "status"))), "; ").alias("operator_notes"))
+    known = incidents.select("incident_id", "status")
+    return lines.join(known, "incident_id", "left").select(
+        "incident_id", "detection_id", F.lit("DISPATCH").alias("action"), F.col("status").alias("previous_class"),
+        F.col("status").alias("new_class"), "operator_notes")
+
+
+def audit_log(audit: DataFrame, limit: int = 100) -> DataFrame:
+    """The newest rows over all detections, latest first."""
+    return audit.orderBy(F.desc("at"), F.desc("seq")).limit(limit)
+
+
+def copy_rows(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not stored yet, each key once: copying the outcome again adds nothing."""
+    others = [F.col(c) for c in incoming.columns if c != key]
+    return new_rows(skew.first_per_key(incoming, [key], [F.struct(*others)]), stored, key)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline import constants as C
-from emberline.functions import facility, features, geo, grid, physics, rules, text
+from emberline.functions import facility, features, geo, grid, hexgrid, physics, rules, text
 from emberline.operators import (
     dossier, incidents, labels, optical, proximity, quantiles, recurrence, reports, skew, spatial,
     thermal, verified)
@@ -974,3 +974,55 @@ def refresh_incidents(spark, sf):
 @query
 def refresh_baselines(spark, sf):
     return _moments(_refreshed(spark, sf).baselines_table.read(spark))
+
+
+# --- events, audit and copies -------------------------------------------------------------
+
+
+@query
+def event_union(spark, sf):
+    events = T.verified_events(spark, sf).withColumn("label", rules.class_name(F.col("label")))
+    path = f"{checkpoint_root(spark).rstrip('/')}/events-{uuid.uuid4().hex}"
+    # every third event comes from a file, some without a name, a citation, a radius or a known label
+    third = F.col("seq") % 3 == 0
+    as_text = events.where(third).select(
+        F.when(F.col("seq") % 4 != 1, F.col("event_name")).alias("event_name"),
+        *[F.col(c).cast("string").alias(c) for c in ("lat", "lon", "start_date", "end_date")],
+        F.when(F.col("seq") % 7 == 1, "VOLCANO").otherwise(F.lower("label")).alias("label"),
+        *[F.lit("").alias(c) for c in ("served_label", "confidence")],
+        F.when(F.col("seq") % 5 != 1, "a report").alias("source"),
+        F.when(F.col("seq") % 2 != 1, F.col("radius_km").cast("string")).alias("radius_km"), F.lit("").alias("notes"))
+    as_text.write.option("header", True).csv(path)
+    found, bad = documents.all_events(spark, events.where(~third), path)
+    return found.select("event_name", "label", "radius_km", "origin", F.lit(None).cast("string").alias("reason"),
+                        (F.col("seq") > events.where(~third).agg(F.max("seq")).scalar()).alias("after_seeds")) \
+        .unionByName(bad.select(F.trim("event_name").alias("event_name"), "reason"), allowMissingColumns=True)
+
+
+@query
+def dispatch_audit(spark, sf):
+    alerts = _incident_table(spark, sf)
+    return incidents.dispatch_audit(incidents.dispatch_plan(alerts), alerts)
+
+
+@query
+def audit_log(spark, sf):
+    return incidents.audit_log(T.actions(spark, sf)).select("seq", "detection_id", F.upper("action").alias("action"))
+
+
+@query
+def baseline_copy(spark, sf):
+    base = incidents.cell_baseline(T.keyed(spark, sf), "area")
+    stored = base.where("area % 2 = 0")
+    copied = incidents.copy_rows(base.unionByName(base), stored, "area")
+    whole = stored.unionByName(copied)
+    return _moments(whole.unionByName(incidents.copy_rows(base, whole, "area")))
+
+
+@query
+def hex_codes(spark, sf):
+    fine = hexgrid.hex_cell("latitude", "longitude", 8)
+    return T.detections(spark, sf).select(
+        "detection_id", fine.alias("cell"), hexgrid.hex_parent(fine, 6).alias("area"),
+        hexgrid.hex_parent(hexgrid.hex_parent(fine, 6), 4).alias("map_cell"), hexgrid.resolution_of(fine).alias("resolution"),
+        F.element_at(hexgrid.hex_neighbours(fine), 3).alias("north_west"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from emberline import constants as C
+from emberline.functions import hexgrid
 from emberline.plans import tables as T
 
 W, D = C.WINDOW_DAYS * C.DAY_US, C.DAY_US
@@ -811,3 +812,39 @@ ORACLES["stream_alert_state"] = ORACLES["alert_state"]
 ORACLES["stream_neighbourhood"] = ORACLES["neighbourhood"]
 ORACLES["refresh_incidents"] = f"WITH {DET} SELECT detection_id, frp FROM det"
 ORACLES["refresh_baselines"] = ORACLES["baseline_merge"]
+ORACLES["event_union"] = """WITH e AS (SELECT s_suppkey AS seq, s_name AS name, 2e0 + (s_suppkey % 4) * 9e0 AS radius,
+  CASE s_nationkey % 4 WHEN 0 THEN 'PERSISTENT_BASELINE' WHEN 1 THEN 'ACCIDENTAL_FIRE' WHEN 2 THEN 'AGRICULTURAL_BURN'
+  ELSE 'TRANSIENT_HOTSPOT' END AS label FROM supplier),
+f AS (SELECT *, CASE WHEN seq % 5 = 1 THEN 'no citation' WHEN seq % 7 = 1 THEN 'unknown label' END AS reason FROM e
+  WHERE seq % 3 = 0 AND seq % 4 <> 1)
+SELECT name AS event_name, label, radius AS radius_km, 'seed' AS origin, CAST(NULL AS VARCHAR) AS reason, false AS after_seeds
+  FROM e WHERE seq % 3 <> 0
+UNION ALL SELECT name, CASE WHEN reason IS NULL THEN label END, CASE WHEN reason IS NULL THEN CASE WHEN seq % 2 = 1 THEN 3e0
+  ELSE radius END END, CASE WHEN reason IS NULL THEN 'file' END, reason, CASE WHEN reason IS NULL THEN true END FROM f"""
+ORACLES["dispatch_audit"] = f"""SELECT detection_id + 1 AS incident_id, detection_id, 'DISPATCH' AS action, 'OPEN' AS previous_class,
+  'OPEN' AS new_class, string_agg(concat(channel, '=', status), '; ' ORDER BY channel) AS operator_notes
+  FROM ({ORACLES["dispatch_plan"]}) GROUP BY detection_id"""
+ORACLES["audit_log"] = f"""WITH {ACT} SELECT seq, detection_id, upper(action) AS action FROM act
+  ORDER BY ats DESC, seq DESC LIMIT 100"""
+ORACLES["baseline_copy"] = ORACLES["cell_baseline"]
+
+
+def _hexes(source: str, name: str, resolution: int) -> str:
+    """Rows (id, cell, wq, wr) of places x, y on the plane, by cells of a resolution."""
+    edge = repr(float(hexgrid.EDGES[resolution])) + "::DOUBLE"
+    third, low = f"{hexgrid.ROOT3 / 3.0!r}::DOUBLE", f"{2.0 / 3.0!r}::DOUBLE"
+    return f"""{name}f AS (SELECT id, (x * {third} - y / 3e0) / {edge} AS q, (y * {low}) / {edge} AS r FROM {source}),
+{name}n AS (SELECT id, floor(q + 5e-1) AS a, floor(r + 5e-1) AS b, floor(-q - r + 5e-1) AS c, abs(floor(q + 5e-1) - q) AS da,
+  abs(floor(r + 5e-1) - r) AS db, abs(floor(-q - r + 5e-1) - (-q - r)) AS dc FROM {name}f),
+{name}w AS (SELECT id, CAST(CASE WHEN da > db AND da > dc THEN -b - c ELSE a END AS BIGINT) AS wq,
+  CAST(CASE WHEN NOT (da > db AND da > dc) AND db > dc THEN -a - c ELSE b END AS BIGINT) AS wr FROM {name}n),
+{name} AS (SELECT id, wq, wr, {resolution << 56} + (wq + {1 << 27}) * {1 << 28} + wr + {1 << 27} AS cell,
+  (wq + wr / 2e0) * {hexgrid.ROOT3!r}::DOUBLE * {edge} AS x, wr * 15e-1 * {edge} AS y FROM {name}w)"""
+
+
+ORACLES["hex_codes"] = f"""WITH {DET}, place AS (SELECT detection_id AS id,
+  longitude * {hexgrid.RADIANS!r}::DOUBLE * {hexgrid.EARTH_KM!r}::DOUBLE AS x,
+  sin(latitude * {hexgrid.RADIANS!r}::DOUBLE) * {hexgrid.EARTH_KM!r}::DOUBLE AS y FROM det),
+{_hexes("place", "h8", 8)}, {_hexes("h8", "h6", 6)}, {_hexes("h6", "h4", 4)}
+SELECT id AS detection_id, h8.cell, h6.cell AS area, h4.cell AS map_cell, 8 AS resolution,
+  h8.cell - {1 << 28} + 1 AS north_west FROM h8 JOIN h6 USING (id) JOIN h4 USING (id)"""

@@ -64,3 +64,13 @@ def write_corpus(df: DataFrame, path: str) -> None:
 
 def read_columns(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return spark.read.parquet(path).select(*columns)
+
+
+def training_table(spark: SparkSession, path: str) -> DataFrame:
+    """A training corpus; a missing or an empty one is refused rather than fitted on."""
+    if not exists(spark, path):
+        raise FileNotFoundError(f"no training corpus at {path}")
+    table = spark.read.parquet(path)
+    if table.isEmpty():
+        raise ValueError(f"the training corpus at {path} has no rows")
+    return table

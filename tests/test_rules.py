@@ -188,3 +188,29 @@ def test_missing_numbers_and_clocks(spark):
     assert one(spark, k=text.timestamp_key(F.lit("2024-01-02 12:00:00"))).k == "2024-01-02 12:00:00.000000"
     assert [one(spark, b=rules.frp_bin(F.lit(v))).b for v in (0.0, 249.9, 250.0, 120000.0, -1.0)] == [
         "0-10 MW", "100-250 MW", "250+ MW", "250+ MW", None]
+
+
+def test_hexagons_tile_the_plane(spark):
+    from emberline.functions import hexgrid
+    places = [(21.3, 78.1), (0.0, 0.0), (-89.9, -179.9), (89.9, 179.9), (22.5, -0.001)]
+    df = spark.createDataFrame(places, "lat double, lon double")
+    for res in (4, 8, 9):
+        cell = hexgrid.hex_cell("lat", "lon", res)
+        edge = hexgrid.EDGES[res]
+        for r in df.select("*", cell.alias("c")).select("*", F.struct(*hexgrid.centre_km("c")).alias("m"), hexgrid.hex_centre("c").alias("g"),
+                                                        hexgrid.hex_neighbours("c").alias("n")).collect():
+            x, y = math.radians(r.lon) * hexgrid.EARTH_KM, math.sin(math.radians(r.lat)) * hexgrid.EARTH_KM
+            # a place is inside its cell: no neighbour's centre is nearer, and the cell's is within an edge
+            near = spark.createDataFrame([(n,) for n in r.n], "c long").select(F.struct(*hexgrid.centre_km("c")).alias("m")).collect()
+            own = math.dist((x, y), tuple(r.m))
+            assert own <= edge * 1.000001 and all(math.dist((x, y), tuple(v.m)) >= own - 1e-6 for v in near)
+            assert [math.dist(tuple(v.m), tuple(r.m)) for v in near] == pytest.approx([edge * math.sqrt(3)] * 6)
+            assert len({*r.n, r.c}) == 7
+            if abs(r.lat) < 80:
+                assert one(spark, c=hexgrid.hex_cell(F.lit(r.g.latitude), F.lit(r.g.longitude), res)).c == r.c
+    odd = spark.createDataFrame([(None, 1.0), (1.0, None), (91.0, 0.0), (float("nan"), 0.0)], "lat double, lon double")
+    assert [r.c for r in odd.select(hexgrid.hex_cell("lat", "lon").alias("c")).collect()] == [None] * 4
+
+
+def test_replay_is_no_staleness(spark):
+    assert one(spark, a=rules.freshness(F.lit(100.0)), b=rules.freshness(F.lit(100.0), True)) == ("STALE", "REPLAY")

@@ -285,3 +285,29 @@ def test_model_queries_fit_the_production_forest(spark):
 
     model, _, _ = catalog._trained(spark, SF)
     assert model.stages[-1].getNumTrees == training.ModelConfig().trees == 250
+
+
+def test_events_from_file_follow_the_seeds(spark, tmp_path):
+    from emberline.sources import documents
+    seeds = spark.createDataFrame([(7, "Seed", 10.0, 70.0, "2024-01-01", "2024-01-02", 2.0, "ACCIDENTAL_FIRE")],
+                                  "seq long, event_name string, lat double, lon double, start_date string, end_date string, "
+                                  "radius_km double, label string") \
+        .withColumns({c: F.col(c).cast("date") for c in ("start_date", "end_date")})
+    alone, none = documents.all_events(spark, seeds, str(tmp_path / "missing.csv"))
+    assert alone.count() == 1 and none.isEmpty()
+    (tmp_path / "events.csv").write_text(
+        "event_name,lat,lon,start_date,end_date,label,served_label,confidence,source,radius_km,notes\n"
+        "B,1,2,2024-01-01,2024-01-03,accidental_fire,,,paper,,\nA,1,2,2024-01-01,2024-01-03,ACCIDENTAL_FIRE,,,paper,4,\n"
+        ",1,2,2024-01-01,2024-01-03,ACCIDENTAL_FIRE,,,paper,4,\nC,99,2,2024-01-01,2024-01-03,ACCIDENTAL_FIRE,,,paper,4,\n")
+    found, bad = documents.all_events(spark, seeds, str(tmp_path / "events.csv"))
+    assert sorted((r.seq, r.event_name, r.radius_km, r.origin) for r in found.collect()) == [
+        (7, "Seed", 2.0, "seed"), (8, "A", 4.0, "file"), (9, "B", 3.0, "file")]
+    assert [tuple(r) for r in bad.collect()] == [("C", "bad coordinates")]
+
+
+def test_an_empty_training_table_is_refused(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        sinks.training_table(spark, str(tmp_path / "none"))
+    spark.range(0).write.parquet(str(tmp_path / "empty"))
+    with pytest.raises(ValueError):
+        sinks.training_table(spark, str(tmp_path / "empty"))
