@@ -60,7 +60,7 @@ def radius_matches(df: DataFrame, centres: DataFrame, radius_km: float, limit: i
         return F.filter(measured, lambda m: m["km"] <= radius_km)
 
     found = T.lookup(df.select(id_col, "latitude", "longitude"), layer, hit,
-                     merge=lambda h: F.flatten(F.collect_list(h)))
+                     merge=lambda h: F.flatten(F.collect_list(h)), inputs=("latitude", "longitude"))
     pairs = found.select(id_col, F.explode("hit").alias("m")).select(
         F.col("m.id").alias(centre_id), id_col, F.col("m.km").alias("distance_km"))
     if limit is None:
@@ -114,7 +114,7 @@ def nearest_responders(df: DataFrame, responders: DataFrame, per_kind: int = 1,
         return F.filter(measured, lambda m: m["km"] <= max_km)
 
     found = T.lookup(df.select(id_col, "latitude", "longitude"), layer, hit,
-                     merge=lambda h: F.flatten(F.collect_list(h)), refine=best)
+                     merge=lambda h: F.flatten(F.collect_list(h)), refine=best, inputs=("latitude", "longitude"))
     # an empty answer still yields one row per kind
     slots = F.array(*[
         F.struct(F.lit(k).alias("kind"), F.lit(i + 1).alias("rank"),

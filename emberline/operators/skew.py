@@ -77,19 +77,22 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
 
 def match_join(left: DataFrame, right: DataFrame, keys: Sequence[str], right_keys: Sequence[str],
-               salts: int = 32, min_hot: int = HOT_MIN_ROWS) -> DataFrame:
-    """Left join to a side with at most one row per key. Hot keys are salted; rows without a key are spread."""
+               salts: int = 32, min_hot: int = HOT_MIN_ROWS, null_safe: bool = False) -> DataFrame:
+    """Left join to a side with at most one row per key. Hot keys are salted; rows without a key are spread.
+
+    null_safe: a missing part of a key is a value like any other, and meets its like.
+    """
     keys, back = list(keys), dict(zip(right_keys, keys, strict=True))
     hot = hot_keys(left, keys, min_hot)
     keyless = F.lit(False)
-    for c in keys:
+    for c in () if null_safe else keys:
         keyless = keyless | F.col(c).isNull()
     seed = [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
     salted = tag_hot(left, hot, keys).withColumn("_salt", F.when(
         F.col("_hot") | keyless, F.pmod(F.xxhash64(*[F.col(c) for c in seed]), F.lit(salts))).otherwise(0).cast("int")).drop("_hot")
     spread = tag_hot(right.withColumnsRenamed(back), hot, keys).withColumnsRenamed({k: r for r, k in back.items()}).withColumn(
         "_rsalt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    same = [F.col(k) == F.col(r) for r, k in back.items()]
+    same = [F.col(k).eqNullSafe(F.col(r)) if null_safe else F.col(k) == F.col(r) for r, k in back.items()]
     return salted.join(spread, [F.col("_salt") == F.col("_rsalt"), *same], "left").drop("_salt", "_rsalt", *right_keys)
 
 

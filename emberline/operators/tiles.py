@@ -175,7 +175,7 @@ def lookup(points: DataFrame, layer: TileLayer, hit: Callable[[str], Column],
     each = waiting.select("_tx", "_ty", *asked).distinct()
     answers = step(_attach(each, dense, "inner", small).select(*asked, hit("items").alias(name))) \
         .groupBy(*asked).agg(merge(F.col(name)).alias(name)).withColumnsRenamed(dict(zip(asked, keys, strict=True)))
-    folded = skew.match_join(waiting, answers, asked, keys).select(*columns, name)
+    folded = skew.match_join(waiting, answers, asked, keys, null_safe=inputs is None).select(*columns, name)
     return direct.unionByName(folded)
 
 

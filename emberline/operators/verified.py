@@ -31,7 +31,7 @@ def attach_events(df: DataFrame, events: DataFrame, tile_deg: float = 0.5) -> Da
         return T.first_match(items, lambda e: (us >= e["start"]) & (us < e["stop"]) & (
             geo.equirectangular_km(lat, lon, e["lat"], e["lon"]) <= e["r"]))
 
-    found = T.lookup(df, layer, hit, name="_event")
+    found = T.lookup(df, layer, hit, name="_event", inputs=("latitude", "longitude", "timestamp_utc"))
     return found.select(*df.columns, F.col("_event.name").alias("event_name"),
                         F.col("_event.label").alias("event_label"),
                         (-F.col("_event.order")).alias("event_seq"))

@@ -180,3 +180,16 @@ def test_salted_match_join(spark):
     assert out.columns == ["k", "v", "w"] and out.count() == 352
     assert {(r.k, r.w): r["count"] for r in out.groupBy("k", "w").count().collect()} == {
         (1, "a"): 300, (None, None): 50, (2, "b"): 1, (3, None): 1}
+
+
+def test_crowded_lookup_without_named_inputs_keeps_rows_with_nulls(spark):
+    from emberline.operators import tiles as T
+    items = spark.createDataFrame([(float(i),) for i in range(30)], "v double")
+    one_tile = (F.lit(0.1), F.lit(0.1), F.lit(0.2), F.lit(0.2))
+    layer = T.build_layer(items, one_tile, F.struct("v"), 1.0, per_part=4)
+    rows = [(1, 0.5, 0.5, None), (1, 0.5, 0.5, None), (None, 0.5, 0.6, "x"), (2, None, 0.5, "y")]
+    df = spark.createDataFrame(rows, "id int, latitude double, longitude double, note string")
+    out = T.lookup(df, layer, lambda i: F.expr(f"array_max(transform({i}, p -> p.v))"), merge=F.max)
+    assert sorted(((r.id, r.latitude, r.longitude, r.note), r.hit) for r in out.collect() if r.id) == [
+        ((1, 0.5, 0.5, None), 29.0)] * 2 + [((2, None, 0.5, "y"), None)]
+    assert [r.hit for r in out.where("id IS NULL").collect()] == [29.0]
