@@ -244,6 +244,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
+def one_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that come first in their group; rows: (key struct of id and text hash th, root) for each of docs.
+
+    The names this needs beside the columns of docs differ from all of them.
+    """
+    base = "_" * (1 + max((len(c) for c in docs.columns), default=0))
+    chosen, hashed, rows_, th = (base + x for x in ("chosen", "hash", "rows", "th"))
+    counted = rows.groupBy("root", "key").agg(F.count(F.lit(1)).alias("n"))
+    first = counted.groupBy("root").agg(F.min(F.struct(
+        F.col("key.id").isNull().alias("none"), F.col("key.id").alias("id"), F.col("key.th").alias("th"), "n")).alias("c"))
+    named = first.select(F.col("c.id").alias(chosen), F.col("c.th").alias(hashed), F.col("c.n").alias(rows_))
+    kept = (docs.withColumn(th, F.xxhash64(octets(text_col)))
+            .join(named, F.col(id_col).eqNullSafe(F.col(chosen)) & (F.col(th) == F.col(hashed))).drop(chosen, hashed))
+    once = kept.where(F.col(rows_) == 1).drop(rows_, th)
+    return once.unionByName(kept.where(F.col(rows_) > 1).dropDuplicates([id_col, th]).drop(rows_, th))
+
+
 def first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
                    threshold: int = 4) -> DataFrame:
     """docs with one row of each group of near duplicates: the one with the smallest id.
@@ -251,14 +268,7 @@ def first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A null id comes after all others; of different texts with the smallest id the one of least hash
     stays, of equal rows any one. All columns are kept.
     """
-    th = F.xxhash64(octets(text_col))
-    known = stored(fingerprints(docs.select(F.struct(F.col(id_col).alias("id"), th.alias("th")).alias("_key"), F.col(text_col)),
-                                "_key", text_col, words))
-    rows = known.join(_placed(known, threshold), "fp").groupBy("root", "_key").agg(F.count(F.lit(1)).alias("n"))
-    first = rows.groupBy("root").agg(F.min(F.struct(
-        F.col("_key.id").isNull().alias("none"), F.col("_key.id").alias("id"), F.col("_key.th").alias("th"), "n")).alias("c"))
-    chosen = first.select(F.col("c.id").alias("_chosen"), F.col("c.th").alias("_hash"), F.col("c.n").alias("_rows"))
-    kept = (docs.withColumn("_th", th)
-            .join(chosen, F.col(id_col).eqNullSafe(F.col("_chosen")) & (F.col("_th") == F.col("_hash"))).drop("_chosen", "_hash"))
-    once = kept.where("_rows = 1").drop("_rows", "_th")
-    return once.unionByName(kept.where("_rows > 1").dropDuplicates([id_col, "_th"]).drop("_rows", "_th"))
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(octets(text_col)).alias("th")).alias("key"),
+                        F.col(text_col).alias("text"))
+    known = stored(fingerprints(keyed, "key", "text", words))
+    return one_of_each(docs, known.join(_placed(known, threshold), "fp").select("key", "root"), id_col, text_col)

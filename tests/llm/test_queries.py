@@ -34,7 +34,8 @@ def test_every_number_has_one_query():
 
 
 def test_pipeline_stages(spark):
-    from test_duplicates import groups_plain, passages_plain, simhash_plain
+    from test_duplicates import passages_plain
+    from test_similar import similar_plain
     from test_texts import check_packing
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -48,10 +49,9 @@ def test_pipeline_stages(spark):
     assert kept.columns == columns and {r.doc_id for r in kept.collect()} == judged
 
     single = stages["near_duplicates"](spark, kept, SF)
-    fps = {i: simhash_plain(was[i].text) for i in judged}
-    groups = groups_plain(fps.values(), 4)
+    groups = similar_plain({i: was[i].text for i in judged})
     assert single.columns == columns
-    assert Counter(r.doc_id for r in single.collect()) == Counter({min(i for i in judged if fps[i] in g) for g in groups.values()})
+    assert Counter(r.doc_id for r in single.collect()) == Counter(min(g) for g in groups)
 
     cut = stages["repeated_passages"](spark, single, SF)
     before = sorted(single.collect())
