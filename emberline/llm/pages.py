@@ -25,13 +25,24 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements that never hold main text, and those that do.
 DROPPED = RAW | frozenset("head nav footer aside form button select option input dialog menu object audio video canvas".split())
 MAIN = frozenset(("article", "main"))
-#: Words in class, id or role that mark what surrounds the main text.
-AROUND = frozenset("nav navigation navbar menu submenu sidebar aside footer masthead banner cookie cookies consent gdpr "
-                   "notice notices alert ad ads adv advert adverts advertisement advertising adsense sponsor sponsored "
-                   "promo promotion comment comments commentlist disqus reply replies respond share sharing social related "
-                   "recommended breadcrumb breadcrumbs pagination pager subscribe subscription newsletter signup login popup "
-                   "modal overlay widget form search searchbox toolbar complementary contentinfo dialog skip "
-                   "hidden paywall".split())
+#: Words in class, id or role that name reader comments, what else surely surrounds the main text, and what mostly does.
+REMARKS = frozenset("comment comments commentlist disqus reply replies respond response responses talkback".split())
+SURE = frozenset("nav navigation navbar menu submenu sidebar aside footer masthead banner cookie cookies consent gdpr ad ads adv "
+                 "advert adverts advertisement advertising adsense breadcrumb breadcrumbs pagination pager complementary "
+                 "contentinfo newsletter".split())
+MOSTLY = frozenset("notice notices alert sponsor sponsored promo promotion share sharing social related recommended subscribe "
+                   "subscription signup login popup modal overlay widget form search searchbox toolbar dialog skip hidden "
+                   "paywall".split())
+#: Words beside them that change nothing, those that turn a name into a remark on the layout, and names of the text itself.
+NEUTRAL = frozenset("site page main global top bottom left right upper lower primary secondary list item items box block container "
+                    "wrapper wrap area bar link links button buttons posts stories section group slot unit inner outer row "
+                    "holder panel title".split())
+LAYOUT = frozenset("no not has with without is enabled disabled free".split())
+TEXT = frozenset("content article post entry hentry story main text".split())
+#: The share of a page's points from which a marked element is no surrounding, by kind of its mark (comments: never).
+MOST = {"sure": 0.8, "mostly": 0.5}
+#: What a name that only contains such a word leaves of an element's points.
+DOUBT = 0.7
 #: Elements that belong to a text they stand beside.
 FLOW = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 table ul ol dl figure".split())
 #: Opening one of the first closes an open one of the second, up to the third.
@@ -47,10 +58,10 @@ DEEPEST = 256
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "points", "chars", "linked", "texts", "depth")
+    __slots__ = ("tag", "parent", "children", "dropped", "mark", "points", "chars", "linked", "texts", "depth")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, mark: str | None = None):
+        self.tag, self.parent, self.dropped, self.mark = tag, parent, dropped, mark
         self.children: list[Node | str | None] = []
         self.points, self.chars, self.linked, self.texts = 0.0, 0, 0, 0
         self.depth = parent.depth + 1 if parent is not None else 0
@@ -58,18 +69,40 @@ class Node:
             parent.children.append(self)
 
 
-def _marked(rest: str) -> bool:
+def _hidden(rest: str) -> bool:
     for name, *values in ATTRIBUTE.findall(rest):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id", "role") and any(w.lower() in AROUND for w in SPLIT.split(html.unescape(value))):
-            return True
     return False
 
 
+def _mark(rest: str) -> str | None:
+    """What an element's names say: "remarks", "sure", "mostly", "doubt" or nothing.
+
+    A name counts in full if each of its words is a marking or a neutral one (sidebar, site-footer); beside a
+    name of the text itself only if it is a single word. Names on the layout (no-sidebar, has-comments) say nothing.
+    """
+    found, doubt = set(), False
+    names = [n for name, *values in ATTRIBUTE.findall(rest) if name.lower() in ("class", "id", "role")
+             for n in html.unescape("".join(values)).split()]
+    is_text = any(n.lower() in TEXT for n in names)
+    for n in names:
+        words = [w.lower() for w in SPLIT.split(n) if w]
+        kinds = {"remarks" if w in REMARKS else "sure" if w in SURE else "mostly"
+                 for w in words if w in REMARKS or w in SURE or w in MOSTLY}
+        if not kinds or any(w in LAYOUT for w in words):
+            continue
+        whole = all(w in REMARKS or w in SURE or w in MOSTLY or w in NEUTRAL for w in words)
+        if whole and (len(words) == 1 or not is_text):
+            found |= kinds
+        else:
+            doubt = True
+    return next((k for k in ("remarks", "sure", "mostly") if k in found), "doubt" if doubt else None)
+
+
 def parse(page: str) -> Node:
     """The tree of a page. Left-out end tags are supplied; stray ones are passed over; nothing is fatal."""
     root = Node("body", None)
@@ -127,11 +160,14 @@ def parse(page: str) -> Node:
         inside = node
         while inside is not None and inside.tag not in MAIN:
             inside = inside.parent
-        dropped = node.dropped or tag in DROPPED or (tag == "header" and inside is None) \
-            or (tag not in MAIN and bool(rest.strip(" /")) and _marked(rest)) \
-            or (tag == "article" and bool(rest) and bool(re.search(r"(?i)\b(comment|ad|promo)s?\b", rest)))
+        mark = _mark(rest) if rest.strip(" /") else None
+        if tag in MAIN and mark not in ("remarks", "sure"):
+            mark = None
+        dropped = node.dropped or tag in DROPPED or (tag == "header" and inside is None) or _hidden(rest)
+        if node.depth >= DEEPEST:
+            dropped = dropped or mark in ("remarks", *MOST)
         if node.depth < DEEPEST or dropped > node.dropped:
-            node = Node(tag, node, dropped)
+            node = Node(tag, node, dropped, mark)
         elif tag not in INLINE:
             node.children.append(None)
     return root
@@ -197,18 +233,57 @@ def _all(root: Node) -> list[Node]:
     return out
 
 
+def _worth(text: str, linked: int) -> float:
+    """Points of a block: one, one for each comma and up to three for its length, less its share inside links."""
+    size = len(text.replace(" ", ""))
+    return (1 + sum(text.count(c) for c in ",،、，") + min(len(text) / 100, 3)) * (1 - min(1, linked / max(size, 1)))
+
+
+def settle(root: Node) -> None:
+    """Drops the marked elements that do not hold most of the points of the page.
+
+    Reader comments go whatever they hold, and do not count as points of the page. Where an article or
+    main element with text stands outside a marked one, the mark decides.
+    """
+    nodes = _all(root)
+    for x in nodes:
+        x.dropped = x.dropped or x.mark == "remarks" or (x.parent is not None and x.parent.dropped)
+    if not any(x.mark in MOST and not x.dropped for x in nodes):
+        return
+    points: dict[Node, float] = dict.fromkeys(nodes, 0.0)
+    main: dict[Node, float] = dict.fromkeys(nodes, 0.0)
+    for x in nodes:
+        if not x.dropped and x.tag not in INLINE:
+            points[x] = sum(_worth(t, k) for t, k in _own_runs(x))
+    for x in reversed(nodes):
+        main[x] = points[x] if x.tag in MAIN and x.mark not in MOST else main[x]
+        if x.parent is not None:
+            points[x.parent] += points[x]
+            main[x.parent] += main[x]
+    for x in nodes:
+        if x.parent is not None and x.parent.dropped:
+            x.dropped = True
+        elif x.mark in MOST and not x.dropped:
+            x.dropped = points[x] < MOST[x.mark] * points[root] or main[root] > main[x]
+            inside = x.parent
+            while x.dropped is False and inside is not None:
+                if inside.tag in MAIN:                     # part of an article: the mark decides
+                    x.dropped = True
+                inside = inside.parent
+
+
 def score(root: Node) -> list[Node]:
     """Gives every container its points and returns the containers that got some.
 
-    A block of text is worth one point, one for each comma and up to three for its length, less the
-    share of it inside links. Its container gets all, the next above half, then a third, and so on.
+    The container of a block gets its whole worth, the next above half, then a third, and so on; a
+    container whose name casts doubt keeps a part of its points.
     """
     nodes = [x for x in _all(root) if not x.dropped and x.tag not in INLINE]
     scored: dict[Node, None] = {}
     for x in nodes:
         for text, linked in _own_runs(x):
             size = len(text.replace(" ", ""))
-            worth = (1 + sum(text.count(c) for c in ",،、，") + min(len(text) / 100, 3)) * (1 - min(1, linked / max(size, 1)))
+            worth = _worth(text, linked)
             holder = x.parent if x.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "dd", "dt") and x.parent else x
             if x.tag in ("li", "td", "dd", "dt") and holder.parent:
                 holder = holder.parent
@@ -226,13 +301,14 @@ def score(root: Node) -> list[Node]:
                 up.texts += 1
                 up = up.parent
     for x in scored:
-        x.points *= 1 - x.linked / max(x.chars, 1)
+        x.points *= (1 - x.linked / max(x.chars, 1)) * (DOUBT if x.mark == "doubt" else 1)
     return list(scored)
 
 
 def main_text(page: str) -> str:
     """The text of the best container and of those siblings that belong to it; '' if there is none."""
     root = parse(page)
+    settle(root)
     scored = score(root)
     if not scored:
         return ""

@@ -250,6 +250,28 @@ def test_main_text_of_pages():
         pages.main_text(PAGE[:cut])
 
 
+HOLDERS = ["post no-sidebar", "content has-comments", "entry share-enabled", "post hidden-xs", "related-work", "search results",
+           "form-content", "layout-with-nav", "alert-free", "content sidebar-left", "post-body", "story", "hidden-md-down", "search",
+           "left-sidebar"]
+AROUND = ['<div class="sidebar"><p>Side, bar, words here.</p></div>', '<div id="site-footer"><p>Foot, note, all rights.</p></div>',
+          '<section class="responses"><p>Nice, one, really, truly, a long, long, answer, of a reader.</p></section>',
+          '<div class="comment-list"><p>First, here, I, say, too, much, on, end.</p></div>', '<ul class="main-nav"><li>Home<li>News</ul>',
+          '<div class="cookie-notice"><p>We, too, use cookies.</p></div>', '<div class="related-posts"><a href=x>Other</a></div>']
+
+
+@pytest.mark.parametrize("holder", HOLDERS)
+@pytest.mark.parametrize("tag", ["div", "section", "article"])
+def test_names_weigh_and_do_not_decide(holder, tag):
+    """Every holder with every surrounding, before and after it: only the text of the holder comes out."""
+    said = ["Some words, of a text, that goes on, for a while, and says more than its surroundings do, by far.",
+            "A second part, as long as the first, with commas, too, so that it counts.", "And the end, of it all, is here, at last, for now."]
+    inner = "".join(f"<p>{t}</p>" for t in said)
+    for around in AROUND:
+        for page in (f"<body>{around}<{tag} class='{holder}'>{inner}</{tag}></body>", f"<body><{tag} id='{holder.split()[-1]}'>{inner}</{tag}>{around}",
+                     f"<div id=page><{tag} class='{holder}'><h2>On it</h2>{inner}{around}</{tag}></div>"):
+            assert pages.main_text(page).removeprefix("On it ") == " ".join(said)
+
+
 def test_pages_of_the_tables(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     odd = spark.createDataFrame([(-1, None, None, "x"), (-2, "u", "", "x"), (-2, "u", "", "x")],
