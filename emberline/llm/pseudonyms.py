@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
+from ipaddress import AddressValueError, IPv6Address
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +19,10 @@ DIGITS = "0123456789"
 HEX = DIGITS + "abcdef"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 UPPER = LOWER.upper()
+#: Small letters beyond ASCII, by script: each is permuted within its own.
+SCRIPTS = ["".join(c for c in map(chr, range(*ends)) if c.isalpha() and c.islower()) for ends in
+           ((0xDF, 0x100), (0x101, 0x180), (0x3B1, 0x3CA), (0x430, 0x460))]
+LETTER = "A-Za-z0-9\u00C0-\u017F\u0370-\u03FF\u0400-\u045F"
 #: Most signs permuted as one number: half of their bits fit a hash of 64 bytes.
 PIECE = 200
 #: Dates are permuted among these days.
@@ -61,7 +66,7 @@ def classes(text: str) -> list[str]:
     """For each sign the letters of its kind; other signs stand for themselves."""
     if re.fullmatch(r"[0-9a-f]+", text) and re.search(r"\d", text):
         return [HEX] * len(text)
-    return [next((k for k in (DIGITS, LOWER, UPPER) if c in k), c) for c in text]
+    return [next((k for k in (DIGITS, LOWER, UPPER, *SCRIPTS) if c in k), c) for c in text]
 
 
 def refill(pattern: str, signs: str) -> str:
@@ -80,8 +85,9 @@ def luhn(digits: str) -> int:
 
 
 def _email(m: re.Match, key: bytes) -> str:
-    name = m[2].lower()
-    return m[1] + spell(name, classes(name), key, "email") + m[3]
+    name = "".join(c.lower() if len(c.lower()) == 1 else c for c in m[2])
+    new = spell(name, classes(name), key, "email")
+    return m[1] + "".join(n.upper() if o.isupper() and len(n.upper()) == 1 else n for o, n in zip(m[2], new, strict=True)) + m[3]
 
 
 def _card(m: re.Match, key: bytes) -> str | None:
@@ -114,6 +120,28 @@ def _address(m: re.Match, key: bytes) -> str | None:
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
+def _address6(m: re.Match, key: bytes) -> str | None:
+    """Groups of zeros stay, so that an address keeps its form; the others are permuted together."""
+    if not re.search(r"\d", m[0]) or not (m[0].count(":") > 2 or re.match(r"[23fF][0-9A-Fa-f]{3}:", m[0])):
+        return None
+    try:
+        whole = IPv6Address(m[0])
+    except AddressValueError:
+        return None
+    was = [int(g, 16) for g in whole.exploded.split(":")]
+    value, size = 0, 1
+    for g in filter(None, was):
+        value, size = value * 0xFFFF + g - 1, size * 0xFFFF
+    value = permute(value, size, key, "ip6" + "".join("01"[g > 0] for g in was))
+    new = []
+    for g in reversed(was):
+        value, at = divmod(value, 0xFFFF) if g else (value, -1)
+        new.append(at + 1)
+    out = IPv6Address(sum(g << 16 * i for i, g in enumerate(new)))
+    said = out.exploded if len(m[0]) == 39 else str(out)
+    return said.upper() if m[0] == m[0].upper() else said
+
+
 def _social(m: re.Match, key: bytes) -> str | None:
     def whole(n: int) -> bool:
         area, group, serial = n // 1_000_000, n // 10_000 % 100, n % 10_000
@@ -136,6 +164,13 @@ def _phone(m: re.Match, key: bytes) -> str | None:
     return code + refill(m[0][len(code):], spell(digits, [DIGITS] * len(digits), key, "phone"))
 
 
+def _named_phone(m: re.Match, key: bytes) -> str | None:
+    digits = re.sub(r"\D", "", m[2])
+    if not 7 <= len(digits) <= 15:
+        return None
+    return m[1] + refill(m[2], spell(digits, [DIGITS] * len(digits), key, "phone"))
+
+
 def _day(m: re.Match, key: bytes) -> str | None:
     year_first = m["y1"] is not None
     sep = m["s1"] or m["s2"]
@@ -170,8 +205,10 @@ def _secret(m: re.Match, key: bytes) -> str:
 
 #: Name, pattern and pseudonym of each kind; where two begin at one place the earlier named is taken.
 KINDS: list[tuple[str, str, Callable[[re.Match, bytes], str | None]]] = [
-    ("email", r"(?<![A-Za-z0-9._%+-])([._%+-]*)([A-Za-z0-9][A-Za-z0-9._%+-]*)(@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})", _email),
-    ("secret", r"""((?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?[ ]{0,3}[:=][ ]{0,3}["']?)([A-Za-z0-9+/_.-]{15,}[A-Za-z0-9+/_-])""", _secret),
+    ("email", rf"(?<![{LETTER}._%+-])([._%+-]*)([{LETTER}][{LETTER}._%+-]*)(@(?:[{LETTER}-]{{1,63}}\.)+[A-Za-z]{{2,24}})", _email),
+    ("secret", r"""((?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?[ ]{0,3}[:=][ ]{0,3}["']?"""
+               r"""|(?<![A-Za-z0-9])(?:(?i:bearer)[ ]{1,3}|AKIA|ASIA|AIza|sk-|gh[pousr]_|glpat-|xox[abprs]-)(?=[A-Za-z+/_.-]*\d))"""
+               r"""([A-Za-z0-9+/_.-]{15,}[A-Za-z0-9+/_-])""", _secret),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
     ("ip", r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)", _address),
     ("date", r"(?<![\d./-])(?:(?P<y1>\d{4})(?P<s1>[-/.])(?P<m1>\d{1,2})(?P=s1)(?P<d1>\d{1,2})"
@@ -180,6 +217,10 @@ KINDS: list[tuple[str, str, Callable[[re.Match, bytes], str | None]]] = [
     ("card", r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)", _card),
     ("phone", r"(?<![\w+])(?:(?:\+1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}"
               r"|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ -]?\d{2,4}){1,4})(?!\d|[.-]\d)", _phone),
+    ("ip6", r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)", _address6),
+    # a number without country code counts as a phone only after a word that says so
+    ("named_phone", r"(\b(?i:phone|telephone|telefon|tel|mobile|cell|fax|whatsapp)[ .]{0,2}(?i:number|no\b|nr\b)?[ .:=]{0,4})"
+                    r"(\d{2,5}[ /.-]?\d{3,8}(?:[ /.-]?\d{2,5}){0,2})(?!\d|[./-]\d)", _named_phone),
 ]
 #: What ends a group of a value.
 GAP = re.compile(r"[^A-Za-z0-9]")
@@ -233,10 +274,11 @@ class Pseudonyms:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with private values of text_col replaced, and a count of each kind (COUNTS).
 
-    Emails (name part), secrets of 16 or more signs given as token = "..", IBANs and card numbers
-    with a right check digit (it is made right again), IPv4 addresses, calendar dates in digits with
-    a year of four, US social numbers and phone numbers (country code kept; without one only US
-    numbers in three groups). Numbers that fail their check are left alone. One key turns one
+    Emails (name part, capitals stay capitals), secrets of 16 or more signs given as token = "..", after bearer
+    or with the prefix of a known kind of key, IBANs and card numbers with a right check digit (it is made
+    right again), IPv4 and IPv6 addresses, calendar dates in digits with a year of four, US social numbers and phone
+    numbers (country code kept; without one US numbers in three groups, and any after a word such as tel).
+    Numbers that fail their check are left alone. One key turns one
     value into the same pseudonym in every document, whatever separators it is written with. A null
     text stays null, all other rows and columns are kept as they are, row by row, without a shuffle;
     an input column named like a count is replaced.
