@@ -25,6 +25,7 @@ class RecurrenceConfig:
     persistence_min: int = C.PERSISTENCE_MIN
     hot_min_rows: int = skew.HOT_MIN_ROWS
     chunk_us: int = R.HOT_CHUNK_US
+    chunk_rows: int = R.CHUNK_ROWS
     name_before_polygon: bool = False
 
 
@@ -94,7 +95,12 @@ def source_history(df: DataFrame, cfg: RecurrenceConfig = RecurrenceConfig(),
         "n24_prev": ("sum", F.col("d24")),
         "first_us": ("min", F.when(is_row, F.col("t"))),
     }
-    prepared = R.chunked(events, key, "t", hot, cfg.chunk_us)
+    cuts = None
+    if hot is not None:
+        times = df.join(hot, key, "left_semi").select(*key, F.explode(F.array(
+            us, us + window_us + 1, us + burst_us + 1)).alias("t"))
+        cuts = R.cut_points(times, key, "t", cfg.chunk_us, cfg.chunk_rows)
+    prepared = R.chunked(events, key, "t", hot, cfg.chunk_us, cuts)
     seen = R.running(prepared, key, order, totals, hot).where(is_row)
     persistent_at = F.when(F.col("n_prev") >= cfg.persistence_min, F.col("t"))
     seen = R.running(seen, key, order, {"persistent_us": ("min", persistent_at)}, hot,
@@ -147,16 +153,6 @@ def activity_intervals(df: DataFrame, window_days: int = C.WINDOW_DAYS) -> DataF
                     (F.col("last_us") + window_us).alias("end_us")))
 
 
-def _slim_chunks(edges: DataFrame, keyed: DataFrame, hot: DataFrame | None,
-                 cfg: RecurrenceConfig) -> DataFrame | None:
-    """Boundary events and neutral probe rows without payload, for the hot-area prefix."""
-    if hot is None:
-        return None
-    probes = keyed.select("area", F.col("us").alias("t"), F.lit(0).alias("d"))
-    return R.chunked(edges.select("area", "t", "d").unionByName(probes), ["area"], "t", hot,
-                     cfg.chunk_us)
-
-
 def neighbourhood(df: DataFrame, cfg: RecurrenceConfig = RecurrenceConfig(),
                   keyed: DataFrame | None = None) -> DataFrame:
     """Distinct other sources active nearby just before each detection.
@@ -177,10 +173,17 @@ def neighbourhood(df: DataFrame, cfg: RecurrenceConfig = RecurrenceConfig(),
     probes = df.select("area", F.col("us").alias("t"), F.lit(1).alias("ord"),
                        F.col("detection_id").alias("id"), F.lit(1).alias("kind"),
                        F.lit(0).alias("d"), F.struct(*[F.col(c) for c in df.columns]).alias("row"))
-    events = R.chunked(edges.unionByName(probes), ["area"], "t", hot, cfg.chunk_us)
+    cuts = slim = None
+    if hot is not None:
+        # boundary events and neutral probe rows without payload, for cut points and prefix
+        narrow = edges.select("area", "t", "d").unionByName(
+            keyed.select("area", F.col("us").alias("t"), F.lit(0).alias("d"))).join(hot, "area", "left_semi")
+        cuts = R.cut_points(narrow, ["area"], "t", cfg.chunk_us, cfg.chunk_rows)
+        slim = R.chunked(narrow, ["area"], "t", hot, cfg.chunk_us, cuts)
+    events = R.chunked(edges.unionByName(probes), ["area"], "t", hot, cfg.chunk_us, cuts)
     order = [F.col(c) for c in ("t", "ord", "id", "kind")]
     counted = R.running(events, ["area"], order, {"active": ("sum", F.col("d"))}, hot,
-                        contributors=_slim_chunks(edges, keyed, hot, cfg))
+                        contributors=slim)
     return counted.where(F.col("kind") == 1).select(
         "row.*", (F.col("active") - 1).cast("int").alias("neighbourhood_active_keys"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from emberline import constants as C
 from emberline.operators import recurrence as R
+from emberline.operators import running
 
 DAY = C.DAY_US
 BASE = 1_704_067_200_000_000
@@ -57,7 +58,8 @@ def frame(spark, rows):
 
 
 @pytest.mark.parametrize("cfg", [R.RecurrenceConfig(),
-                                 R.RecurrenceConfig(hot_min_rows=60, chunk_us=9 * DAY)])
+                                 R.RecurrenceConfig(hot_min_rows=60, chunk_us=9 * DAY),
+                                 R.RecurrenceConfig(hot_min_rows=60, chunk_us=9 * DAY, chunk_rows=7)])
 def test_matches_sequential_fold(spark, cfg):
     rows = random_rows()
     want = fold(rows)
@@ -70,6 +72,37 @@ def test_matches_sequential_fold(spark, cfg):
         assert have == pytest.approx(want[g.detection_id], abs=1e-6)
 
 
+def test_burst_hour_of_a_hot_source_is_cut_by_rank(spark):
+    rng = random.Random(11)
+    second, hour = 1_000_000, 3600 * 1_000_000
+    times = [rng.randrange(hour) for _ in range(3000)]                       # spread over the hour
+    times += [1700 * second + rng.randrange(second) for _ in range(3000)]    # one crowded second of it
+    times += [1700 * second + 5] * 90                                        # one instant
+    times += [rng.randrange(30 * 24) * hour for _ in range(500)]
+    rows = [dict(detection_id=i, us=BASE + us, frp=float(i % 50), recurrence_key="hot" if i % 9 else f"k{i % 7}", area=1,
+                 latitude=1.0, longitude=1.0, inside_industrial=False) for i, us in enumerate(times)]
+    df = frame(spark, rows)
+    hot = spark.createDataFrame([("hot",)], "recurrence_key string")
+    at = df.where("recurrence_key = 'hot'").select("recurrence_key", F.col("us").alias("t"))
+    cuts = running.cut_points(at, ["recurrence_key"], "t", rows=100)
+    sizes = running.chunked(at, ["recurrence_key"], "t", hot, cuts=cuts).groupBy("_chunk").agg(
+        F.count(F.lit(1)).alias("n"), F.min("t").alias("a"), F.max("t").alias("b")).orderBy("_chunk").collect()
+    assert max(r.n for r in sizes) <= 200 and len(sizes) > 50
+    assert all(x.b < y.a for x, y in zip(sizes, sizes[1:])) and all(r["_chunk"] <= r.a for r in sizes)
+    assert sum(r.n for r in sizes) == at.count()
+    cut = R.RecurrenceConfig(hot_min_rows=1000, chunk_rows=100)
+    a = R.evaluate(df, cut).collect()
+    b = R.evaluate(df).collect()
+    assert sorted(a, key=lambda r: r.detection_id) == sorted(b, key=lambda r: r.detection_id)
+
+
+def test_even_hours_need_no_cuts(spark):
+    rows = [("k", BASE + i * 3600 * 1_000_000) for i in range(50)]
+    times = spark.createDataFrame(rows, "recurrence_key string, t long")
+    assert running.cut_points(times, ["recurrence_key"], "t", rows=1) is None
+    assert running.cut_points(times.limit(0), ["recurrence_key"], "t", rows=1) is None
+
+
 def test_order_and_partitioning_do_not_matter(spark):
     rows = random_rows(400, 3)
     a = R.evaluate(frame(spark, rows).repartition(1))
