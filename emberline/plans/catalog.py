@@ -459,6 +459,14 @@ def event_register(spark, sf):
     return out.withColumns({c: text.half_up(F.col(c), 6) for c in ("served_accuracy", "model_accuracy")})
 
 
+@query
+def counter_register(spark, sf):
+    events = T.verified_events(spark, sf)
+    seen = verified.attach_events(T.detections(spark, sf), events).where("event_name IS NOT NULL").select("event_name")
+    missed = events.select("seq", "event_name", "label").join(seen.distinct(), "event_name", "left_anti")
+    return verified.counter_register(missed, events)
+
+
 @query
 def event_confusion(spark, sf):
     df = _tagged(spark, sf).where("event_name IS NOT NULL")
@@ -864,6 +872,17 @@ def model_metrics(spark, sf):
     return training.metrics(training.predict(model, test))
 
 
+@query
+def majority_baseline(spark, sf):
+    # what a model has to beat: every test row called by the commonest class of the training rows
+    corpus = labels.split(labelled(spark, sf))
+    majority = F.lit(training.majority_class(corpus.where("split = 'train'")))
+    counts = verified.confusion(corpus.where("split = 'test'"), F.col("target_label"), majority)
+    out = verified.overall(verified.class_report(counts))
+    return out.select(majority.alias("majority"), "n", *[
+        text.half_up(F.col(c), 6).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")])
+
+
 @query
 def model_factors(spark, sf):
     model, train, test = _trained(spark, sf)

@@ -201,6 +201,11 @@ EV = f"""ev AS (SELECT seq, event_name, lat, lon, radius_km, label,
   DATE '2024-01-01' + CAST(start_day + span_days AS INT) AS d1
   FROM (SELECT {_p(T.EVENTS)} FROM supplier))"""
 _KM = "111.32::DOUBLE"
+_SPLIT = """r AS (SELECT detection_id, target_label,
+  row_number() OVER (PARTITION BY target_label ORDER BY md5(concat(CAST(detection_id AS VARCHAR), ':42:split')),
+    detection_id) AS r, count(*) OVER (PARTITION BY target_label) AS n FROM lab),
+parts AS (SELECT detection_id, target_label, CASE WHEN r <= floor(n * 7e-1::DOUBLE + 5e-1) THEN 'train'
+  WHEN r <= floor(n * 85e-2::DOUBLE + 5e-1) THEN 'validation' ELSE 'test' END AS split FROM r)"""
 TAG = f"""{LAB}, {EV},
 tg AS (SELECT detection_id, event_name, label, row_number() OVER (PARTITION BY detection_id
   ORDER BY radius_km, seq DESC) AS rn FROM lab, ev WHERE t >= d0 AND t < d1 + INTERVAL 1 DAY
@@ -448,11 +453,18 @@ SELECT detection_id, cell, {parent('cell', 17, 13)} AS area, {parent('cell', 17,
   count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM lab
   WHERE longitude BETWEEN 70 AND 90 AND latitude BETWEEN 10 AND 30 GROUP BY 1""",
     "balance_sample": f"WITH {LAB}, {_BAL} SELECT detection_id, target_label FROM bal",
-    "stratified_split": f"""WITH {LAB}, r AS (SELECT detection_id, target_label,
-  row_number() OVER (PARTITION BY target_label ORDER BY md5(concat(CAST(detection_id AS VARCHAR), ':42:split')),
-    detection_id) AS r, count(*) OVER (PARTITION BY target_label) AS n FROM lab)
-SELECT detection_id, target_label, CASE WHEN r <= floor(n * 7e-1::DOUBLE + 5e-1) THEN 'train'
-  WHEN r <= floor(n * 85e-2::DOUBLE + 5e-1) THEN 'validation' ELSE 'test' END AS split FROM r""",
+    "stratified_split": f"""WITH {LAB}, {_SPLIT} SELECT detection_id, target_label, split FROM parts""",
+    "majority_baseline": f"""WITH {LAB}, {_SPLIT}, m AS (SELECT target_label AS m FROM parts WHERE split = 'train'
+  GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+c AS (SELECT target_label AS cls, count(*) AS support FROM parts WHERE split = 'test' GROUP BY 1),
+n AS (SELECT sum(support) AS n FROM c),
+k AS (SELECT cls, support FROM c UNION ALL SELECT m, 0 FROM m WHERE m NOT IN (SELECT cls FROM c)),
+f AS (SELECT support, cls = m AS hit, CASE WHEN cls = m THEN 2e0 * support / (support + n) ELSE 0e0 END AS f1
+  FROM k, m, n)
+SELECT max(m) AS majority, CAST(max(n) AS BIGINT) AS n,
+  {hu('sum(CASE WHEN hit THEN support ELSE 0 END) / CAST(max(n) AS DOUBLE)', 6)} AS accuracy,
+  {hu('avg(f1)', 6)} AS macro_f1, {hu('sum(f1 * support) / CAST(max(n) AS DOUBLE)', 6)} AS weighted_f1
+  FROM f, m, n""",
     "prior_factors": f"""WITH {LAB}, {_BAL}, a AS (SELECT target_label, count(*) /
   CAST((SELECT count(*) FROM lab) AS DOUBLE) AS true_share FROM lab GROUP BY 1),
 b AS (SELECT target_label, count(*) / CAST((SELECT count(*) FROM bal) AS DOUBLE) AS sampled_share
@@ -557,6 +569,8 @@ a AS (SELECT event_name, count(*) AS n,
 SELECT event_name, coalesce(n, 0) AS n, served_accuracy, model_accuracy, CASE WHEN n IS NULL THEN 'NOT_SCORED'
   WHEN n < 20 THEN 'LOW_SUPPORT' ELSE 'OK' END AS support
   FROM (SELECT DISTINCT event_name FROM ev) LEFT JOIN a USING (event_name)""",
+    "counter_register": f"""WITH {TAG} SELECT seq, event_name, label, (SELECT count(*) FROM ev) AS verified_events
+  FROM ev WHERE event_name NOT IN (SELECT event_name FROM tag WHERE event_name IS NOT NULL)""",
     "event_confusion": f"""WITH {TAG} SELECT CAST(event_label AS VARCHAR) AS truth,
   CAST(target_label AS VARCHAR) AS predicted, count(*) AS n FROM tag
   WHERE event_name IS NOT NULL GROUP BY 1, 2""",
