@@ -26,6 +26,7 @@ class TileLayer:
     size: float
     n_bytes: int
     max_parts: int
+    n_tiles: int = 0
 
     @property
     def empty(self) -> bool:
@@ -98,43 +99,56 @@ def build_layers(specs: list[LayerSpec], per_part: int = ITEMS_PER_PART) -> list
               .agg(F.ceil(F.count(F.lit(1)) / F.lit(per_part)).cast("int").alias("parts"),
                    F.sum("_b").alias("_b")))
     stats = {r["_i"]: r for r in counts.groupBy("_i").agg(
-        F.sum("_b").alias("b"), F.max("parts").alias("p")).collect()}
+        F.sum("_b").alias("b"), F.max("parts").alias("p"), F.count(F.lit(1)).alias("t")).collect()}
     layers = []
     for i, spec in enumerate(specs):
         parts = stats[i].p if i in stats else 0
-        located = spec.spread(spec.item.alias("_item"))
-        if parts <= 1:
-            parted = located.withColumns({"parts": F.lit(1), "part": F.lit(0)})
-        else:
-            parted = located.join(counts.where(F.col("_i") == i).select("_tx", "_ty", "parts"),
-                                  ["_tx", "_ty"]) \
-                .withColumn("part", F.pmod(F.xxhash64("_item"), F.col("parts")).cast("int"))
-        tiles = parted.groupBy("_tx", "_ty", "part", "parts").agg(
-            F.sort_array(F.collect_list("_item")).alias("items"))
-        layers.append(TileLayer(tiles, spec.size, int(stats[i].b) if i in stats else 0, parts))
+        tiles = _packed(spec.spread(spec.item.alias("_item")), counts.where(F.col("_i") == i), parts)
+        layers.append(TileLayer(tiles, spec.size, int(stats[i].b) if i in stats else 0, parts, stats[i].t if i in stats else 0))
     return layers
 
 
+def _packed(located: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
+    """Items by tile as arrays; counts say into how many parts a tile splits, parts is the most of them."""
+    if parts <= 1:
+        parted = located.withColumns({"parts": F.lit(1), "part": F.lit(0)})
+    else:
+        parted = located.join(counts.select("_tx", "_ty", "parts"), ["_tx", "_ty"]) \
+            .withColumn("part", F.pmod(F.xxhash64("_item"), F.col("parts")).cast("int"))
+    return parted.groupBy("_tx", "_ty", "part", "parts").agg(F.sort_array(F.collect_list("_item")).alias("items"))
+
+
+def packed_layer(located: DataFrame, size: float, item_bytes: Column, per_part: int = ITEMS_PER_PART) -> TileLayer:
+    """Layer of rows (_tx, _ty, _item) that are already at their tiles."""
+    counts = located.groupBy("_tx", "_ty").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(per_part)).cast("int").alias("parts"), F.sum(item_bytes.cast("long")).alias("_b"))
+    s = counts.agg(F.sum("_b").alias("b"), F.max("parts").alias("p"), F.count(F.lit(1)).alias("t")).first()
+    return TileLayer(_packed(located, counts, s.p or 0), size, s.b or 0, s.p or 0, s.t)
+
+
 def build_layer(*args, per_part: int = ITEMS_PER_PART, **kwargs) -> TileLayer:
     return build_layers([LayerSpec(*args, **kwargs)], per_part)[0]
 
 
 def _attach(points: DataFrame, tiles: DataFrame, how: str, small: bool,
             salts: int = 32) -> DataFrame:
-    """Equi-join on the tile: broadcast a proven-small layer, else shuffle with hot tiles salted."""
+    """Equi-join on the tile: broadcast a proven-small layer, else shuffle with hot tiles salted.
+
+    Item arrays are larger than Spark reckons them, so a layer not proven small says that it is to be merged.
+    """
     keys = ["_tx", "_ty"]
     if small:
         return points.join(F.broadcast(tiles), keys, how)
     hot = skew.hot_keys(points, keys)
     if hot is None:
-        return points.join(tiles, keys, how)
+        return points.join(tiles.hint("merge"), keys, how)
     left = skew.tag_hot(points, hot, keys).withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*points.columns), F.lit(salts)))
         .otherwise(0).cast("int"))
     right = skew.tag_hot(tiles, hot, keys).withColumn("_salt", F.explode(
         F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
         .otherwise(F.array(F.lit(0)))))
-    return left.drop("_hot").join(right.drop("_hot"), keys + ["_salt"], how).drop("_salt")
+    return left.drop("_hot").join(right.drop("_hot").hint("merge"), keys + ["_salt"], how).drop("_salt")
 
 
 def lookup(points: DataFrame, layer: TileLayer, hit: Callable[[str], Column],

@@ -193,3 +193,11 @@ def test_crowded_lookup_without_named_inputs_keeps_rows_with_nulls(spark):
     assert sorted(((r.id, r.latitude, r.longitude, r.note), r.hit) for r in out.collect() if r.id) == [
         ((1, 0.5, 0.5, None), 29.0)] * 2 + [((2, None, 0.5, "y"), None)]
     assert [r.hit for r in out.where("id IS NULL").collect()] == [29.0]
+
+
+def test_layers_not_proven_small_are_merged(spark):
+    from emberline.operators import tiles as T
+    points = spark.createDataFrame([(1, 1, 7)], "_tx int, _ty int, v int")
+    tiles = spark.createDataFrame([(1, 1, [1])], "_tx int, _ty int, items array<int>")
+    plan = T._attach(points, tiles, "left", False)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
