@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -47,7 +48,7 @@ def polygon_spec(polygons: DataFrame, id_col: str, size: float, reach: float,
     A tile keeps only the edges of a polygon that matter there: those crossing the tile's
     latitude band to its right (containment) and those within reach (distance).
     """
-    df = polygons if "edges" in polygons.columns else with_edges(polygons)
+    df = polygons if "edges" in polygons.columns else with_edges(skew.ensure_parallel(polygons, id_col))
     slack = reach + 1e-9
     x0, y0, x1, y1 = (f"({t} * {size!r}D)" for t in ("_tx", "_ty", "(_tx + 1)", "(_ty + 1)"))
     right = f"greatest(e.x1, e.x2) >= {x0} - "
@@ -69,6 +70,38 @@ def polygon_layer(polygons: DataFrame, id_col: str, size: float, reach: float,
     return T.build_layers([polygon_spec(polygons, id_col, size, reach, attrs)], per_part)[0]
 
 
+#: A crowded tile is halved until a polygon spans about so many tiles.
+TILES_ACROSS = 8
+
+
+def covering_layer(polygons: DataFrame, id_col: str, size: float, per_part: int = T.ITEMS_PER_PART) -> T.TileLayer:
+    """Tile index for the question whether any polygon covers a place; an item is struct(i), NULL where all are covered.
+
+    A tile inside one polygon has its answer, so it keeps that alone, however many others reach it. Where
+    tiles are crowded all of them are halved, as more of them then lie inside a polygon.
+    """
+    checkpoint_root(polygons.sparkSession)
+    edged = with_edges(skew.ensure_parallel(polygons, id_col))
+    tiles = polygon_spec(edged, id_col, size, 0.0).spread().groupBy("_tx", "_ty").count()
+    most = tiles.agg(F.max("count")).first()[0] or 0
+    if most > per_part:
+        wide = edged.agg(F.avg(F.greatest(F.expr("maxx - minx"), F.expr("maxy - miny")))).first()[0]
+        useful = math.floor(math.log2(size * TILES_ACROSS / wide) + 1e-6) if wide > 0 else 0
+        size = size / 2 ** max(min(math.ceil(math.log(most / per_part, 4)), useful), 0)
+    spec = polygon_spec(edged, id_col, size, 0.0)
+    x0, y0, x1, y1 = (f"({t} * {size!r}D)" for t in ("_tx", "_ty", "(_tx + 1)", "(_ty + 1)"))
+    passes = (f"greatest(e.x1, e.x2) >= {x0} - 1e-9D AND least(e.x1, e.x2) <= {x1} + 1e-9D "
+              f"AND greatest(e.y1, e.y2) >= {y0} - 1e-9D AND least(e.y1, e.y2) <= {y1} + 1e-9D")
+    middle = geo.covers("edges", f"({x0} + {size / 2!r}D)", f"({y0} + {size / 2!r}D)")
+    located = spec.spread(spec.item.alias("_item"), F.expr(f"NOT exists(edges, e -> {passes}) AND {middle}").alias("_inside"))
+    inside = located.where("_inside").select("_tx", "_ty").distinct().checkpoint()
+    partly = located.where("NOT _inside AND size(_item.edges) > 0").drop("_inside").join(inside, ["_tx", "_ty"], "left_anti")
+    nothing = F.lit(None).cast(partly.schema["_item"].dataType)
+    rows = partly.select("_tx", "_ty", F.struct(F.col("_item").alias("i")).alias("_item")).unionByName(
+        inside.select("_tx", "_ty", F.struct(nothing.alias("i")).alias("_item"))).checkpoint()
+    return T.packed_layer(rows, size, F.coalesce(F.size("_item.i.edges"), F.lit(0)) * 56 + 100, per_part)
+
+
 X, Y = "longitude", "latitude"
 
 
@@ -117,7 +150,7 @@ def nearest_km(df: DataFrame, polygons: DataFrame, cfg: JoinConfig = JoinConfig(
     Each round looks a little further; an answer within a round's reach is final.
     """
     wanted = F.lit(True) if needed is None else needed
-    edged = with_edges(polygons.select("poly_id", "rings"))
+    edged = with_edges(skew.ensure_parallel(polygons.select("poly_id", "rings"), "poly_id"))
     layers = T.build_layers([polygon_spec(edged, "poly_id", r, r) for r in cfg.rounds],
                             cfg.per_part)
     rounds = [(r, layer) for r, layer in zip(cfg.rounds, layers) if not layer.empty]
@@ -220,10 +253,10 @@ def forest_flag(df: DataFrame, forests: DataFrame | None, id_col: str = "detecti
     """Boolean ``in_forest``; false everywhere when there is no layer."""
     if forests is None:
         return df.withColumn("in_forest", F.lit(False))
-    layer = polygon_layer(forests, forest_id, tile_deg, 0.0, (), per_part)
+    layer = covering_layer(forests, forest_id, tile_deg, per_part)
 
     def hit(items):
-        return F.expr(f"CASE WHEN exists({items}, p -> {_covered()}) THEN true END")
+        return F.expr(f"CASE WHEN exists({items}, p -> p.i IS NULL OR {_covered('p.i')}) THEN true END")
 
     found = T.lookup(df, layer, hit, name="in_forest", merge=F.max,
                      max_broadcast=max_broadcast, inputs=(Y, X))

@@ -195,6 +195,19 @@ def test_crowded_lookup_without_named_inputs_keeps_rows_with_nulls(spark):
     assert [r.hit for r in out.where("id IS NULL").collect()] == [29.0]
 
 
+def test_tiles_inside_a_forest_keep_that_alone(spark):
+    """However many polygons cover a tile, it holds one item."""
+    forests = spark.createDataFrame([(i, [box(i / 1000, 1 + i / 1000, 0, 1)]) for i in range(200)], f"forest_id long, rings {RINGS}")
+    layer = spatial.covering_layer(forests, "forest_id", 0.1)
+    inner = layer.tiles.where("_tx = 5 AND _ty = 5").first()
+    assert [r.i for r in inner["items"]] == [None]
+    rows = [(i, (i % 47) / 40 - 0.05, (i % 61) / 40 - 0.1) for i in range(2867)]
+    df = spark.createDataFrame(rows, "detection_id long, latitude double, longitude double")
+    for tile_deg in (0.1, 2.0):
+        got = {r.detection_id: r.in_forest for r in spatial.forest_flag(df, forests, tile_deg=tile_deg, per_part=4).collect()}
+        assert got == {i: 0 <= y <= 1 and 0 <= x <= 1.199 for i, y, x in rows}
+
+
 def test_layers_not_proven_small_are_merged(spark):
     from emberline.operators import tiles as T
     points = spark.createDataFrame([(1, 1, 7)], "_tx int, _ty int, v int")
