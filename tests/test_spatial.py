@@ -214,3 +214,11 @@ def test_layers_not_proven_small_are_merged(spark):
     tiles = spark.createDataFrame([(1, 1, [1])], "_tx int, _ty int, items array<int>")
     plan = T._attach(points, tiles, "left", False)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_crowded_tiles_are_halved(spark):
+    forests = spark.createDataFrame([(i, [box(i / 1000, 1 + i / 1000, 0, 1)]) for i in range(200)], f"forest_id long, rings {RINGS}")
+    assert spatial.covering_layer(forests, "forest_id", 2.0, per_part=4).size == 0.25
+    assert spatial.covering_layer(forests, "forest_id", 2.0, per_part=200).size == 2.0
+    one = forests.where("forest_id = 0")
+    assert spatial.covering_layer(one, "forest_id", 2.0, per_part=4).size == 2.0
