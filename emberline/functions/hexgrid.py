@@ -98,5 +98,4 @@ def hex_parent(cell: Column | str, resolution: int) -> Column:
 
 def hex_neighbours(cell: Column | str) -> Column:
     """The six cells that share an edge with a cell, counter-clockwise from the east."""
-    cell = as_col(cell)
-    return F.array(*[cell + dq * (1 << _AXIS) + dr for dq, dr in STEPS])
+    return _let(as_col(cell), lambda c: F.array(*[c + dq * (1 << _AXIS) + dr for dq, dr in STEPS]))

@@ -1040,8 +1040,8 @@ def baseline_copy(spark, sf):
 
 @query
 def hex_codes(spark, sf):
-    fine = hexgrid.hex_cell("latitude", "longitude", 8)
-    return T.detections(spark, sf).select(
-        "detection_id", fine.alias("cell"), hexgrid.hex_parent(fine, 6).alias("area"),
-        hexgrid.hex_parent(hexgrid.hex_parent(fine, 6), 4).alias("map_cell"), hexgrid.resolution_of(fine).alias("resolution"),
-        F.element_at(hexgrid.hex_neighbours(fine), 3).alias("north_west"))
+    # each step reads the one before, so that a cell is worked out once
+    df = T.detections(spark, sf).select("detection_id", hexgrid.hex_cell("latitude", "longitude", 8).alias("cell"))
+    df = df.withColumn("area", hexgrid.hex_parent("cell", 6))
+    return df.select("detection_id", "cell", "area", hexgrid.hex_parent("area", 4).alias("map_cell"),
+                     hexgrid.resolution_of("cell").alias("resolution"), F.element_at(hexgrid.hex_neighbours("cell"), 3).alias("north_west"))

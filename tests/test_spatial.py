@@ -262,3 +262,9 @@ def test_radius_matches_go_by_rounds(spark, monkeypatch):
         if len(found) < 5:
             found.append(r.detection_id)
     assert got == sorted((c, i + 1, d) for c, ids in want.items() for i, d in enumerate(ids))
+
+
+def test_hex_codes_work_out_a_cell_once(spark):
+    from emberline.plans.catalog import QUERIES
+    plan = QUERIES["hex_codes"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SIN(") == 1
