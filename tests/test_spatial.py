@@ -268,3 +268,13 @@ def test_hex_codes_work_out_a_cell_once(spark):
     from emberline.plans.catalog import QUERIES
     plan = QUERIES["hex_codes"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("SIN(") == 1
+
+
+def test_parts_of_a_crowded_layer_are_merged(spark):
+    """Rounds over a layer of several parts plan no broadcast of its arrays, neither of whole tiles nor of parts."""
+    from emberline.operators import tiles as T
+    points = spark.createDataFrame([(1, 1, 7)], "_tx int, _ty int, v int")
+    parts = spark.createDataFrame([(1, 1, 0, [1]), (1, 1, 1, [2])], "_tx int, _ty int, part int, items array<int>")
+    out = T._attach(points, parts, "inner", False)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and sorted(r["items"] for r in out.collect()) == [[1], [2]]
