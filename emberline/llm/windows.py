@@ -49,6 +49,48 @@ def cells_of(h: np.ndarray, row: int, cells: int) -> np.ndarray:
     return (mix(h * ODD[row] + np.uint64(row + 1)) & np.uint64(cells - 1)).astype(np.int64)
 
 
+def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """pick over every width neighbours, by doubling."""
+    size = 1
+    while 2 * size <= width:
+        x, size = pick(x[:-size], x[size:]), 2 * size
+    more = width - size
+    return pick(x[:-more], x[more:]) if more else x
+
+
+def least_grams(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the least hash of a gram of n // 2 words in each window of n words, those hashes by place of the grams).
+
+    Equal windows have the same least gram, so a window that comes twice has one that comes twice. About two
+    grams in n / 2 are the least of some window.
+    """
+    size = n // 2
+    grams, _ = window_hashes(words, size)
+    width = n - size + 1
+    if len(grams) < width:
+        return grams[:0], grams[:0]
+    least = _sliding(grams, width, np.minimum)
+    edge = np.zeros(width - 1, np.uint64)
+    # a gram is the least of some window if the greatest of the least of its windows is its own
+    return least, grams[_sliding(np.concatenate([edge, least, edge]), width, np.maximum) == grams]
+
+
+def repeated_grams(read: DataFrame, n: int) -> DataFrame:
+    """(id, grams): by row of read (id, t) those least grams (see least_grams) that come more than once anywhere."""
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in let_go(batches):
+            for part in slices(batch, 1, 1 << 22):
+                found = [np.unique(least_grams(word_hashes(t.split()), n)[1], return_counts=True) for t in part.column(1).to_pylist()]
+                ids = np.repeat(part.column(0).to_numpy(), [len(g) for g, _ in found])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([g for g, _ in found]).view(np.int64)), pa.array(ids),
+                     pa.array(np.concatenate([k for _, k in found]).astype(np.int32))], names=["gram", "id", "k"])
+
+    grams = read.mapInArrow(choose, "gram long, id long, k int")
+    often = stored(grams.groupBy("gram").agg(F.sum("k").alias("k")).where("k > 1").select("gram"))
+    return grams.select("gram", "id").join(often, "gram").groupBy("id").agg(F.collect_set("gram").alias("grams"))
+
+
 def gaps(sorted_cells: np.ndarray) -> bytes:
     """Ascending numbers as bytes of their gaps; 255 adds 255 and goes on."""
     steps = np.diff(sorted_cells, prepend=0)
@@ -63,11 +105,12 @@ def ungaps(data: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.int64)[steps != 255]
 
 
-def _rows_of(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list, list[list[bytes]], list[tuple]]]:
+def _rows_of(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list, list[list[bytes]], list[tuple], list]]:
     for batch in batches:
         for part in slices(batch, 1, 1 << 22):
             words = [t.split() for t in part.column(1).to_pylist()]
-            yield part.column(0).to_pylist(), words, [window_hashes(word_hashes(w), n) for w in words]
+            yield (part.column(0).to_pylist(), words, [window_hashes(word_hashes(w), n) for w in words],
+                   part.column(2).to_pylist() if part.num_columns > 2 else [])
 
 
 def sketch(read: DataFrame, n: int, cells: int) -> np.ndarray:
@@ -94,7 +137,7 @@ def sketch(read: DataFrame, n: int, cells: int) -> np.ndarray:
                      pa.array([gaps(c[a:b] - piece[a] * SLICE) for a, b in zip(at, ends, strict=True)], pa.binary())],
                     names=["row", "slice", "cells"])
 
-        for _, _, hashes in _rows_of(let_go(batches), n):
+        for _, _, hashes, _ in _rows_of(let_go(batches), n):
             held += [h for h, _ in hashes]
             size += sum(len(h) for h, _ in hashes)
             if size > 2_500_000:
@@ -134,7 +177,7 @@ def sketch(read: DataFrame, n: int, cells: int) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_col: str = "text",
-                     cells: int | None = None, every: bool = False) -> DataFrame:
+                     cells: int | None = None, every: bool = False, exact: bool = False) -> DataFrame:
     """(doc, at, n): runs of n windows whose words all start earlier, by document id, then place.
 
     every: also those that start only later; each row counts, so a row given twice is its own copy.
@@ -147,24 +190,33 @@ def repeated_windows(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_
     cells: cells of a sketch row, a power of two; by default about four for each window, at most
     MOST_CELLS, so that what is sent to all tasks is bounded by 2 * 64 MB at any size. A fuller
     sketch lets more single windows through to the exact grouping, and never loses a repeated one.
+
+    exact: without a sketch, windows go on whose least gram comes more than once (see repeated_grams); nothing
+    is sent to all tasks, and what goes on does not depend on how many windows there are.
     """
     spark = docs.sparkSession
     read = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), octets(text_col).alias("t"))
-    if cells is None:
-        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-        cells = min(MOST_CELLS, max(SLICE, 1 << (int(size) * 4 // 6).bit_length()))
-    sent = spark.sparkContext.broadcast(sketch(read, n, cells))
+    if exact:
+        sent, read = None, read.join(repeated_grams(read, n), "id")
+    else:
+        if cells is None:
+            size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+            cells = min(MOST_CELLS, max(SLICE, 1 << (int(size) * 4 // 6).bit_length()))
+        sent = spark.sparkContext.broadcast(sketch(read, n, cells))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = sent.value
-        for ids, _, hashes in _rows_of(let_go(batches), n):
+        seen = None if sent is None else sent.value
+        for ids, words, hashes, grams in _rows_of(let_go(batches), n):
             h = np.concatenate([a for a, _ in hashes])
             g = np.concatenate([b for _, b in hashes])
             sizes = [len(a) for a, _ in hashes]
             doc = np.repeat(np.array(ids, np.int64), sizes)
             at = np.concatenate([np.arange(s) for s in sizes])
             hit = np.ones(len(h), bool)
-            for row in range(DEPTH):
+            if seen is None:
+                hit = np.concatenate([np.isin(least_grams(word_hashes(w), n)[0], np.array(g, np.int64).view(np.uint64))
+                                      for w, g in zip(words, grams, strict=True)])
+            for row in range(DEPTH if seen is not None else 0):
                 c = cells_of(h, row, cells)
                 hit &= (seen[row, c >> 3] >> (c & 7).astype(np.uint8)) & 1 > 0
             place = np.flatnonzero(hit)
@@ -241,7 +293,8 @@ def repeated_windows(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_
         found = stored(single.withColumn("gone", gone).where("gone").select("doc", "at", F.abs("n").alias("n")))
     else:
         found = stored(single.withColumn("gone", not_first("h", "g", "sure")).where("gone").select("doc", "at", "n"))
-    sent.unpersist()
+    if sent is not None:
+        sent.unpersist()
     return found
 
 

@@ -284,3 +284,22 @@ def test_many_copies_without_an_id_have_one_set_of_spans(spark):
     assert len(spans) == 2 and max(len(r.spans) for r in spans) < 60
     out = suffixes.measure_repeats(df).groupBy("doc_id", "n_removed").count().collect()
     assert sorted((r.doc_id or 0, r.n_removed, r["count"]) for r in out) == [(0, len(text) + 4, 5000), (1, 3000, 1)]
+
+
+@pytest.mark.parametrize("n", [0, 49, 50, 51, 400])
+def test_least_grams_of_windows(n):
+    words = np.random.default_rng(1).integers(0, 1 << 63, n).astype(np.uint64)
+    words[250:350] = words[20:20 + len(words[250:350])]
+    grams, _ = windows.window_hashes(words, 25)
+    inside = [grams[i:i + 26] for i in range(max(0, n - 49))]
+    least, chosen = windows.least_grams(words, 50)
+    assert least.tolist() == [x.min() for x in inside]
+    assert chosen.tolist() == [grams[p] for p in sorted({i + int(j) for i, x in enumerate(inside) for j in np.flatnonzero(x == x.min())})]
+
+
+def test_only_repeated_grams_go_on(spark, words):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(300))) for i in range(50)]
+    rows.append((50, " ".join(rows[3][1].split()[100:170])))
+    read = spark.createDataFrame(rows, "id long, t string").selectExpr("id", "CAST(t AS binary) AS t")
+    assert sorted(r.id for r in windows.repeated_grams(read, 50).collect()) == [3, 50]
