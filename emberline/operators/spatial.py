@@ -164,7 +164,8 @@ def nearest_km(df: DataFrame, polygons: DataFrame, cfg: JoinConfig = JoinConfig(
                 f"ELSE least(best, {closest}) END))")
         return F.expr(f"transform(array({best}), d -> CASE WHEN d <= {reach!r}D THEN d END)[0]")
 
-    if all(r.max_parts <= 1 and r.n_bytes <= cfg.max_broadcast for _, r in rounds):
+    # the layers of one pass are on the driver together: their sum is bounded
+    if all(r.max_parts <= 1 for _, r in rounds) and sum(r.n_bytes for _, r in rounds) <= cfg.max_broadcast:
         out = _nearest_in_place(df, rounds, within, wanted)
     else:
         out = _nearest_by_rounds(df, rounds, within, wanted, cfg)

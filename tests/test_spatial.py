@@ -278,3 +278,25 @@ def test_parts_of_a_crowded_layer_are_merged(spark):
     out = T._attach(points, parts, "inner", False)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan and sorted(r["items"] for r in out.collect()) == [[1], [2]]
+
+
+def test_layers_of_one_pass_are_small_together(spark, monkeypatch):
+    """Rounds that are small one by one, but not together, go one after another, with the same answers."""
+    from emberline.operators import spatial
+    from emberline.operators import tiles as T
+    from emberline.plans import tables
+    built, ways = [], []
+    build, in_place, by_rounds = T.build_layers, spatial._nearest_in_place, spatial._nearest_by_rounds
+    monkeypatch.setattr(T, "build_layers", lambda *a: built.append(build(*a)) or built[-1])
+    monkeypatch.setattr(spatial, "_nearest_in_place", lambda *a: ways.append("place") or in_place(*a))
+    monkeypatch.setattr(spatial, "_nearest_by_rounds", lambda *a: ways.append("rounds") or by_rounds(*a))
+    points, sites = tables.detections(spark, SF), tables.sites(spark, SF)
+
+    def answers(limit):
+        out = spatial.nearest_km(points, sites, spatial.JoinConfig(max_broadcast=limit))
+        return sorted((r.detection_id, r.nearest_km) for r in out.select("detection_id", "nearest_km").collect())
+
+    first = answers(1 << 26)
+    sizes = [layer.n_bytes for layer in built[0]]
+    assert answers(max(sizes)) == first and max(sizes) < sum(sizes)
+    assert ways == ["place", "rounds"]
