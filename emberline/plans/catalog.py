@@ -15,7 +15,7 @@ from emberline.operators import (
     thermal, verified)
 from emberline.plans import tables as T
 from emberline.plans import training
-from emberline.session import checkpoint_root
+from emberline.session import checkpoint_root, written
 from emberline.sources import documents, firms, landuse, osm
 from emberline.streaming import keyed, refreshed
 from emberline.streaming.recurrence import read_table
@@ -860,16 +860,16 @@ def planck_radiance(spark, sf):
 
 
 def _trained(spark, sf):
-    corpus = labels.split(labelled(spark, sf))
-    train = training.feature_frame(corpus.where("split = 'train'"))
-    test = training.feature_frame(corpus.where("split = 'test'"))
+    # the split reads its rows twice and the fit many times: each works on a written table
+    corpus = written(labels.split(written(training.feature_frame(labelled(spark, sf)))))
+    train, test = (corpus.where(F.col("split") == name).drop("split") for name in ("train", "test"))
     return training.fit_forest(train), train, test
 
 
 @query
 def model_metrics(spark, sf):
     model, _, test = _trained(spark, sf)
-    return training.metrics(training.predict(model, test))
+    return training.metrics(written(training.predict(model, test).select("target_label", "predicted", "probabilities")))
 
 
 @query

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "emberline", cores: str = "*", **conf: str) -> SparkSession:
@@ -43,3 +44,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a compressed table in the checkpoint folder, for what is read many times; lineage ends here."""
+    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -287,6 +287,22 @@ def test_model_queries_fit_the_production_forest(spark):
     assert model.stages[-1].getNumTrees == training.ModelConfig().trees == 250
 
 
+def test_a_forest_is_fitted_on_a_written_table(spark, monkeypatch):
+    from emberline.plans import catalog
+
+    monkeypatch.setattr(training, "fit_forest", lambda train: None)
+    for df in catalog._trained(spark, SF)[1:]:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "parquet" in plan and not any(step in plan for step in ("Window", "Join", "Exchange"))
+
+
+def test_a_forest_does_not_depend_on_the_order_of_rows(spark):
+    rows = spark.range(400).selectExpr("id AS detection_id", "double(id % 7) AS a", "double(id * 37 % 101) AS b", "int(id % 3) AS target_label")
+    cfg = training.ModelConfig(trees=3)
+    one, other = (training.fit_forest(df, ("a", "b"), cfg).stages[-1] for df in (rows.coalesce(1), rows.orderBy(F.desc("b")).repartition(5)))
+    assert one.toDebugString.split("\n", 1)[1] == other.toDebugString.split("\n", 1)[1]
+
+
 def test_events_from_file_follow_the_seeds(spark, tmp_path):
     from emberline.sources import documents
     seeds = spark.createDataFrame([(7, "Seed", 10.0, 70.0, "2024-01-01", "2024-01-02", 2.0, "ACCIDENTAL_FIRE")],
