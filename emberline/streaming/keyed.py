@@ -17,13 +17,16 @@ from emberline.operators import recurrence
 from emberline.operators.recurrence import _HI, _UNIT
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE = "newest_us long, first_us long, persistent_us long, readings binary"
+STATE = "keys binary"
+#: Keys share so many states, which bounds the calls of a batch; fixed for the life of a checkpoint.
+BUCKETS = 8192
 HISTORY = ("n_30d int, mu_raw double, var_raw double, first_us long, persistent_us long, n_24h int, burst_raw double, "
            "late boolean, revised boolean")
 ACTIVITY = "neighbourhood_active_keys int, late boolean, revised boolean"
 NEVER = np.iinfo(np.int64).max
 
 Columns = dict[str, np.ndarray]
+State = tuple[int | None, int | None, int | None, Columns | None]
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -35,6 +38,11 @@ def _take(rows: Columns, which: np.ndarray) -> Columns:
     return {c: v[which] for c, v in rows.items()}
 
 
+def _columns(batches: Iterator[pd.DataFrame], names: tuple[str, ...]) -> Columns:
+    parts = [{c: b[c].to_numpy() for c in names} for b in batches]
+    return {c: np.concatenate([p[c] for p in parts]) for c in names}
+
+
 class _Recent:
     """The recent readings of a key, kept as long as a row may still need or revise them.
 
@@ -58,14 +66,23 @@ class _Recent:
         if state.hasTimedOut:
             state.update((newest, first, persistent, None))
             return
-        parts = [{c: b[c].to_numpy() for c in ("detection_id", *self.columns)} for b in batches]
-        new = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+        new = _columns(batches, ("detection_id", *self.columns))
+        out, (*instants, kept) = self.advance(new, (newest, first, persistent, packed and pickle.loads(packed)))
+        for rows, late, revised in out:
+            yield self.told(key, rows, late, revised)
+        state.update((*instants, pickle.dumps(kept, 5)))
+        state.setTimeoutDuration(self.idle_ms)
+
+    def advance(self, new: Columns, was: State) -> tuple[list[tuple[Columns, bool, np.ndarray]], State]:
+        """What a key's new readings make known, as (rows, late, revised), and its state after them."""
+        newest, first, persistent, kept = was
+        out = []
         late = new["us"] < (-NEVER if newest is None else newest - self.lateness)
         newest = int(max(new["us"].max(), -NEVER if newest is None else newest))
         if late.any():
-            yield self.told(key, _take(new, late), True, np.zeros(int(late.sum()), bool))
+            out.append((_take(new, late), True, np.zeros(int(late.sum()), bool)))
         new = _take(new, ~late)
-        kept = pickle.loads(packed) if packed is not None else _take(new, np.zeros(len(new["us"]), bool))
+        kept = kept if kept is not None else _take(new, np.zeros(len(new["us"]), bool))
         # a row that a batch restates is there once
         _, once = np.unique(new["detection_id"], return_index=True)
         once = once[~np.isin(new["detection_id"][once], kept["detection_id"])]
@@ -79,11 +96,9 @@ class _Recent:
             first = low if first is None else min(low, first)
             found, persistent = self.score(every, low, first, persistent)
             again = every["us"] >= low
-            yield self.told(key, _take(every | found, again), False, revised[again])
+            out.append((_take(every | found, again), False, revised[again]))
             kept = every
-        stay = kept["us"] >= newest - self.lateness - self.window
-        state.update((newest, first, persistent, pickle.dumps(_take(kept, stay), 5)))
-        state.setTimeoutDuration(self.idle_ms)
+        return out, (newest, first, persistent, _take(kept, kept["us"] >= newest - self.lateness - self.window))
 
     def told(self, key: tuple, rows: Columns, late: bool, revised: np.ndarray) -> pd.DataFrame:
         raise NotImplementedError
@@ -158,6 +173,59 @@ class AreaActivity(_Recent):
                              "neighbourhood_active_keys": rows.get("neighbourhood_active_keys"), "late": late, "revised": revised})
 
 
+class Buckets:
+    """The keys of a bucket, each with a state of its own (see _Recent), in one call and one stored value.
+
+    A call costs far more than a key's arithmetic. The value lists the keys, four instants of each (newest,
+    first, persistent, time of the last touch) and the readings of all, key by key; only the keys that a
+    batch touches are scored. Readings of a key that was not touched for idle_ms go with the next touch of its bucket.
+    """
+
+    def __init__(self, one: _Recent):
+        self.one = one
+
+    def __call__(self, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names, instants, sizes, rows = pickle.loads(state.get[0]) if state.exists else ([], np.zeros((0, 4), np.int64), [], {})
+        if state.hasTimedOut:
+            state.update((pickle.dumps((names, instants, [0] * len(names), {c: v[:0] for c, v in rows.items()}), 5),))
+            return
+        new = _columns(batches, ("detection_id", *self.one.columns, "_key"))
+        now = state.getCurrentProcessingTimeMs()
+        ends = np.cumsum([0, *sizes])
+        known = {}
+        for i, name in enumerate(names):
+            newest, first, persistent, touched = instants[i].tolist()
+            kept = {c: v[ends[i]:ends[i + 1]] for c, v in rows.items()} if now - touched < self.one.idle_ms else {c: v[:0] for c, v in rows.items()}
+            known[name] = (newest, first, None if persistent == NEVER else persistent, kept), touched
+        told = []
+        code, found = pd.factorize(new.pop("_key"), use_na_sentinel=False)
+        by = np.argsort(code, kind="stable")
+        new, cuts = _take(new, by), np.cumsum([0, *np.bincount(code)])
+        for i, name in enumerate(found.tolist()):
+            name = None if pd.isna(name) else name
+            was = known[name][0] if name in known else (None, None, None, None)
+            out, after = self.one.advance({c: v[cuts[i]:cuts[i + 1]] for c, v in new.items()}, was)
+            told += [(name, *o) for o in out]
+            known[name] = after, now
+        for late in (True, False):
+            group = [(name, r, revised) for name, r, is_late, revised in told if is_late == late]
+            if group:
+                labels = np.repeat(np.array([name for name, _, _ in group], object), [len(revised) for _, _, revised in group])
+                every = {c: np.concatenate([r[c] for _, r, _ in group]) for c in group[0][1]}
+                yield self.one.told((labels,), every, late, np.concatenate([revised for _, _, revised in group]))
+        kept = [s[3] for s, _ in known.values()]
+        instants = np.array([(s[0], s[1], NEVER if s[2] is None else s[2], touched) for s, touched in known.values()], np.int64)
+        state.update((pickle.dumps((list(known), instants, [len(k["us"]) for k in kept],
+                                    {c: np.concatenate([k[c] for k in kept]) for c in new}), 5),))
+        state.setTimeoutDuration(self.one.idle_ms)
+
+
+def _by_bucket(rows: DataFrame, key: str, one: _Recent, schema: str, buckets: int) -> DataFrame:
+    spread = rows.withColumns({"_key": F.col(key).cast("string"), "_bucket": F.pmod(F.xxhash64(key), F.lit(buckets))})
+    return spread.groupBy("_bucket").applyInPandasWithState(
+        Buckets(one), schema, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def readings(df: DataFrame) -> DataFrame:
     """What the state keeps of keyed detections (see recurrence.with_keys)."""
     inside = norm_bool(F.col("inside_industrial")) if "inside_industrial" in df.columns else F.lit(False)
@@ -166,24 +234,23 @@ def readings(df: DataFrame) -> DataFrame:
 
 
 def history_stream(stream: DataFrame, cfg: recurrence.RecurrenceConfig = recurrence.RecurrenceConfig(),
-                   lateness_days: int = 3, idle_ms: int | None = None) -> DataFrame:
+                   lateness_days: int = 3, idle_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """A row for each new or revised detection of a keyed stream, with the history of its source."""
     rows = readings(stream)
     kind = rows.schema["detection_id"].dataType.simpleString()
-    return rows.groupBy("recurrence_key").applyInPandasWithState(
-        SourceHistory(cfg, lateness_days, idle_ms),
-        f"detection_id {kind}, recurrence_key string, us long, frp double, inside_industrial boolean, {HISTORY}",
-        STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return _by_bucket(
+        rows, "recurrence_key", SourceHistory(cfg, lateness_days, idle_ms),
+        f"detection_id {kind}, recurrence_key string, us long, frp double, inside_industrial boolean, {HISTORY}", buckets)
 
 
 def activity_stream(stream: DataFrame, cfg: recurrence.RecurrenceConfig = recurrence.RecurrenceConfig(),
-                    lateness_days: int = 3, idle_ms: int | None = None) -> DataFrame:
+                    lateness_days: int = 3, idle_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """A row for each new or revised detection of a keyed stream, with the activity of its area."""
     rows = readings(stream)
     kind = rows.schema["detection_id"].dataType.simpleString()
-    return rows.groupBy("area").applyInPandasWithState(
-        AreaActivity(cfg, lateness_days, idle_ms), f"detection_id {kind}, area long, us long, {ACTIVITY}",
-        STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    out = _by_bucket(rows, "area", AreaActivity(cfg, lateness_days, idle_ms),
+                     f"detection_id {kind}, area string, us long, {ACTIVITY}", buckets)
+    return out.withColumn("area", F.col("area").cast("long"))
 
 
 def run_batch(out: DataFrame, root: str) -> dict:

@@ -112,6 +112,48 @@ def test_a_batch_reads_no_history(spark, tmp_path):
     assert got.count() == df.count()
 
 
+def test_keys_share_a_state_and_keep_their_own_answers():
+    class Shared(State):
+        now = 0
+
+        def getCurrentProcessingTimeMs(self):
+            return self.now
+
+    rng = np.random.default_rng(8)
+    rows = [(i, int((t - 9 * (i % 40 == 39)) * C.DAY_US), float(rng.integers(1, 4000)) / 16, True, [None, "a", "b", "c"][k])
+            for i, (t, k) in enumerate(zip(np.sort(rng.random(400)) * 200 + rng.random(400) * 5, rng.integers(0, 4, 400), strict=True))]
+    frame = pd.DataFrame(rows, columns=["detection_id", "us", "frp", "inside", "_key"])
+    one, shared, alone, late = keyed.SourceHistory(CFG, 3, idle_ms=1000), Shared(), {}, 0
+    both = keyed.Buckets(one)
+    for at in range(0, 400, 37):
+        part = frame[at:at + 37]
+        got = pd.concat(list(both((1,), iter([part]), shared))).set_index("detection_id").sort_index()
+        want = pd.concat([pd.concat(list(one((k,), iter([g]), alone.setdefault(k, State()))))
+                          for k, g in part.groupby(part["_key"].fillna("none"))]).set_index("detection_id").sort_index()
+        for c in ("n_30d", "mu_raw", "var_raw", "first_us", "persistent_us", "n_24h", "burst_raw", "late", "revised"):
+            assert got[c].fillna(-1).tolist() == want[c].fillna(-1).tolist()
+        assert got["recurrence_key"].fillna("none").tolist() == want["recurrence_key"].tolist()
+        late += int(got["late"].sum())
+    assert late > 0 and len(keyed.pickle.loads(shared.value[0])[0]) == 4
+    shared.now = 2000                                        # silent for too long: readings go, instants stay
+    out, = both((1,), iter([pd.DataFrame([(9999, 201 * C.DAY_US, 5.0, True, "a")], columns=frame.columns)]), shared)
+    assert out["n_30d"].tolist() == [0] and out["first_us"].tolist() == [alone["a"].value[1]]
+    names, _, sizes, kept = keyed.pickle.loads(shared.value[0])
+    assert len(names) == 4 and sum(sizes) == len(kept["us"]) == 1
+
+
+def test_many_keys_make_few_calls(spark, tmp_path):
+    df = tables.keyed(spark, SF)
+    df.write.parquet(str(tmp_path / "in"))
+    for name, operator, whole, columns in (
+            ("history", keyed.history_stream, recurrence.source_history(df), ("n_30d", "mu_raw", "var_raw")),
+            ("activity", keyed.activity_stream, recurrence.neighbourhood(df), ("neighbourhood_active_keys",))):
+        src = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        assert keyed.run_batch(operator(src, buckets=3), str(tmp_path / name))["state_rows"] <= 3
+        got, want = (sorted(tuple(r) for r in x.select("detection_id", *columns).collect()) for x in (keyed.newest(spark, str(tmp_path / name)), whole))
+        assert got == want
+
+
 def refreshed_rows(spark):
     df = tables.keyed(spark, SF).select("detection_id", "frp", "area", "timestamp_utc")
     return df, [df.where(F.pmod("detection_id", F.lit(3)) == b) for b in range(3)]
