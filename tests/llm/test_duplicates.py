@@ -212,6 +212,13 @@ def test_passages_match_plain_code(odd_docs, no_docs):
     assert passages.remove_passages(no_docs).count() == 0
 
 
+def test_passages_shuffle_texts_once_at_the_end(odd_docs):
+    plan = passages.remove_passages(odd_docs.select("doc_id", "text"))._jdf.queryExecution().explainString(
+        odd_docs.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    dealt = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning", plan)
+    assert len(dealt) > 1 and sum(bool(re.match("(text|_t)#", c)) for columns in dealt for c in columns.split(", ")) == 1
+
+
 def test_short_shared_passages_leave_the_pipeline(spark):
     import corpus_pipeline
     rng = random.Random(21)
