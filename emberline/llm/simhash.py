@@ -209,7 +209,8 @@ def links(fps: DataFrame, threshold: int = 4, block_rows: int = 20_000) -> DataF
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block_rows).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = (keyed.join(shared, "key").withColumn("blocks", blocks)
+    # a fingerprint becomes hundreds of rows, which Spark's estimate of keyed does not know: neither side may be broadcast by it
+    dealt = (keyed.join(shared.hint("merge"), "key").withColumn("blocks", blocks)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("own", own)
              .select("key", (F.least("own", "other").cast("long") * 1_000_000 + F.greatest("own", "other"))
@@ -240,7 +241,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = known.groupBy("fp").agg(F.min(id_col).alias("least"))
     named = distinct.join(placed, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = placed.join(named, "root").select("fp", "component_id")
-    return (known.join(by_fp, "fp")
+    # every fp has its row; a left join never broadcasts known, whose files may be small for its rows
+    return (known.join(by_fp, "fp", "left")
             .select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
@@ -271,4 +273,4 @@ def first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(octets(text_col)).alias("th")).alias("key"),
                         F.col(text_col).alias("text"))
     known = stored(fingerprints(keyed, "key", "text", words))
-    return one_of_each(docs, known.join(_placed(known, threshold), "fp").select("key", "root"), id_col, text_col)
+    return one_of_each(docs, known.join(_placed(known, threshold), "fp", "left").select("key", "root"), id_col, text_col)

@@ -79,6 +79,11 @@ def test_links_span_all_components(spark, block_rows):
     assert {frozenset(g) for g in by_root.values()} == {frozenset(g) for g in plain.values()}
 
 
+def test_rows_at_the_anchors_are_not_broadcast(spark):
+    plan = simhash.links(spark.range(200).selectExpr("xxhash64(id) AS fp"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("threshold", [0, 1, 2, 3, 4])
 def test_every_close_pair_shares_an_anchor(threshold):
     rng = random.Random(threshold)
