@@ -191,24 +191,34 @@ def occlusion_factors(model: PipelineModel, alerts: DataFrame, medians: Sequence
     """Strongest features per alert row: probability lost when one is set to its median.
 
     Every row unfolds to one copy per feature (a fixed number) and all copies are scored at once.
+    A copy that its median leaves as it was loses nothing and is not scored again.
     """
     base = predict(model, alerts)
+    # dealt by id before they unfold; the number is fixed, as the few bytes of these rows say nothing of the work on them
+    parts = int(alerts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = base.select("detection_id", *names, F.col("predicted").alias("_cls"),
-                       F.get("probabilities", F.col("predicted")).alias("_p"))
-    copies = kept.withColumn("_f", F.explode(F.array(*[F.lit(i) for i in range(len(names))])))
-    swapped = copies.select(
-        "detection_id", "_cls", "_p", "_f",
-        F.element_at(F.array(*[F.col(n) for n in names]), F.col("_f") + 1).alias("_value"),
+                       F.get("probabilities", F.col("predicted")).alias("_p")).repartition(parts, "detection_id")
+    values = F.array(*[F.struct(F.lit(i).alias("_f"), F.col(n).alias("_value"),
+                                F.col(n).eqNullSafe(F.lit(m)).alias("_same"))
+                       for i, (n, m) in enumerate(zip(names, medians))])
+
+    def copies(same: bool) -> DataFrame:
+        some = F.filter(values, lambda v: v["_same"] if same else ~v["_same"])
+        return kept.withColumn("_v", F.explode(some)).select("*", "_v._f", "_v._value")
+
+    swapped = copies(False).select(
+        "detection_id", "_cls", "_p", "_f", "_value",
         *[F.when(F.col("_f") == i, F.lit(m)).otherwise(F.col(n)).alias(n)
           for i, (n, m) in enumerate(zip(names, medians))])
     rescored = model.transform(swapped).withColumn(
         "_q", F.get(vector_to_array("probability"), F.col("_cls")))
-    gain = F.col("_p") - F.col("_q")
+    gains = rescored.select("detection_id", "_f", "_value", (F.col("_p") - F.col("_q")).alias("_gain")).unionByName(
+        copies(True).select("detection_id", "_f", "_value", F.lit(0.0).alias("_gain")))
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_f") + 1)
     ranked = Window.partitionBy("detection_id").orderBy(F.desc("strength"), "feature")
-    return rescored.select("detection_id", name.alias("feature"), F.col("_value").alias("value"),
-                           half_up(gain, 4).alias("contribution"),
-                           F.abs(gain).alias("strength")) \
+    return gains.select("detection_id", name.alias("feature"), F.col("_value").alias("value"),
+                        half_up(F.col("_gain"), 4).alias("contribution"),
+                        F.abs("_gain").alias("strength")) \
         .withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top_k)
 
 

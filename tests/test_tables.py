@@ -303,6 +303,30 @@ def test_a_forest_does_not_depend_on_the_order_of_rows(spark):
     assert one.toDebugString.split("\n", 1)[1] == other.toDebugString.split("\n", 1)[1]
 
 
+def test_factors_score_only_what_a_median_changes(spark):
+    rows = spark.range(60).selectExpr("id AS detection_id", "double(id % 3) AS a", "double(id % 2) AS b", "double(5) AS c", "int(id % 3) AS target_label")
+    names, medians = ("a", "b", "c"), [1.0, 0.0, 5.0]
+    model = training.fit_forest(rows, names, training.ModelConfig(trees=5))
+    scored = []
+
+    class Watched:
+        def transform(self, df):
+            scored.append(df)
+            return model.transform(df)
+
+    found = training.occlusion_factors(Watched(), rows.drop("target_label"), medians, names, 3).collect()
+    assert scored[1].count() == 40 + 30                   # a differs from its median in 40 rows, b in 30, c in none
+    whole = {r.detection_id: r.probability for r in model.transform(rows).collect()}
+    assert len(found) == 180 and {r.contribution for r in found if r.feature == "c"} == {0.0}
+    for r in found:
+        was = rows.where(F.col("detection_id") == r.detection_id) if r.detection_id in (0, 7) else None
+        if was is not None:
+            p = whole[r.detection_id]
+            cls = int(p.argmax())
+            q = model.transform(was.withColumn(r.feature, F.lit(medians[names.index(r.feature)]))).first().probability
+            assert abs(r.contribution - (p[cls] - q[cls])) < 1e-4
+
+
 def test_events_from_file_follow_the_seeds(spark, tmp_path):
     from emberline.sources import documents
     seeds = spark.createDataFrame([(7, "Seed", 10.0, 70.0, "2024-01-01", "2024-01-02", 2.0, "ACCIDENTAL_FIRE")],
